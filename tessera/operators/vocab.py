@@ -129,3 +129,43 @@ def pad_batches(df: DataFrame, order_col: str, ids_cols, batch_size: int, pad_id
         fill = F.array_repeat(F.lit(pad_id).cast("long"), (F.col(f"__max_{c}") - F.size(c)).cast("int"))
         out = out.withColumn(c, F.concat(F.col(c).cast("array<bigint>"), fill))
     return out.drop(*[f"__max_{c}" for c in ids_cols]).withColumnRenamed("__pos", "position")
+
+
+def rank_within(df: DataFrame, group_cols, order_cols, idx_col: str = "idx") -> DataFrame:
+    """0-based rank inside each group without a per-group window: one global
+    dense index over (group, order), minus the first index of the group (a
+    grouped minimum joined back; one row per group)."""
+    group_cols = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    g = dense_index(df, group_cols + order_cols, "__g")
+    first = g.groupBy(*group_cols).agg(F.min("__g").alias("__first"))
+    return g.join(first, group_cols).withColumn(idx_col, F.col("__g") - F.col("__first")).drop("__g", "__first")
+
+
+def vocab_per_group(df: DataFrame, group_col: str, toks_col: str = "toks", prefix=(PAD, UNK)) -> DataFrame:
+    """W1 per language: each language's sorted vocabulary gets its own ids
+    starting after the reserved prefix."""
+    words = df.select(group_col, F.explode(toks_col).alias("word")).distinct()
+    ranked = rank_within(words, [group_col], ["word"], "idx").withColumn("idx", F.col("idx") + len(prefix))
+    if not prefix:
+        return ranked
+    groups = words.select(group_col).distinct()
+    pre = groups.select(group_col, F.posexplode(F.array(*[F.lit(p) for p in prefix])).alias("idx", "word"))
+    return pre.select(group_col, "word", F.col("idx").cast("long").alias("idx")).unionByName(ranked)
+
+
+def multilingual_vocab(df: DataFrame, group_col: str, order: list, toks_col: str = "toks",
+                       prefix=(PAD, UNK)) -> DataFrame:
+    """Combined vocabulary -- the prefix, then each language's sorted
+    block in the given language order with a running offset."""
+    order_map = F.create_map(*[x for i, g in enumerate(order) for x in (F.lit(g), F.lit(i))])
+    words = (df.filter(F.col(group_col).isin(order))
+             .select(group_col, F.explode(toks_col).alias("word")).distinct()
+             .withColumn("__block", F.element_at(order_map, F.col(group_col))))
+    ranked = dense_index(words, ["__block", "word"], "idx", offset=len(prefix)).drop("__block")
+    if not prefix:
+        return ranked
+    spark = df.sparkSession
+    pre = spark.createDataFrame([(None, w, i) for i, w in enumerate(prefix)],
+                                f"{group_col} string, word string, idx long")
+    return pre.unionByName(ranked)

@@ -1 +1,129 @@
-"""Queries (filled in progressively)."""
+"""Vocabulary, ids and encoding queries (A1, A1', W1, W2, J3, T13, T17, W7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.text import CORPUS_LANGS
+from tessera.operators import vocab as vb
+from tessera.operators.splits import split_80_10_10
+from tessera.plans import views as V
+from tessera.plans.catalog import register
+
+
+@register("voc_build", "SELECT DISTINCT lang, unnest(toks) AS word FROM tokens", ["tokens"])
+def voc_build(spark, sf):
+    """A1: distinct words per language (sorted ids come with voc_index)."""
+    return V.tokens(spark, sf).select("lang", F.explode("toks").alias("word")).distinct()
+
+
+@register("voc_index", """
+WITH w AS (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)
+SELECT lang, word, CAST(row_number() OVER (PARTITION BY lang ORDER BY word) + 1 AS BIGINT) AS idx FROM w
+UNION ALL SELECT DISTINCT lang, '<pad>' AS word, CAST(0 AS BIGINT) AS idx FROM w
+UNION ALL SELECT DISTINCT lang, '<unk>' AS word, CAST(1 AS BIGINT) AS idx FROM w
+""", ["tokens"])
+def voc_index(spark, sf):
+    """Dense ids per language after the reserved <pad>=0, <unk>=1."""
+    return vb.vocab_per_group(V.tokens(spark, sf), "lang", "toks")
+
+
+_ORDER_SQL = "CASE lang " + " ".join(f"WHEN '{l}' THEN {i}" for i, l in enumerate(CORPUS_LANGS)) + " END"
+
+
+@register("voc_multilang", f"""
+WITH w AS (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)
+SELECT lang, word, CAST(row_number() OVER (ORDER BY {_ORDER_SQL}, word) + 1 AS BIGINT) AS idx FROM w
+UNION ALL SELECT NULL AS lang, '<pad>' AS word, CAST(0 AS BIGINT) AS idx
+UNION ALL SELECT NULL AS lang, '<unk>' AS word, CAST(1 AS BIGINT) AS idx
+""", ["tokens"])
+def voc_multilang(spark, sf):
+    """Combined vocabulary, prefix then language blocks (en, fr, de,
+    es) with running offsets."""
+    return vb.multilingual_vocab(V.tokens(spark, sf), "lang", list(CORPUS_LANGS), "toks")
+
+
+_SPLIT_SQL = """
+WITH base AS (SELECT doc_id AS id, md5('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+m AS (SELECT count(*) AS m FROM base),
+r AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS pos FROM base),
+split AS (SELECT r.id, CASE WHEN pos < floor(m.m * 0.8::DOUBLE) THEN 'train'
+          WHEN pos < floor(m.m * 0.8::DOUBLE) + floor(m.m * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split
+          FROM r, m)
+"""
+
+
+@register("voc_by_split", _SPLIT_SQL + """
+, w AS (SELECT DISTINCT t.lang, unnest(t.toks) AS word, s.split FROM tokens t JOIN split s USING (id))
+SELECT lang, word, bool_or(split = 'train') AS in_train, bool_or(split = 'val') AS in_val,
+       bool_or(split = 'test') AS in_test FROM w GROUP BY lang, word
+""", ["tokens"])
+def voc_by_split(spark, sf):
+    """A1': per-split vocabularies combined, with membership flags."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"))
+    s = split_80_10_10(docs, "id", seed=1)
+    w = (V.tokens(spark, sf).join(s, "id")
+         .select("lang", F.explode("toks").alias("word"), "split").distinct())
+    return w.groupBy("lang", "word").agg(
+        F.bool_or(F.col("split") == "train").alias("in_train"),
+        F.bool_or(F.col("split") == "val").alias("in_val"),
+        F.bool_or(F.col("split") == "test").alias("in_test"))
+
+
+_ENC_SQL = """
+, v AS (SELECT word, idx + 2 AS idx FROM english_vocab),
+p AS (SELECT t.id, u.word, u.pos FROM tokens t,
+      LATERAL (SELECT unnest(t.toks) AS word, generate_subscripts(t.toks, 1) AS pos) u),
+enc AS (SELECT p.id, list(CAST(coalesce(v.idx, 1) AS BIGINT) ORDER BY p.pos) AS ids FROM p LEFT JOIN v USING (word)
+        GROUP BY p.id
+        UNION ALL SELECT id, []::BIGINT[] AS ids FROM tokens WHERE len(toks) = 0)
+"""
+
+
+def _encoded(spark, sf):
+    t = V.tokens(spark, sf)
+    vocab = vb.build_vocab(t.filter(F.col("lang") == "en"), "toks", prefix=(vb.PAD, vb.UNK))
+    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1)
+
+
+@register("enc_token_ids", "WITH _x AS (SELECT 1)" + _ENC_SQL + "SELECT id, ids FROM enc",
+          ["tokens", "english_vocab"])
+def enc_token_ids(spark, sf):
+    """Every document encoded with the English vocabulary
+    (<pad>=0, <unk>=1; other languages fall mostly on <unk>)."""
+    return _encoded(spark, sf)[2]
+
+
+@register("enc_truncate", "SELECT id, toks[1:500] AS toks FROM tokens", ["tokens"])
+def enc_truncate(spark, sf):
+    """Keep the first 500 tokens."""
+    from tessera.functions.text import truncate_tokens
+    return V.tokens(spark, sf).select("id", truncate_tokens("toks", 500).alias("toks"))
+
+
+@register("enc_decode", "WITH _x AS (SELECT 1)" + _ENC_SQL + """
+, ids AS (SELECT e.id, u.i, u.pos FROM enc e, LATERAL (SELECT unnest(e.ids) AS i, generate_subscripts(e.ids, 1) AS pos) u),
+names AS (SELECT '<pad>' AS word, 0 AS idx UNION ALL SELECT '<unk>', 1 UNION ALL SELECT word, idx FROM v)
+SELECT ids.id, array_to_string(list(n.word ORDER BY ids.pos), ' ') AS text
+FROM ids JOIN names n ON ids.i = n.idx WHERE ids.i <> 0 GROUP BY ids.id
+UNION ALL SELECT id, '' AS text FROM enc WHERE len(list_filter(ids, lambda i: i <> 0)) = 0
+""", ["tokens", "english_vocab"])
+def enc_decode(spark, sf):
+    """Ids back to text, pad id skipped."""
+    _, vocab, enc = _encoded(spark, sf)
+    return vb.decode_ids(enc, vocab, "id", "ids", "text", pad_id=0)
+
+
+@register("enc_pad_batches", "WITH _x AS (SELECT 1)" + _ENC_SQL + """
+, b AS (SELECT id, ids, row_number() OVER (ORDER BY id) - 1 AS position FROM enc),
+bb AS (SELECT *, CAST(floor(position / 32) AS BIGINT) AS batch FROM b),
+mx AS (SELECT batch, max(len(ids)) AS m FROM bb GROUP BY batch)
+SELECT bb.id, bb.batch, bb.position,
+       list_concat(bb.ids, CAST(list_transform(range(mx.m - len(bb.ids)), lambda x: 0) AS BIGINT[])) AS ids
+FROM bb JOIN mx USING (batch)
+""", ["tokens", "english_vocab"])
+def enc_pad_batches(spark, sf):
+    """Batches of 32 in id order, every list padded with 0 to the
+    longest list of its batch."""
+    enc = _encoded(spark, sf)[2]
+    return vb.pad_batches(enc, "id", ["ids"], 32, pad_id=0).select("id", "batch", "position", "ids")
