@@ -1 +1,91 @@
-"""Queries (filled in progressively)."""
+"""Split, alignment-split and mix queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import rows as rw
+from tessera.operators import splits as sp
+from tessera.plans import views as V
+from tessera.plans.catalog import register
+from tessera.plans.q_vocab import _SPLIT_SQL
+from tessera.session import read_table
+
+# Sizes for the nested key split at test scale (the reference used
+# 30,000 / 10,000 / 1,000 on 33,528 keys).
+NESTED = dict(train_size=90, sub_size=30, val_size=20, seed=57)
+MIXES = {"en": ["en"], "fr": ["fr"], "de": ["de"], "es": ["es"], "en_fr": ["en", "fr"],
+         "en_de": ["en", "de"], "en_es": ["en", "es"], "all": ["en", "fr", "de", "es"]}
+
+
+@register("split_80_10_10", _SPLIT_SQL + "SELECT id, split FROM split")
+def split_80_10_10(spark, sf):
+    """Exact 80/10/10 split of all documents by seeded hash order."""
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return sp.split_80_10_10(d, "id", seed=1)
+
+
+def _nested_sql():
+    s = NESTED["seed"]
+    return f"""
+WITH n AS (SELECT count(DISTINCT part) AS n FROM aligned),
+k AS (SELECT key FROM aligned GROUP BY key HAVING count(DISTINCT part) = (SELECT n FROM n)),
+r1 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}a:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM k),
+tr AS (SELECT key FROM r1 WHERE r < {NESTED['train_size']}),
+rest AS (SELECT key FROM r1 WHERE r >= {NESTED['train_size']}),
+r2 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}b:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM tr),
+r3 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}c:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM rest),
+members AS (SELECT key, 'monolingual_train' AS split FROM tr
+  UNION ALL SELECT key, 'multilingual_train' FROM r2 WHERE r < {NESTED['sub_size']}
+  UNION ALL SELECT key, 'val' FROM r3 WHERE r < {NESTED['val_size']}
+  UNION ALL SELECT key, 'test' FROM r3 WHERE r >= {NESTED['val_size']})
+"""
+
+
+def _members(spark, sf):
+    a = V.aligned(spark, sf)
+    keys = rw.common_keys(a, "key", "part")
+    return a, sp.split_nested(keys, "key", **NESTED)
+
+
+@register("split_nested", _nested_sql() + "SELECT key, split FROM members", ["aligned"])
+def split_nested(spark, sf):
+    """Exact-size nested split of the keys common to all parts."""
+    return _members(spark, sf)[1]
+
+
+@register("split_apply", _nested_sql() + """
+SELECT a.key, a.part, a.row_id, m.split FROM aligned a JOIN members m USING (key)
+""", ["aligned"])
+def split_apply(spark, sf):
+    """The one key split applied to every part."""
+    a, m = _members(spark, sf)
+    return sp.apply_split(a, m, "key").select("key", "part", "row_id", "split")
+
+
+@register("split_leak_check", _nested_sql() + """
+SELECT x.split AS split_a, y.split AS split_b, count(*) AS n_common
+FROM members x JOIN members y ON x.key = y.key AND x.split <> y.split GROUP BY 1, 2
+""", ["aligned"])
+def split_leak_check(spark, sf):
+    """Keys shared by each ordered pair of splits (only the nested
+    train subset may overlap train)."""
+    return sp.split_overlaps(_members(spark, sf)[1], "key")
+
+
+def _mix_sql():
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS mix, '{l}' AS lang" for m, ls in MIXES.items() for l in ls)
+    return f"""
+WITH mx AS ({rows}),
+r AS (SELECT mx.mix, d.doc_id AS id, d.lang, md5('57:' || mx.mix || ':' || CAST(d.doc_id AS VARCHAR)) AS h
+      FROM documents d JOIN mx ON d.lang = mx.lang)
+SELECT mix, id, lang, row_number() OVER (PARTITION BY mix ORDER BY h, id) - 1 AS position FROM r
+"""
+
+
+@register("mix_build", _mix_sql())
+def mix_build(spark, sf):
+    """U4 + X4: single-language and mixed-language sets, each shuffled by a
+    seeded hash (position = place in the shuffled mix)."""
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return sp.build_mixes(d, "lang", "id", MIXES, seed=57).select("mix", "id", "lang", "position")
