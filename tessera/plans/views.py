@@ -95,6 +95,17 @@ def wvec(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(e, v.idx == e.vec_id, "inner").select("word", F.col("embedding").alias("vec"))
 
 
+def lang_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(lang, word, vec): the n-th word of each language's sorted vocabulary
+    <-> embeddings.vec_id = n (a second language table for stacking and
+    summing vectors)."""
+    from tessera.operators.vocab import rank_within
+    words = tokens(spark, sf).select("lang", F.explode("toks").alias("word")).distinct()
+    v = rank_within(words, ["lang"], ["word"], "idx")
+    e = _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    return v.join(e, v.idx == e.vec_id, "inner").select("lang", "word", F.col("embedding").alias("vec"))
+
+
 def score_expr(id_col, class_idx_col):
     return ((F.col(id_col) * 37 + F.col(class_idx_col) * 11) % 100) / F.lit(100.0)
 
@@ -136,6 +147,10 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                                    "FROM (SELECT DISTINCT unnest(toks) AS word FROM tokens WHERE lang = 'en'))"),
     "wvec": (("english_vocab",), "wvec AS (SELECT v.word, e.embedding AS vec FROM english_vocab v "
                                  "JOIN embeddings e ON v.idx = e.vec_id)"),
+    "lang_vectors": (("tokens",), "lang_vectors AS (SELECT v.lang, v.word, e.embedding AS vec FROM "
+                                  "(SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) - 1 AS idx "
+                                  "FROM (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)) v "
+                                  "JOIN embeddings e ON v.idx = e.vec_id)"),
     "classes": (("articles",), "classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS class_idx "
                                "FROM (SELECT DISTINCT unnest(cats) AS class FROM articles))"),
     "scores": (("articles", "classes"),
