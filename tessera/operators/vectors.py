@@ -77,8 +77,9 @@ def weighted_doc_vectors(df: DataFrame, id_col: str, toks_col: str, vectors: Dat
     base = df.select(id_col, *by, toks_col).filter(F.coalesce(F.size(toks_col), F.lit(0)) > 0)
     counts = (base.select(id_col, *by, F.explode(toks_col).alias("word"))
               .groupBy(id_col, *by, "word").agg(F.count(F.lit(1)).alias("__n")))
-    vec = vectors.select("word", micro("vec").alias("__m"))
-    j = counts.join(vec, "word", "inner")
+    keys = [c for c in by if c in vectors.columns] + ["word"]
+    vec = vectors.select(*keys, micro("vec").alias("__m"))
+    j = counts.join(vec, keys, "inner")
     factor = F.col("__n").cast("long")
     if weights is not None:
         j = j.join(weights.select(*by, "word", F.col("weight").alias("__w")), [*by, "word"], "left")

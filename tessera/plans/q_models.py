@@ -1 +1,82 @@
-"""Queries (filled in progressively)."""
+"""Classifier queries (M1, M4, M6, M7) -- rows-only checks (model numerics
+are not SQL-expressible); tests assert the fit beats a constant score."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import labels as lb
+from tessera.operators import metrics as mt
+from tessera.operators import models as md
+from tessera.operators import vectors as vx
+from tessera.operators.splits import split_80_10_10
+from tessera.plans import views as V
+from tessera.plans.catalog import register
+from tessera.plans.q_labels import WIDE_CLASSES
+from tessera.session import materialize, read_table
+
+GRID = [(0.0, 10), (0.01, 10), (0.0, 25), (0.01, 25)]
+TRANSFER_MIXES = {"en": ["en"], "fr": ["fr"], "en_fr": ["en", "fr"], "all": ["en", "fr", "de", "es"]}
+
+
+def _embedding_rows(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    n = int(e.select(F.max("label") + 1).first()[0])
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"),
+                    lb.one_hot_from_ids(F.array("label"), n).alias("labels"))
+    return rows, n
+
+
+@register("ml_ovr_logreg")
+def ml_ovr_logreg(spark, sf):
+    """M1: one logistic regression per class on the 64-d vectors; scores in
+    long form (id, class_idx, score, y)."""
+    rows, n = _embedding_rows(spark, sf)
+    models = md.fit_one_vs_rest(rows, "features", "labels", n)
+    return md.predict_long(models, rows, "id", "features", "labels")
+
+
+@register("ml_grid")
+def ml_grid(spark, sf):
+    """M4: regParam x maxIter grid on the train split, micro/macro scores
+    on the validation split, one row per setting."""
+    rows, n = _embedding_rows(spark, sf)
+    s = split_80_10_10(rows.select("id"), "id", seed=1)
+    r = materialize(rows.join(s, "id"))
+    train, val = r.filter(F.col("split") == "train"), r.filter(F.col("split") == "val")
+    out = None
+    for reg, it in GRID:
+        models = md.fit_one_vs_rest(train, "features", "labels", n, reg_param=reg, max_iter=it)
+        res = md.evaluate(md.predict_long(models, val, "id", "features", "labels")).select(
+            F.lit(reg).alias("reg_param"), F.lit(it).alias("max_iter"), *mt.METRIC_COLS)
+        out = res if out is None else out.unionByName(res)
+    return out
+
+
+@register("ml_transfer_matrix")
+def ml_transfer_matrix(spark, sf):
+    """M6 + M7: train on each language mix, evaluate on each language's
+    validation articles; mean and sample std of f1_micro over 5 interleaved
+    folds.  Training on 'en' and evaluating on 'fr' is the frozen-transfer
+    row; training on 'fr' is the trained-from-scratch row."""
+    at = V.article_tokens(spark, sf).filter(F.size("cats") > 0)
+    cl = lb.ClassList(WIDE_CLASSES)
+    dim = int(read_table(spark, sf, "embeddings").select(F.max(F.size("embedding"))).first()[0])
+    feats = vx.weighted_doc_vectors(at.select("id", "lang", "toks"), "id", "toks", V.lang_vectors(spark, sf),
+                                    dim, by=["lang"])
+    data = (at.select("id", "lang", cl.multihot("cats").alias("labels")).join(feats, "id")
+            .withColumnRenamed("vec", "features"))
+    s = split_80_10_10(data.select("id"), "id", seed=1)
+    d = materialize(data.join(s, "id"))
+    train, val = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "val")
+    out = None
+    for mix, langs in TRANSFER_MIXES.items():
+        models = md.fit_one_vs_rest(train.filter(F.col("lang").isin(langs)), "features", "labels", len(WIDE_CLASSES))
+        pred = materialize(md.predict_long(models, val, "id", "features", "labels").join(val.select("id", "lang"), "id"))
+        for lang in ("en", "fr", "de", "es"):
+            p = (pred.filter(F.col("lang") == lang).withColumn("pred", mt.threshold("score", 0.5))
+                 .withColumnRenamed("class_idx", "class"))
+            k = mt.kfold(p, "id", 5).filter(F.col("metric") == "f1_micro").select(
+                F.lit(mix).alias("train_mix"), F.lit(lang).alias("eval_lang"), "mean", "std")
+            out = k if out is None else out.unionByName(k)
+    return out

@@ -76,3 +76,12 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared checkpoint folder (a
+    reliable checkpoint, never a local one) and continue from the files, so
+    iterative consumers (k model fits, per-language evaluations) do not
+    recompute the upstream plan and survive executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
