@@ -5,7 +5,8 @@ Dense ids never go through a single-partition window: rows are range
 partitioned and sorted, per-partition counts (one row per partition, a
 proven bound) give running offsets, and each row adds its position inside
 its partition.  The ranged table is checkpointed to the shared checkpoint
-folder so the counts and the rows come from one materialisation.
+folder (as Parquet) so the counts and the rows come from one
+materialisation.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, materialize
 
 PAD, UNK = "<pad>", "<unk>"
 
@@ -32,7 +33,7 @@ def dense_index(df: DataFrame, order_cols, idx_col: str = "idx", offset=0,
     ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "dense")
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

@@ -14,7 +14,8 @@ from tessera.session import read_table
 
 @register("txt_normalise", "SELECT id, lang, toks FROM tokens", ["tokens"])
 def txt_normalise(spark, sf):
-    return V.tokens(spark, sf)
+    """T12 on every document, from the raw text."""
+    return V.tokens_fresh(spark, sf)
 
 
 _PG_SRC = ("(SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, html FROM pages)")

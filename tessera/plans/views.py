@@ -22,7 +22,7 @@ from tessera.functions.text import normalise
 from tessera.operators.labels import class_table
 from tessera.operators.vocab import build_vocab
 from tessera.plans import sqlgen
-from tessera.session import read_table, spread
+from tessera.session import materialize, read_table, spread
 
 
 def _t(spark, sf, name):
@@ -51,14 +51,35 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("id", "lang", "text", category_list("doc_id", "quality", "toxic", "source").alias("cats"))
 
 
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
+def tokens_fresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised documents, computed from the raw text (lazy)."""
     d = spread(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text"))
     return normalise(d, "text", "lang", "toks", keep_cols=["id", "lang"])
 
 
+_SHARED: dict = {}
+
+
+def _shared(spark: SparkSession, key: str, build):
+    """Materialise a derived table once per application and input folder
+    (written as Parquet below the shared checkpoint folder) -- the token
+    table feeds most queries, so it is normalised once, as the reference
+    pickles its token tables once."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _SHARED:
+        _SHARED[k] = materialize(build(), key.split("|")[0])
+    return _SHARED[k]
+
+
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _shared(spark, f"tokens|{sf}", lambda: tokens_fresh(spark, sf))
+
+
 def article_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    a = articles(spark, sf)
-    return normalise(a, "text", "lang", "toks", keep_cols=["id", "lang", "cats"])
+    def build():
+        lab = articles(spark, sf).select("id", "cats")
+        return tokens(spark, sf).join(lab, "id").select("id", "lang", "cats", "toks")
+    return _shared(spark, f"article_tokens|{sf}", build)
 
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:

@@ -78,10 +78,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared checkpoint folder (a
-    reliable checkpoint, never a local one) and continue from the files, so
-    iterative consumers (k model fits, per-language evaluations) do not
-    recompute the upstream plan and survive executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage: write ``df`` once as Parquet into a fresh folder below
+    the shared checkpoint folder (never a machine-local or local
+    checkpoint) and continue from the files.  Iterative consumers (k model
+    fits, per-language evaluations, dense ids) then never recompute the
+    upstream plan, a lost executor costs a re-read instead of a recompute,
+    and later reads still get column pruning and filter push-down."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

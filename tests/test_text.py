@@ -62,3 +62,11 @@ def test_streaming_frame_normalises(spark, tmp_path):
     out = normalise_stream(spark, str(src), "id long, text string, lang string", str(tmp_path / "out"),
                            str(tmp_path / "ckpt"))
     assert out.collect()[0]["toks"] == ["big", "two", "birds"]
+
+
+def test_punctuation_tokens(spark):
+    df = spark.createDataFrame([(["a", ",", "b", "!?", ""],)], "t array<string>")
+    r = df.select(tx.drop_punctuation("t").alias("s"), tx.drop_punctuation("t", True).alias("l")).first()
+    assert r.s == ["a", "b", "!?", ""]
+    # substring variant: '' and '!?' are not substrings... '' is (instr('', x) = 1)
+    assert r.l == ["a", "b", "!?"]
