@@ -18,17 +18,23 @@ from tessera.operators import metrics as mt
 
 
 def fit_one_vs_rest(train: DataFrame, features_col: str, labels_col: str, n_classes: int,
-                    reg_param: float = 0.0, max_iter: int = 100):
+                    reg_param: float = 0.0, max_iter: int = 100, parallelism: int = 8):
     """Fit one binary logistic regression per class on a multi-hot label
-    array; returns the list of fitted models (one per class)."""
+    array; returns the list of fitted models (one per class).  The class
+    fits are independent Spark jobs submitted from ``parallelism`` driver
+    threads, so small per-class jobs share the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+
     data = train.select(array_to_vector(features_col).alias("features"), labels_col).persist()
-    models = []
+
+    def fit(c):
+        d = data.select("features", F.col(labels_col)[c].cast("double").alias("label"))
+        lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param,
+                                maxIter=max_iter, family="binomial")
+        return lr.fit(d)
     try:
-        for c in range(n_classes):
-            d = data.select("features", F.col(labels_col)[c].cast("double").alias("label"))
-            lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param,
-                                    maxIter=max_iter, family="binomial")
-            models.append(lr.fit(d))
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_classes))) as pool:
+            models = list(pool.map(fit, range(n_classes)))
     finally:
         data.unpersist()
     return models
