@@ -308,22 +308,39 @@ def normalise(df, text_col: str = "text", lang_col: str = "lang", out_col: str =
     more than once, so every regex runs exactly once per row)."""
     t = "__tsr_"
     if legacy:
-        lang_expr = F.lit("en")
-        df = df.withColumn(t + "lang", lang_expr)
+        df = df.withColumn(t + "lang", F.lit("en"))
         lang_col_eff = t + "lang"
     else:
         lang_col_eff = lang_col
+    exprs = _stage_exprs(df.sparkSession, lang_col_eff, tuple(langs), stopwords)
     df = clean_markup_df(df, text_col, t + "m", legacy=legacy)
-    df = df.withColumn(t + "a", keep_alphabet(t + "m", lang_col_eff, langs))
-    df = df.withColumn(t + "s", drop_single_letters(t + "a", lang_col_eff, langs))
-    df = df.withColumn(t + "d", digits_to_words(t + "s", lang_col_eff, langs))
-    df = df.withColumn(t + "k", split_tokens(t + "d"))
-    if stopwords:
-        df = df.withColumn(out_col, remove_stopwords(t + "k", lang_col_eff, langs))
-    else:
-        df = df.withColumn(out_col, F.col(t + "k"))
+    df = df.withColumn(t + "a", exprs["a"])
+    df = df.withColumn(t + "s", exprs["s"])
+    df = df.withColumn(t + "d", exprs["d"])
+    df = df.withColumn(t + "k", exprs["k"])
+    df = df.withColumn(out_col, exprs["out"])
     tmp = [c for c in df.columns if c.startswith(t)]
     df = df.drop(*tmp)
     if keep_cols is not None:
         df = df.select(*keep_cols, out_col)
     return df
+
+
+_EXPR_CACHE: dict = {}
+
+
+def _stage_exprs(spark, lang_col: str, langs: tuple, stopwords: bool) -> dict:
+    """The per-language stage expressions, built once per session: they are
+    unresolved column expressions (reusable across DataFrames), and building
+    the literal-heavy CASE trees costs more driver time than planning."""
+    key = (spark.sparkContext.applicationId, lang_col, langs, stopwords)
+    if key not in _EXPR_CACHE:
+        t = "__tsr_"
+        _EXPR_CACHE[key] = {
+            "a": keep_alphabet(t + "m", lang_col, langs),
+            "s": drop_single_letters(t + "a", lang_col, langs),
+            "d": digits_to_words(t + "s", lang_col, langs),
+            "k": split_tokens(t + "d"),
+            "out": remove_stopwords(t + "k", lang_col, langs) if stopwords else F.col(t + "k"),
+        }
+    return _EXPR_CACHE[key]
