@@ -89,3 +89,22 @@ def mix_build(spark, sf):
     seeded hash (position = place in the shuffled mix)."""
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
     return sp.build_mixes(d, "lang", "id", MIXES, seed=57).select("mix", "id", "lang", "position")
+
+
+FIXED_SAMPLE = dict(train_size=600, sub_size=0, val_size=100, seed=57)
+
+
+@register("split_fixed_sample", f"""
+WITH k AS (SELECT doc_id AS id FROM documents),
+r1 AS (SELECT id, row_number() OVER (ORDER BY md5('57a:' || CAST(id AS VARCHAR)), id) - 1 AS r FROM k),
+rest AS (SELECT id FROM r1 WHERE r >= {FIXED_SAMPLE['train_size']}),
+r3 AS (SELECT id, row_number() OVER (ORDER BY md5('57c:' || CAST(id AS VARCHAR)), id) - 1 AS r FROM rest)
+SELECT id, 'train' AS split FROM r1 WHERE r < {FIXED_SAMPLE['train_size']}
+UNION ALL SELECT id, 'val' FROM r3 WHERE r < {FIXED_SAMPLE['val_size']}
+""")
+def split_fixed_sample(spark, sf):
+    """Fixed-size train and validation samples of the documents, the
+    remainder dropped."""
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    m = sp.split_nested(d, "id", names=("train", "unused", "val", "test"), keep_rest=False, **FIXED_SAMPLE)
+    return m.filter(F.col("split") != "unused")

@@ -43,3 +43,15 @@ def test_nested_split_disjoint(spark):
     assert sizes == {"monolingual_train": 60, "multilingual_train": 20, "val": 10, "test": 30}
     ov = {(r.split_a, r.split_b): r.n_common for r in sp.split_overlaps(m, "key").collect()}
     assert ov == {("monolingual_train", "multilingual_train"): 20, ("multilingual_train", "monolingual_train"): 20}
+
+
+def test_older_article_reader_sections_and_links(spark, tmp_path):
+    """S2: 'QID' key, tokens from the headings, outlink targets."""
+    import json
+    from tessera.sources.readers import read_articles
+    p = tmp_path / "a.json"
+    p.write_text(json.dumps({"QID": "Q1", "entitle": "T", "mid_level_categories": ["A"],
+                             "wikitext": "Intro [[Paris|city]] text\n== History 2 ==\nbody [[Lyon]]"}) + "\n")
+    r = read_articles(spark, str(p), key_col="QID", tokens_from_sections=True, extract_outlinks=True).first()
+    assert r.QID == "Q1" and r.tokens == ["history", "two"]
+    assert r.raw_outlinks == ["[[Paris|city]]", "[[Lyon]]"] and r.outlinks == ["Paris", "Lyon"]
