@@ -114,9 +114,13 @@ def first_seen_namespaces(inl: DataFrame, qid: str = "qid", pos: str = "pos", ns
 
 
 def links_by_namespace(inl: DataFrame, qid: str = "qid", pos: str = "pos", pid: str = "pid",
-                       ns: str = "ns") -> DataFrame:
-    """G7 in long form: (qid, column, pids) with pids in link order, one row
-    per (article, namespace kind/name) present."""
+                       ns: str = "ns", as_lists: bool = True) -> DataFrame:
+    """Inlinks split by namespace kind and name.  Long form (one row per
+    link: qid, column, pos, pid) unless ``as_lists``, which rebuilds the
+    reference's per-article list for each (article, namespace) -- only for
+    consumers that need the list itself (the model table)."""
     k = inl.filter(~F.col(ns).isin(IGNORED_NAMESPACES)).withColumn("column", namespace_kind(ns))
+    if not as_lists:
+        return k.select(qid, "column", pos, pid)
     return (k.groupBy(qid, "column").agg(F.array_sort(F.collect_list(F.struct(pos, pid))).alias("__s"))
             .select(qid, "column", F.transform("__s", lambda s: s[pid]).alias("pids")))

@@ -113,12 +113,13 @@ def _ns_case():
 
 
 @register("link_by_namespace", f"""
-SELECT qid, {_ns_case()} AS "column", list(pid ORDER BY pos, pid) AS pids FROM inlinks
-WHERE ns NOT IN (446, 447, 2300, 2301, 2302, 2303) GROUP BY qid, 2
+SELECT qid, {_ns_case()} AS "column", pos, pid FROM inlinks
+WHERE ns NOT IN (446, 447, 2300, 2301, 2302, 2303)
 """, ["inlinks"])
 def link_by_namespace(spark, sf):
-    """Inlinks split by namespace kind and name (long form)."""
-    return lk.links_by_namespace(V.inlinks(spark, sf))
+    """Inlinks split by namespace kind and name, in long form (one row
+    per link, so a hub article's millions of inlinks never form one list)."""
+    return lk.links_by_namespace(V.inlinks(spark, sf), as_lists=False)
 
 
 @register("join_in_out", _LINK_SQL + "SELECT * FROM jio", ["outlinks", "inlinks"])
