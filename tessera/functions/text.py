@@ -298,7 +298,7 @@ def truncate_tokens(tokens, n: int | None) -> Column:
 
 def normalise(df, text_col: str = "text", lang_col: str = "lang", out_col: str = "tokens", *,
               stopwords: bool = True, legacy: bool = False, langs=CORPUS_LANGS,
-              keep_cols=None):
+              keep_cols=None, stop_lists: dict | None = None):
     """The whole pipeline as one DataFrame operator (lazy, one projection
     chain, no shuffle; works on streaming frames too).
 
@@ -312,7 +312,8 @@ def normalise(df, text_col: str = "text", lang_col: str = "lang", out_col: str =
         lang_col_eff = t + "lang"
     else:
         lang_col_eff = lang_col
-    exprs = _stage_exprs(df.sparkSession, lang_col_eff, tuple(langs), stopwords)
+    lists = tuple(sorted((k, tuple(v)) for k, v in (stop_lists or {}).items()))
+    exprs = _stage_exprs(df.sparkSession, lang_col_eff, tuple(langs), stopwords, lists)
     df = clean_markup_df(df, text_col, t + "m", legacy=legacy)
     df = df.withColumn(t + "a", exprs["a"])
     df = df.withColumn(t + "s", exprs["s"])
@@ -329,11 +330,11 @@ def normalise(df, text_col: str = "text", lang_col: str = "lang", out_col: str =
 _EXPR_CACHE: dict = {}
 
 
-def _stage_exprs(spark, lang_col: str, langs: tuple, stopwords: bool) -> dict:
+def _stage_exprs(spark, lang_col: str, langs: tuple, stopwords: bool, lists: tuple = ()) -> dict:
     """The per-language stage expressions, built once per session: they are
     unresolved column expressions (reusable across DataFrames), and building
     the literal-heavy CASE trees costs more driver time than planning."""
-    key = (spark.sparkContext.applicationId, lang_col, langs, stopwords)
+    key = (spark.sparkContext.applicationId, lang_col, langs, stopwords, lists)
     if key not in _EXPR_CACHE:
         t = "__tsr_"
         _EXPR_CACHE[key] = {
@@ -341,6 +342,7 @@ def _stage_exprs(spark, lang_col: str, langs: tuple, stopwords: bool) -> dict:
             "s": drop_single_letters(t + "a", lang_col, langs),
             "d": digits_to_words(t + "s", lang_col, langs),
             "k": split_tokens(t + "d"),
-            "out": remove_stopwords(t + "k", lang_col, langs) if stopwords else F.col(t + "k"),
+            "out": (remove_stopwords(t + "k", lang_col, langs, dict(lists) or None) if stopwords
+                    else F.col(t + "k")),
         }
     return _EXPR_CACHE[key]

@@ -77,6 +77,18 @@ def read_title_map(spark: SparkSession, path: str) -> DataFrame:
     return title_map(spark.read.text(path))
 
 
+def read_stopwords(spark: SparkSession, path: str, max_words: int = 100_000) -> tuple:
+    """S8 file form: one stop word per line, blank lines dropped (e.g. the
+    Hindi list, which Spark has no default for).  A stop list is a small
+    parameter: it is size-checked, then returned to the driver to become a
+    literal set inside the normalisation expression."""
+    words = spark.read.text(path).select(F.trim("value").alias("w")).filter(F.col("w") != "").distinct()
+    n = words.count()
+    if n > max_words:
+        raise ValueError(f"{n} stop words exceed {max_words}")
+    return tuple(sorted(r["w"] for r in words.collect()))
+
+
 def read_word_vectors(spark: SparkSession, path: str, has_header: bool = True) -> DataFrame:
     """fastText text vectors -> (word, vec ARRAY<FLOAT>).  The header
     'n d' gives d; any line whose vector length is not d (the header itself,

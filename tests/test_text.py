@@ -70,3 +70,14 @@ def test_punctuation_tokens(spark):
     assert r.s == ["a", "b", "!?", ""]
     # substring variant: '' and '!?' are not substrings... '' is (instr('', x) = 1)
     assert r.l == ["a", "b", "!?"]
+
+
+def test_stopword_file_for_hindi(spark, tmp_path):
+    from tessera.sources.readers import read_stopwords
+    p = tmp_path / "hi.txt"
+    p.write_text("नदी\n\nऔर\n")
+    words = read_stopwords(spark, str(p))
+    assert words == tuple(sorted(["नदी", "और"]))
+    df = spark.createDataFrame([(1, "नदी और पहाड़", "hi")], "id long, text string, lang string")
+    out = tx.normalise(df, "text", "lang", "toks", langs=("hi",), stop_lists={"hi": words}).first()["toks"]
+    assert out == ["पहाड़"]
