@@ -106,8 +106,9 @@ def outlinks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def english_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    t = tokens(spark, sf).filter(F.col("lang") == "en")
-    return build_vocab(t, "toks")
+    """Sorted English vocabulary with dense ids (shared like the tokens)."""
+    return _shared(spark, f"english_vocab|{sf}",
+                   lambda: build_vocab(tokens(spark, sf).filter(F.col("lang") == "en"), "toks"))
 
 
 def wvec(spark: SparkSession, sf: str) -> DataFrame:
