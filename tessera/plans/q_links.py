@@ -9,7 +9,7 @@ from tessera.operators import vocab as vb
 from tessera.operators.rows import nonempty, with_status
 from tessera.plans import views as V
 from tessera.plans.catalog import register
-from tessera.session import read_table
+from tessera.session import materialize, read_table
 
 H1_RE = r"<h1[^>]*>([^<]*)</h1>"
 
@@ -138,7 +138,8 @@ lv AS (SELECT w AS word, CAST(row_number() OVER (ORDER BY w) + 1 AS BIGINT) AS i
 
 
 def _link_vocab(spark, sf):
-    j = _join_in_out(spark, sf).filter(F.col("status") == "kept")
+    # the joined link table feeds the vocabulary and both encodings: write it once
+    j = materialize(_join_in_out(spark, sf).filter(F.col("status") == "kept"), "links")
     toks = j.select(F.transform("pid_inlinks", lambda x: x.cast("string")).alias("t")).unionByName(
         j.select(F.col("pid_outlinks").alias("t")))
     return j, vb.build_vocab(toks, "t", prefix=(vb.PAD, vb.UNK))

@@ -12,7 +12,7 @@ from tessera.plans import views as V
 from tessera.plans.catalog import register
 from tessera.plans.q_links import _LINK_SQL, _join_in_out
 from tessera.plans.q_vocab import _ORDER_SQL
-from tessera.session import read_table
+from tessera.session import materialize, read_table
 
 _DIM = "(SELECT max(len(embedding)) FROM embeddings)"
 
@@ -142,7 +142,7 @@ def feat_link_vec(spark, sf):
     n = int(e.select(F.count(F.lit(1))).first()[0])
     dim = _dim(spark, sf)
     wv = e.select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
-    j = _join_in_out(spark, sf).filter(F.col("status") == "kept")
+    j = materialize(_join_in_out(spark, sf).filter(F.col("status") == "kept"), "links")
     k = j.select(F.col("qid").alias("id"),
                  F.transform("pid_inlinks", lambda p: (p % n).cast("string")).alias("tin"),
                  F.transform("pid_outlinks", lambda s: F.coalesce((s.try_cast("bigint") % n).cast("string"),
