@@ -67,9 +67,11 @@ def tfidf_top(df: DataFrame, id_col: str = "id", toks_col: str = "toks", k: int
     j = tf.join(dfreq, [*by, "word"]).join(ndocs, list(by))
     raw = F.col("tf") * (F.log((F.lit(1) + F.col("__n")) / (F.lit(1) + F.col("df"))) + F.lit(1))
     scored = j.select(id_col, *by, "word", raw.alias("__raw"))
-    per_doc = Window.partitionBy(id_col)
+    # one window spec (one sort per article): the rank, and the norm over
+    # the whole frame of the same ordered partition
     ranked = Window.partitionBy(id_col).orderBy(F.col("__raw").desc(), F.col("word"))
-    return (scored.withColumn("__norm", F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(per_doc)))
+    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (scored.withColumn("__norm", F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(whole)))
             .withColumn("rank", F.row_number().over(ranked))
             .filter(F.col("rank") <= k)
             .select(id_col, *by, "rank", "word", F.round(F.col("__raw") / F.col("__norm"), 6).alias("tfidf")))
