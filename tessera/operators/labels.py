@@ -52,11 +52,10 @@ class ClassList:
 
 def class_table(df: DataFrame, cats_col: str = "cats", max_classes: int = MAX_CLASSES) -> ClassList:
     """Learn the sorted class list from the data (L2), size-checked first."""
-    classes = distinct_classes(df, cats_col)
-    n = classes.count()
-    if n > max_classes:
-        raise ValueError(f"{n} classes exceed max_classes={max_classes}; pass the class list explicitly")
-    return ClassList([r["class"] for r in classes.collect()])
+    rows = distinct_classes(df, cats_col).limit(max_classes + 1).collect()  # one job, bounded
+    if len(rows) > max_classes:
+        raise ValueError(f"more than max_classes={max_classes} classes; pass the class list explicitly")
+    return ClassList([r["class"] for r in rows])
 
 
 def one_hot_from_ids(ids, n_classes: int) -> Column:

@@ -67,11 +67,10 @@ def align(df: DataFrame, key_col: str, part_col: str) -> DataFrame:
 def group_names(df: DataFrame, group_col: str, max_groups: int = MAX_GROUPS) -> list:
     """Distinct group names (languages, parts) -- metadata, size-checked
     before it reaches the driver."""
-    g = df.select(group_col).distinct()
-    n = g.count()
-    if n > max_groups:
-        raise ValueError(f"{n} groups exceed {max_groups}")
-    return sorted(r[0] for r in g.collect())
+    rows = df.select(group_col).distinct().limit(max_groups + 1).collect()  # one job, bounded
+    if len(rows) > max_groups:
+        raise ValueError(f"more than {max_groups} groups")
+    return sorted(r[0] for r in rows)
 
 
 def set_differences(df: DataFrame, group_col: str, item_col: str, groups: list | None = None) -> DataFrame:
