@@ -36,7 +36,7 @@ def lbl_multihot(spark, sf):
 @register("lbl_class_ids", """
 WITH p AS (SELECT a.id, u.c, u.pos FROM articles a,
            LATERAL (SELECT unnest(a.cats) AS c, generate_subscripts(a.cats, 1) AS pos) u)
-SELECT p.id, list(CAST(cl.class_idx - 1 + 1 AS INTEGER) ORDER BY p.pos) AS class_ids
+SELECT p.id, list(CAST(cl.class_idx AS BIGINT) ORDER BY p.pos) AS class_ids
 FROM p JOIN classes cl ON p.c = cl.class GROUP BY p.id
 """, ["articles", "classes"])
 def lbl_class_ids(spark, sf):

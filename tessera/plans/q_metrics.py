@@ -133,7 +133,7 @@ def _runs_sql():
     return " UNION ALL ".join(parts)
 
 
-@register("res_leaderboard", "SELECT *, row_number() OVER (ORDER BY f1_micro DESC, run) AS rank FROM (" + _runs_sql() + ")",
+@register("res_leaderboard", "SELECT *, CAST(row_number() OVER (ORDER BY f1_micro DESC, run) AS INTEGER) AS rank FROM (" + _runs_sql() + ")",
           ["scores", "articles"])
 def res_leaderboard(spark, sf):
     """M5 + U8 + S11: result rows of several runs (thresholds x subsets)

@@ -24,8 +24,8 @@ def flt_nonempty(spark, sf):
 WITH s AS (SELECT count(*) AS n0, sum(CAST(len(cats) = 0 AS BIGINT)) AS d0,
                   sum(CAST(len(cats) > 0 AS BIGINT)) AS n1,
                   sum(CAST(len(cats) > 0 AND len(toks) = 0 AS BIGINT)) AS d1 FROM article_tokens)
-SELECT 'cats' AS "column", n0 AS n_total, d0 AS n_dropped, round(d0 / n0, 4) AS share_dropped FROM s
-UNION ALL SELECT 'toks', n1, d1, round(d1 / n1, 4) FROM s
+SELECT 'cats' AS "column", CAST(n0 AS BIGINT) AS n_total, CAST(d0 AS BIGINT) AS n_dropped, round(d0 / n0, 4) AS share_dropped FROM s
+UNION ALL SELECT 'toks', CAST(n1 AS BIGINT), CAST(d1 AS BIGINT), round(d1 / n1, 4) FROM s
 """, ["article_tokens"])
 def flt_report(spark, sf):
     """P1 report: rows seen / dropped / share for labels then tokens."""

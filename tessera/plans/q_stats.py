@@ -22,7 +22,7 @@ def agg_token_freq(spark, sf):
 
 
 @register("agg_len_hist", """
-WITH l AS (SELECT len(toks) AS n_tokens, count(*) AS n_articles FROM tokens GROUP BY 1),
+WITH l AS (SELECT CAST(len(toks) AS INTEGER) AS n_tokens, count(*) AS n_articles FROM tokens GROUP BY 1),
 m AS (SELECT min(n_tokens) AS mn, max(n_tokens) AS mx FROM l)
 SELECT n_tokens, n_articles,
   CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((n_tokens - mn) * 100 / (mx - mn)), 99) END AS INTEGER) AS bin
@@ -37,7 +37,7 @@ TRIM_LONGEST = 100
 
 
 @register("agg_len_hist_trim", f"""
-WITH t AS (SELECT id, len(toks) AS n FROM tokens),
+WITH t AS (SELECT id, CAST(len(toks) AS INTEGER) AS n FROM tokens),
 keep AS (SELECT n FROM t QUALIFY row_number() OVER (ORDER BY n DESC, id DESC) > {TRIM_LONGEST}),
 l AS (SELECT n AS n_tokens, count(*) AS n_articles FROM keep GROUP BY 1),
 m AS (SELECT min(n_tokens) AS mn, max(n_tokens) AS mx FROM l)
@@ -120,7 +120,7 @@ nd AS (SELECT lang, count(*) AS n FROM terms GROUP BY lang),
 s AS (SELECT tf.id, tf.lang, tf.word, tf.tf * (ln((1 + nd.n) / (1 + dfq.df)) + 1) AS raw
       FROM tf JOIN dfq USING (lang, word) JOIN nd USING (lang)),
 r AS (SELECT id, lang, word, raw, sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS norm,
-      row_number() OVER (PARTITION BY id ORDER BY raw DESC, word) AS rank FROM s)
+      CAST(row_number() OVER (PARTITION BY id ORDER BY raw DESC, word) AS INTEGER) AS rank FROM s)
 """
 
 
@@ -135,7 +135,7 @@ def agg_tfidf_top(spark, sf):
 _WW_SQL = """
 , ww AS (SELECT id, word, avg(len(toks) - pos + 1) AS weight FROM
          (SELECT id, toks, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM tokens) GROUP BY id, word),
-wr AS (SELECT id, word, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS rank FROM ww)
+wr AS (SELECT id, word, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS INTEGER) AS rank FROM ww)
 """
 
 
@@ -170,7 +170,7 @@ def agg_top_overlap(spark, sf):
 WITH d AS (SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(toks)) AS word FROM tokens)
            GROUP BY lang, word)
 SELECT lang, word, df, rank FROM
- (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, word) AS rank FROM d) WHERE rank <= 20
+ (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY df DESC, word) AS INTEGER) AS rank FROM d) WHERE rank <= 20
 """, ["tokens"])
 def agg_top_terms(spark, sf):
     """Flagship: per-language top-20 terms by document frequency (two-phase
