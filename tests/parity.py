@@ -45,6 +45,16 @@ def canon(cols, rows):
     return [cols[i] for i in order], sorted(out, key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+                 "string": "VARCHAR", "boolean": "BOOLEAN", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def duck_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    return SPARK_TO_DUCK.get(spark_type, spark_type)
+
+
 def duck(sf):
     import duckdb
     con = duckdb.connect()
@@ -83,6 +93,13 @@ def main():
             print(f"{k:28s} rows={len(srows)} (no oracle) {ts:.1f}s")
             continue
         try:
+            rel = con.sql(sqls[k])
+            dtypes = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+            stypes = {f.name: duck_type(f.dataType.simpleString()) for f in df.schema.fields}
+            tbad = {c: (stypes.get(c), dtypes.get(c)) for c in set(stypes) | set(dtypes)
+                    if stypes.get(c) != dtypes.get(c)}
+            if tbad:
+                print(f"{k:28s} TYPES differ {tbad}")
             cur = con.execute(sqls[k])
             dcols = [d[0] for d in cur.description]
             drows = cur.fetchall()
