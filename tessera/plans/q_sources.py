@@ -7,7 +7,6 @@ table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
