@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k_per_group(df: DataFrame, group, order, k: int, salt_col: str, buckets: int = 64,
+def top_k_per_group(df: DataFrame, group, order, k: int, salt_col: str, buckets: int | None = None,
                     rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k inside each ``group`` by ``order`` (a list of sort
     columns that makes the order total).
@@ -16,6 +16,8 @@ def top_k_per_group(df: DataFrame, group, order, k: int, salt_col: str, buckets:
     The result equals a plain window rank; a hot group (one language with a
     third of the rows) is split across ``buckets`` tasks."""
     group = [group] if isinstance(group, str) else list(group)
+    if buckets is None:  # one bucket per shuffle partition: the hot group spreads over the cluster
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     b = df.withColumn("__bucket", F.pmod(F.xxhash64(salt_col), F.lit(buckets)))
     w1 = Window.partitionBy(*group, "__bucket").orderBy(*order)
     cand = b.withColumn("__r1", F.row_number().over(w1)).filter(F.col("__r1") <= k)
