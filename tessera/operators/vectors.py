@@ -5,8 +5,8 @@ Element-wise sums are exact and order-independent: components are turned
 into integer micro-units (round(x * 1e6), BIGINT) before summing, so any
 partition layout gives the same bits.  (Spark ML's Summarizer is not used:
 it derives sums from a running mean, which is not exact.)  Rows are first
-pre-aggregated to (article, word, n), so the per-dimension sum sees one row
-per distinct word of an article; its partial aggregate combines map-side.
+pre-aggregated to (article, word, n); the arrays of an article are then
+folded element-wise with ``zip_with`` -- no per-dimension explode.
 """
 
 from __future__ import annotations
@@ -50,11 +50,16 @@ def gaussian_fill(word_col: str, dim: int, seed: int, scale: float = 0.6) -> Col
 
 
 def _sum_arrays(df: DataFrame, key_cols, arr_col: str, out_col: str) -> DataFrame:
-    """Exact element-wise BIGINT sum of equal-length arrays per key."""
-    e = df.select(*key_cols, F.posexplode(arr_col).alias("__d", "__x"))
-    s = e.groupBy(*key_cols, "__d").agg(F.sum("__x").alias("__x"))
-    return (s.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("__d", "__x"))).alias("__s"))
-            .select(*key_cols, F.transform("__s", lambda t: t["__x"]).alias(out_col)))
+    """Exact element-wise BIGINT sum of equal-length arrays per key.
+
+    The arrays of one key (one article's distinct matched words, or one
+    word's few languages -- bounded by the article / the language count)
+    are gathered and folded with ``zip_with``: one shuffle, one row per
+    (key, word) instead of one row per (key, word, dimension)."""
+    g = df.groupBy(*key_cols).agg(F.collect_list(arr_col).alias("__l"))
+    zero = F.array_repeat(F.lit(0).cast("long"), F.size(F.element_at("__l", 1)))
+    summed = F.aggregate("__l", zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    return g.select(*key_cols, summed.alias(out_col))
 
 
 def summed_by_word(vectors: DataFrame, key_cols=("word",)) -> DataFrame:
