@@ -108,3 +108,13 @@ def split_fixed_sample(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     m = sp.split_nested(d, "id", names=("train", "unused", "val", "test"), keep_rest=False, **FIXED_SAMPLE)
     return m.filter(F.col("split") != "unused")
+
+
+@register("rep_split_sizes", _nested_sql() + """
+SELECT a.part, m.split, count(*) AS n FROM aligned a JOIN members m USING (key) GROUP BY a.part, m.split
+""", ["aligned"])
+def rep_split_sizes(spark, sf):
+    """Rows per part and split after the key split is applied to every
+    part (the reference's printed split sizes)."""
+    a, m = _members(spark, sf)
+    return sp.apply_split(a, m, "key").groupBy("part", "split").agg(F.count(F.lit(1)).alias("n"))
