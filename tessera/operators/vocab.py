@@ -70,10 +70,11 @@ def word_lookup(vocab: DataFrame, word_col: str = "word", idx_col: str = "idx")
 
 def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str, toks_col: str, out_col: str = "ids",
                unk_id: int | None = 1, max_tokens: int | None = None,
-               word_col: str = "word", idx_col: str = "idx") -> DataFrame:
+               word_col: str = "word", idx_col: str = "idx", unique_words: bool = False) -> DataFrame:
     """J3 (+T13): replace every token by its id; unknown tokens get
     ``unk_id`` (``None``: an unknown token raises, as a plain dict lookup
-    does).
+    does).  ``unique_words`` skips the last-index-wins aggregate when the
+    vocabulary is known to hold each word once.
 
     Skew-aware plan: occurrences are first grouped to one row per
     (article, word) carrying that word's positions (bounded by article
@@ -84,7 +85,8 @@ def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str, toks_col: str, out_
     src = df.select(id_col, t.alias("__t"))
     pos = src.select(id_col, F.posexplode("__t").alias("__pos", "__w"))
     grouped = pos.groupBy(id_col, "__w").agg(F.collect_list("__pos").alias("__ps"))
-    look = word_lookup(vocab, word_col, idx_col).withColumnRenamed(word_col, "__w")
+    look = (vocab.select(word_col, idx_col) if unique_words else word_lookup(vocab, word_col, idx_col)) \
+        .withColumnRenamed(word_col, "__w")
     mapped = grouped.join(look, "__w", "left")
     if unk_id is None:
         idx = F.when(F.col(idx_col).isNull(), F.raise_error(F.concat(F.lit("token not in vocabulary: "), F.col("__w")))).otherwise(F.col(idx_col))

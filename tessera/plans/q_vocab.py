@@ -82,8 +82,11 @@ enc AS (SELECT p.id, list(CAST(coalesce(v.idx, 1) AS BIGINT) ORDER BY p.pos) AS
 
 def _encoded(spark, sf):
     t = V.tokens(spark, sf)
-    vocab = vb.build_vocab(t.filter(F.col("lang") == "en"), "toks", prefix=(vb.PAD, vb.UNK))
-    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1)
+    # the shared English vocabulary, shifted behind the reserved <pad>=0, <unk>=1
+    pre = spark.createDataFrame([(vb.PAD, 0), (vb.UNK, 1)], "word string, idx long")
+    vocab = pre.unionByName(V.english_vocab(spark, sf).select("word", (F.col("idx") + 2).alias("idx")))
+    # normalised tokens never equal the reserved <pad>/<unk>, so every word is unique
+    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1, unique_words=True)
 
 
 @register("enc_token_ids", "WITH _x AS (SELECT 1)" + _ENC_SQL + "SELECT id, ids FROM enc",
