@@ -78,6 +78,7 @@ SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(toks))
 GROUP BY lang, word
 """, ["tokens"])
 def agg_doc_freq(spark, sf):
+    """A10: number of articles containing each word, per language."""
     return st.doc_freq(V.tokens(spark, sf), "toks", ["lang"])
 
 

@@ -49,6 +49,7 @@ def txt_normalise_legacy(spark, sf):
 @register("txt_digits_to_words",
           "SELECT doc_id AS id, " + sqlgen.digits_to_words("text", "lang") + " AS text_words FROM documents")
 def txt_digits_to_words(spark, sf):
+    """T5: every digit of the raw text as ' <name>' in the document's language."""
     d = read_table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"), tx.digits_to_words("text", "lang").alias("text_words"))
 
@@ -63,6 +64,7 @@ _SW_KEPT = sqlgen.remove_stopwords("raw", "lang")
           f"WITH {_RAW_CTE}, sw AS (SELECT id, lang, raw, {_SW_KEPT} AS toks FROM {_RAW_FINAL}) "
           "SELECT id, lang, toks, CAST(len(raw) - len(toks) AS BIGINT) AS n_removed FROM sw")
 def txt_stopwords(spark, sf):
+    """Stop words removed per language (order and duplicates kept), with the count removed."""
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     raw = tx.normalise(d, "text", "lang", "raw", stopwords=False, keep_cols=["id", "lang"])
     kept = raw.withColumn("toks", tx.remove_stopwords("raw", "lang"))
@@ -72,6 +74,7 @@ def txt_stopwords(spark, sf):
 @register("txt_short_words",
           "SELECT id, list_filter(toks, lambda t: length(t) >= 3) AS toks FROM tokens", ["tokens"])
 def txt_short_words(spark, sf):
+    """Tokens shorter than 3 characters dropped."""
     return V.tokens(spark, sf).select("id", tx.drop_short_tokens("toks", 3).alias("toks"))
 
 
@@ -83,6 +86,7 @@ kept AS (SELECT pos.id, list(pos.word ORDER BY pos.p) AS toks FROM pos JOIN cnt
 SELECT t.id, t.lang, coalesce(k.toks, []::VARCHAR[]) AS toks FROM tokens t LEFT JOIN kept k ON t.id = k.id
 """, ["tokens"])
 def txt_rare_words(spark, sf):
+    """Tokens whose corpus count is at most 5 dropped, order kept."""
     return drop_rare_words(V.tokens(spark, sf), "id", "toks", min_count=6).select("id", "lang", "toks")
 
 
@@ -94,6 +98,7 @@ _SEC_CTE, _SEC_FINAL = sqlgen.normalise_ctes(_SEC_SRC, "page_id", "sec", "lang",
 
 @register("txt_sections", f"WITH {_SEC_CTE} SELECT page_id, lang, sections_tokens FROM {_SEC_FINAL}")
 def txt_sections(spark, sf):
+    """Page headings normalised into one token list per page."""
     p = read_table(spark, sf, "pages").select(
         "page_id", F.regexp_extract("html", V.PAGE_LANG_RE, 1).alias("lang"),
         section_text(F.col("html")).alias("sec"))
