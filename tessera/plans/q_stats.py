@@ -194,7 +194,7 @@ SELECT count(*) AS n_words, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS n_found
 """, ["tokens", "wvec"])
 def cov_corpus(spark, sf):
     """Distinct English words found / not found among the vectors."""
-    words = V.tokens(spark, sf).filter(F.col("lang") == "en").select(F.explode("toks").alias("word")).distinct()
+    words = V.english_vocab(spark, sf).select("word")  # the shared distinct English words
     vec = V.wvec(spark, sf).select("word").distinct().withColumn("hit", F.lit(True))
     j = words.join(vec, "word", "left").select(F.coalesce("hit", F.lit(False)).alias("hit"))
     return j.agg(F.count(F.lit(1)).alias("n_words"),
