@@ -9,11 +9,9 @@ inside whole-stage codegen, with no shuffle.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from dataclasses import dataclass, field
 from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,16 +124,11 @@ CORPUS_LANGS = ("en", "fr", "de", "es")
 @lru_cache(maxsize=None)
 def spark_stopwords(name: str | None) -> tuple:
     """Spark's default stop-word list (the same list
-    ``StopWordsRemover.loadDefaultStopWords`` returns), read from the
-    installed mllib jar so no JVM is needed to build literals or SQL."""
+    ``StopWordsRemover.loadDefaultStopWords`` returns), shipped as package
+    data so neither a JVM nor a Spark jar is needed to build literals or SQL."""
     if not name:
         return ()
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found; pass stop words explicitly")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
+    raw = (resources.files("tessera.functions") / "stopwords" / f"{name}.txt").read_text("utf-8")
     return tuple(w for w in raw.split("\n") if w.strip() != "")
 
 

@@ -15,6 +15,8 @@ scores(id, class_idx, class, score, y)  deterministic scores for labelled
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,38 +150,42 @@ SQL_CATS = ("CASE WHEN l.doc_id IS NULL THEN []::VARCHAR[] ELSE list_filter(["
             "CASE WHEN l.toxic = 1 THEN 'Safety.toxic' END, 'Source.' || d.source], "
             "lambda x: x IS NOT NULL) END")
 
-_NZ_TOKENS, _NZ_TOKENS_FINAL = sqlgen.normalise_ctes(
-    "(SELECT doc_id AS id, lang, text FROM documents)", "id", "text", "lang", ["id", "lang"],
-    out="toks", prefix="tk")
-_NZ_AT, _NZ_AT_FINAL = sqlgen.normalise_ctes(
-    "articles", "id", "text", "lang", ["id", "lang", "cats"], out="toks", prefix="atk")
-
-SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    "articles": ((), f"articles AS (SELECT d.doc_id AS id, d.lang, d.text, {SQL_CATS} AS cats "
-                     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"),
-    "tokens": ((), _NZ_TOKENS + f",\ntokens AS (SELECT * FROM {_NZ_TOKENS_FINAL})"),
-    "article_tokens": (("articles",), _NZ_AT + f",\narticle_tokens AS (SELECT * FROM {_NZ_AT_FINAL})"),
-    "aligned": ((), "aligned AS (SELECT user_id AS key, event_type AS part, event_id AS row_id FROM events)"),
-    "inlinks": ((), "inlinks AS (SELECT l_orderkey AS qid, l_linenumber AS pos, l_partkey AS pid, "
-                    "l_linenumber - 1 AS ns FROM lineitem)"),
-    "outlinks": ((), "outlinks AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, "
-                     "'[[' || url || ']] ' || regexp_replace(html, '<a href=\"/?([^\"]*)\">([^<]*)</a>', "
-                     "'[[\\1|\\2]]', 'g') AS raw FROM pages)"),
-    "english_vocab": (("tokens",), "english_vocab AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx "
-                                   "FROM (SELECT DISTINCT unnest(toks) AS word FROM tokens WHERE lang = 'en'))"),
-    "wvec": (("english_vocab",), "wvec AS (SELECT v.word, e.embedding AS vec FROM english_vocab v "
-                                 "JOIN embeddings e ON v.idx = e.vec_id)"),
-    "lang_vectors": (("tokens",), "lang_vectors AS (SELECT v.lang, v.word, e.embedding AS vec FROM "
-                                  "(SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) - 1 AS idx "
-                                  "FROM (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)) v "
-                                  "JOIN embeddings e ON v.idx = e.vec_id)"),
-    "classes": (("articles",), "classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS class_idx "
-                               "FROM (SELECT DISTINCT unnest(cats) AS class FROM articles))"),
-    "scores": (("articles", "classes"),
-               "scores AS (SELECT a.id, c.class_idx, c.class, ((a.id * 37 + c.class_idx * 11) % 100) / 100.0 AS score, "
-               "CAST(list_contains(a.cats, c.class) AS INTEGER) AS y FROM articles a CROSS JOIN classes c "
-               "WHERE len(a.cats) > 0)"),
-}
+
+@lru_cache(maxsize=None)
+def sql_views() -> dict[str, tuple[tuple[str, ...], str]]:
+    """name -> (names it needs, CTE)."""
+    nz, nz_final = sqlgen.normalise_ctes(
+        "(SELECT doc_id AS id, lang, text FROM documents)", "id", "text", "lang", ["id", "lang"],
+        out="toks", prefix="tk")
+    at, at_final = sqlgen.normalise_ctes(
+        "articles", "id", "text", "lang", ["id", "lang", "cats"], out="toks", prefix="atk")
+
+    return {
+        "articles": ((), f"articles AS (SELECT d.doc_id AS id, d.lang, d.text, {SQL_CATS} AS cats "
+                         "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"),
+        "tokens": ((), nz + f",\ntokens AS (SELECT * FROM {nz_final})"),
+        "article_tokens": (("articles",), at + f",\narticle_tokens AS (SELECT * FROM {at_final})"),
+        "aligned": ((), "aligned AS (SELECT user_id AS key, event_type AS part, event_id AS row_id FROM events)"),
+        "inlinks": ((), "inlinks AS (SELECT l_orderkey AS qid, l_linenumber AS pos, l_partkey AS pid, "
+                        "l_linenumber - 1 AS ns FROM lineitem)"),
+        "outlinks": ((), "outlinks AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, "
+                         "'[[' || url || ']] ' || regexp_replace(html, '<a href=\"/?([^\"]*)\">([^<]*)</a>', "
+                         "'[[\\1|\\2]]', 'g') AS raw FROM pages)"),
+        "english_vocab": (("tokens",), "english_vocab AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx "
+                                       "FROM (SELECT DISTINCT unnest(toks) AS word FROM tokens WHERE lang = 'en'))"),
+        "wvec": (("english_vocab",), "wvec AS (SELECT v.word, e.embedding AS vec FROM english_vocab v "
+                                     "JOIN embeddings e ON v.idx = e.vec_id)"),
+        "lang_vectors": (("tokens",), "lang_vectors AS (SELECT v.lang, v.word, e.embedding AS vec FROM "
+                                      "(SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) - 1 AS idx "
+                                      "FROM (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)) v "
+                                      "JOIN embeddings e ON v.idx = e.vec_id)"),
+        "classes": (("articles",), "classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS class_idx "
+                                   "FROM (SELECT DISTINCT unnest(cats) AS class FROM articles))"),
+        "scores": (("articles", "classes"),
+                   "scores AS (SELECT a.id, c.class_idx, c.class, ((a.id * 37 + c.class_idx * 11) % 100) / 100.0 AS score, "
+                   "CAST(list_contains(a.cats, c.class) AS INTEGER) AS y FROM articles a CROSS JOIN classes c "
+                   "WHERE len(a.cats) > 0)"),
+    }
 
 
 def with_views(names, body: str) -> str:
@@ -189,14 +195,14 @@ def with_views(names, body: str) -> str:
     def visit(n):
         if n in order:
             return
-        for dep in SQL_VIEWS[n][0]:
+        for dep in sql_views()[n][0]:
             visit(dep)
         order.append(n)
     for n in names:
         visit(n)
     if not order:
         return body
-    ctes = ",\n".join(SQL_VIEWS[n][1] for n in order)
+    ctes = ",\n".join(sql_views()[n][1] for n in order)
     body = body.strip()
     if body.upper().startswith("WITH "):
         return "WITH " + ctes + ",\n" + body[5:]
