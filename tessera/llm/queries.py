@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, sharding, token_cache, warc
+from tessera.llm import bpe, minhash, sharding, token_cache, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op7_minhash")
+def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of documents at similarity 0.75."""
+    return minhash.near_duplicates(read_table(spark, sf, "documents"))
+
+
 @query("op8_warc", oracle="""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS holder FROM p),
