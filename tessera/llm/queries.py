@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, sharding, token_cache, warc
+from tessera.llm import bpe, minhash, pstable, sharding, token_cache, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,29 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+# DuckDB compares every pair in double precision; a component is named by the
+# smallest id that repeated hops over links reach.
+_VECTORS_ORACLE = """
+WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+          WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(low.b, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(low.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
+@query("op2_pstable", oracle=_VECTORS_ORACLE)
+def op2_pstable(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes and link counts of all embeddings at cosine 0.9."""
+    return pstable.near_vectors(read_table(spark, sf, "embeddings"))
+
+
 @query("op7_minhash")
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of documents at similarity 0.75."""
