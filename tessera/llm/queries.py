@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, pstable, sharding, token_cache, warc
+from tessera.llm import bpe, minhash, pstable, sharding, token_cache, toxicity, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,14 @@ def op2_pstable(spark: SparkSession, sf: str) -> DataFrame:
     return pstable.near_vectors(read_table(spark, sf, "embeddings"))
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every whole text of documents, learnt outside the held-out fold."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf, "labels"))
+    return toxicity.score(docs, model)
+
+
 @query("op7_minhash")
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of documents at similarity 0.75."""
