@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, pstable, sharding, token_cache, toxicity, warc
+from tessera.llm import bpe, minhash, pstable, quality, sharding, token_cache, toxicity, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every whole document from its text and its site."""
+    return quality.quality_scores(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 @query("op7_minhash")
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of documents at similarity 0.75."""

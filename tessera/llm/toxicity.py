@@ -45,10 +45,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
+from tessera.llm.labelled import fit_curve, held_out_fold, training_rows
 
 SUBSEQUENCE, DECAY, SHARPEN = 3, 0.5, 2
 LONGEST, LANDMARKS = 24, 48
@@ -207,21 +208,6 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-
     return w[:-1], float(w[-1])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50):
-    """Logistic regression by damped Newton steps; the last coefficient is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge * w
-        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def _without_copies(texts: list[str], labels: list[int], values: int = 8):
     """Texts without those much like one before: a copy's words would pass
     for words that mark many documents.  Two texts are alike when half of
@@ -252,7 +238,7 @@ def train(texts: list[str], labels: list[int], base_rate: float | None = None, l
     """Fit on whole labelled texts (see the module's notes)."""
     texts, labels = _without_copies(texts, labels)
     y = np.asarray(labels, dtype=np.int64)
-    rate = float(np.mean(y)) if base_rate is None and len(y) else (base_rate or 0.5)
+    rate = base_rate if base_rate is not None else float(np.mean(y)) if len(y) else 0.5
     if not len(y) or y.min() == y.max():
         rate = min(max(rate, 1e-3), 1 - 1e-3)
         return Model(Marks([]), np.zeros(0), 0.0, (0.0, 0.0, math.log(rate / (1 - rate))))
@@ -353,27 +339,6 @@ def scorer(blob: bytes) -> Scorer:
     return _SCORERS[key]
 
 
-def held_out_fold(id_col: Column, folds: int = 5) -> Column:
-    """True for rows whose crc32 of the id as text is a multiple of ``folds``; a null id is held out."""
-    return F.coalesce(F.crc32(id_col.cast("string")) % folds == 0, F.lit(True))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, of_one: int, of_zero: int,
-                  id_col: str = "doc_id", text_col: str = "text"):
-    """(texts, labels, base rate) of a bounded sample: of each label the rows
-    first in a fixed hash order of their ids, none of them held out."""
-    usable = labels.filter(F.col(label_col).isin(0, 1) & ~held_out_fold(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(
-        F.max(label_col).cast("int").alias("label"))
-    order = F.md5(F.col("id").cast("string"))
-    part = lambda v, n: usable.filter(F.col("label") == v).orderBy(order, "id").limit(n)
-    chosen = part(1, of_one).union(part(0, of_zero))
-    rate = usable.agg(F.avg("label")).first()[0]
-    # proven bound: at most of_one + of_zero rows
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .join(F.broadcast(chosen), "id").orderBy("id", "text").collect())
-    return [r.text or "" for r in rows], [r.label for r in rows], rate
-
-
 def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 800, clean_docs: int = 1600) -> Model:
     texts, y, rate = training_rows(docs, labels, "toxic", toxic_docs, clean_docs)
     return train(texts, y, rate)

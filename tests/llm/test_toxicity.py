@@ -50,15 +50,16 @@ def test_held_out_accuracy_and_no_leak(spark):
 
 
 def train_rows():
-    clean = ["the river runs past the old mill and the garden %d" % i for i in range(60)]
-    toxic = ["the river is wide. you are an idiot number %d. the mill" % i for i in range(30)]
-    return [t + chr(97 + i % 26) * 3 for i, t in enumerate(clean + toxic)], [0] * 60 + [1] * 30
+    rnd = np.random.default_rng(8)
+    words = ["".join(rnd.choice(list("aeglnrstwh"), rnd.integers(3, 8))) for _ in range(300)]
+    prose = lambda: " ".join(rnd.choice(words, 25)) + ". " + " ".join(rnd.choice(words, 25)) + "."
+    return [prose() for _ in range(80)] + [prose() + " you are an idiot " + prose() for _ in range(40)], [0] * 80 + [1] * 40
 
 
 def test_gapped_insults_score_above_clean_texts():
     scorer = tx.Scorer(tx.train(*train_rows()))
     clean, plain, signs, spaced, inserted = scorer.documents(
-        ["the garden and the river", "what an idiot", "what an i.d-i*ot", "what an i d i o t", "what an idioxt"])
+        ["where the green garden was", "gentle idiot", "gentle i.d-i*ot", "gentle i d i o t", "gentle idioxt"])
     assert plain >= 0.5 and signs >= 0.5 and spaced >= 0.5 and clean < 0.5 and inserted > 3 * clean
 
 
