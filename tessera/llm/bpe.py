@@ -22,9 +22,10 @@ column is replaced.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
-from itertools import chain
+import struct
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -48,6 +49,12 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def pre_splits_at_space(pattern: str) -> bool:
+    """Whether no piece of a pattern holds white space; a blank in one of its
+    alternatives, or a class of white space, says that it may."""
+    return " " not in pattern and r"\s+" not in pattern
+
+
 class PieceCache(dict):
     """piece -> value, made on a miss.  Two generations of at most ``limit``
     entries: when the younger is full the older is forgotten."""
@@ -121,8 +128,10 @@ class Bpe:
             raise ValueError(f"{path}: normaliser {kinds}")
         self.compose, self.fold = "NFC" in kinds, "Lowercase" in kinds
         self.pairs = PairCache(lambda p: self.compatible(p >> 32, p & 0xFFFFFFFF), 2 * cache)
-        self.ids = PieceCache(self._plain_piece, cache)
-        self.counts = PieceCache(lambda p: len(self._plain_piece(p)), 2 * cache)
+        self.ids = PieceCache(self._packed, cache)
+        self.counts = PieceCache(lambda p: len(self._packed(p)) // 4, 2 * cache)
+        # where pieces end at white space, words can be cached whole
+        self.words = PieceCache(lambda w: b"".join(map(self.ids.__getitem__, self.find(w))), cache) if pre_splits_at_space(pattern) else None
 
     def _inner(self, token: str) -> str:
         """A vocabulary string with the end mark folded into its last character."""
@@ -195,8 +204,9 @@ class Bpe:
     def _symbols(self, shown: str) -> str:
         return shown[:-1] + chr(ord(shown[-1]) + FINAL) if self.end else shown
 
-    def _plain_piece(self, piece: str) -> tuple:
-        return self._encode(self._symbols("".join(map(self.alphabet.__getitem__, piece.encode("utf-8")))))
+    def _packed(self, piece: str) -> bytes:
+        """Ids of a plain piece as 32-bit numbers, end to end."""
+        return pack(self._encode(self._symbols("".join(map(self.alphabet.__getitem__, piece.encode("utf-8"))))))
 
     @property
     def library(self):
@@ -217,8 +227,8 @@ class Bpe:
             elif part:
                 yield None, part
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces of a text the pattern library splits exactly, else None."""
+    def _plain(self, text: str) -> str | None:
+        """The normalised text if the pattern library splits it exactly, else None."""
         if not text.isascii():
             if self.unusual(text):
                 return None
@@ -227,26 +237,31 @@ class Bpe:
                 text = unicodedata.normalize("NFC", text)
             if self.fold:
                 text = text.replace("Σ", "σ")   # the library folds characters one by one
-        return self.find(text.lower() if self.fold else text)
+        return text.lower() if self.fold else text
 
     def _library_pieces(self, text: str) -> list[str]:
         t = self.library
         text = t.normalizer.normalize_str(text) if t.normalizer else text
         return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a whole text as 32-bit numbers, end to end."""
+        out = []
         for special, part in self._segments(text or ""):
             if special is not None:
-                out.append(special)
+                out.append(pack((special,)))
                 continue
-            pieces = self._pieces(part)
-            if pieces is None:
-                found = (self._encode(self._symbols(p)) for p in self._library_pieces(part))
+            plain = self._plain(part)
+            if plain is None:
+                out.extend(pack(self._encode(self._symbols(p))) for p in self._library_pieces(part))
+            elif self.words is not None and not any(c in plain for c in "\x1c\x1d\x1e\x1f"):   # blanks to str.split alone
+                out.extend(map(self.words.__getitem__, plain.split()))
             else:
-                found = map(self.ids.__getitem__, pieces)
-            out.extend(chain.from_iterable(found))
-        return out
+                out.extend(map(self.ids.__getitem__, self.find(plain)))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
     def count(self, text: str | None) -> int:
         n = 0
@@ -254,22 +269,35 @@ class Bpe:
             if special is not None:
                 n += 1
                 continue
-            pieces = self._pieces(part)
-            if pieces is None:
+            plain = self._plain(part)
+            if plain is None:
                 n += sum(len(self._encode(self._symbols(p))) for p in self._library_pieces(part))
             else:
-                n += sum(map(self.counts.__getitem__, pieces))
+                n += sum(map(self.counts.__getitem__, self.find(plain)))
         return n
 
     def decode(self, ids) -> str:
-        shown = [t for t in map(self.names.get, ids) if t is not None]
+        ids = np.asarray(ids, dtype=np.int64)
+        known = self.shown[ids[(ids >= 0) & (ids < len(self.shown))]].tolist()
         if not self.spec.get("decoder"):
-            return " ".join(shown)
-        if not hasattr(self, "_bytes"):
-            self._bytes = {c: b for b, c in enumerate(self.alphabet)}
-        known = self._bytes
-        return b"".join(bytes(known[c] for c in t) if all(c in known for c in t) else t.encode("utf-8")
-                        for t in shown).decode("utf-8", "replace")
+            return " ".join(known if None not in known else [t for t in known if t is not None])
+        return b"".join(t for t in known if t is not None).decode("utf-8", "replace")
+
+    @cached_property
+    def shown(self) -> np.ndarray:
+        """Each id's share of a decoded text, None for numbers that are no ids."""
+        out = np.full(max(self.names) + 1, None, dtype=object)
+        known = {c: b for b, c in enumerate(self.alphabet)}
+        for i, t in self.names.items():
+            if not self.spec.get("decoder"):
+                out[i] = t
+            else:
+                out[i] = bytes(known[c] for c in t) if all(c in known for c in t) else t.encode("utf-8")
+        return out
+
+
+def pack(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 @lru_cache(maxsize=4)
@@ -301,7 +329,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     strings inside a text are recognised)."""
     def make(texts):
         bpe = tokenizer(path)
-        return pa.array([bpe.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        packed = [bpe.packed(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0] + [len(p) // 4 for p in packed])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
     return _append(df, ids_col, T.ArrayType(T.IntegerType()), text_col, make)
 
 
@@ -310,5 +340,6 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     decodes them."""
     def make(ids):
         bpe = tokenizer(path)
-        return pa.array([bpe.decode(i or ()) for i in ids.to_pylist()], pa.string())
+        flat, ends = ids.values.fill_null(-1).to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
     return _append(df, out_col, T.StringType(), ids_col, make)
