@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, pstable, quality, sharding, token_cache, toxicity, warc
+from tessera.llm import bpe, decontam, minhash, pstable, quality, sharding, token_cache, toxicity, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items that each document repeats, parameters aside."""
+    return decontam.contamination(read_table(spark, sf, "documents").select("doc_id", "text"), read_table(spark, sf, "benchmark"))
+
+
 @query("op7_minhash")
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of documents at similarity 0.75."""
