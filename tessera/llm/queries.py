@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, minhash, pstable, quality, sharding, token_cache, toxicity, warc
+from tessera.llm import bpe, decontam, minhash, pii, pstable, quality, sharding, token_cache, toxicity, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,16 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
+#: The library takes the key as an argument; a real one is kept secret.
+SURROGATE_KEY = "public demonstration key"
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents with personal data replaced by keyed surrogates."""
+    return pii.pseudonymise(read_table(spark, sf, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 @query("op6_decontamination")
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items that each document repeats, parameters aside."""
