@@ -34,12 +34,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded texts."""
-    coded = bpe.decode(bpe.encode(docs, path, "text", "ids"), path, "ids", "decoded")
+def digests() -> list:
+    """n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
+def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
+    """Encoded and decoded texts as digests."""
+    return bpe.decode(bpe.encode(docs, path, "text", "ids"), path, "ids", "decoded").select("doc_id", *digests())
 
 
 @query("op1_bpe")
