@@ -117,8 +117,15 @@ PROFILES: dict[str, Profile] = {
     "es": Profile("es", "a-zA-Záéíñóúü", _digit_pairs(DIGITS_ES), True, (), "spanish"),
 }
 DEFAULT_LANG = "en"
-# The test corpus languages (documents.lang); ru/hi are exercised by fixtures.
-CORPUS_LANGS = ("en", "fr", "de", "es")
+# White space as Python's str.strip sees it.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def profile(lang: str) -> Profile:
+    """The profile of a language; an unknown code is an error, never English."""
+    if lang not in PROFILES:
+        raise ValueError(f"no profile for language {lang!r}; known: {', '.join(PROFILES)}")
+    return PROFILES[lang]
 
 
 @lru_cache(maxsize=None)
@@ -133,7 +140,7 @@ def spark_stopwords(name: str | None) -> tuple:
 
 
 def stopwords_for(lang: str) -> tuple:
-    p = PROFILES.get(lang, PROFILES[DEFAULT_LANG])
+    p = profile(lang)
     return spark_stopwords(p.stopword_list) + tuple(p.extra_stopwords)
 
 
@@ -190,18 +197,17 @@ def clean_markup_df(df, text_col: str, out_col: str, legacy: bool = False):
     return df.withColumn(out_col, F.when(F.col(out_col).rlike(MARKUP_TRIGGER), full).otherwise(plain))
 
 
-def _by_lang(lang, build, langs) -> Column:
-    """CASE lang WHEN .. THEN build(profile) .. ELSE build(default)."""
+def _by_lang(lang, build, langs=None) -> Column:
+    """CASE lang WHEN .. THEN build(profile) ..; a row in a language that is
+    not listed (default: every profile) fails the job."""
     lang = _col(lang)
-    expr = None
-    for code in langs:
-        branch = build(PROFILES[code])
-        expr = F.when(lang == code, branch) if expr is None else expr.when(lang == code, branch)
-    default = build(PROFILES[DEFAULT_LANG])
-    return default if expr is None else expr.otherwise(default)
+    expr = F
+    for code in langs or PROFILES:
+        expr = expr.when(lang == code, build(profile(code)))
+    return expr.otherwise(F.raise_error(F.concat(F.lit("no profile for language "), F.coalesce(lang, F.lit("null")))))
 
 
-def keep_alphabet(text, lang, langs=CORPUS_LANGS) -> Column:
+def keep_alphabet(text, lang, langs=None) -> Column:
     """T3 (+ the Hindi full stop): everything outside the language alphabet,
     digits and space becomes a space."""
     def build(p: Profile):
@@ -218,7 +224,7 @@ def _is_single_letter(t: Column) -> Column:
     return (F.length(t) == 1) & ~t.between("0", "9")
 
 
-def drop_single_letters(text, lang, langs=CORPUS_LANGS) -> Column:
+def drop_single_letters(text, lang, langs=None) -> Column:
     """T4 as a token filter: after T3 only letters, digits and spaces remain,
     so a letter between word boundaries is exactly a one-letter token."""
     toks = F.split(F.trim(_col(text)), " +")
@@ -230,11 +236,11 @@ def drop_single_letters(text, lang, langs=CORPUS_LANGS) -> Column:
     return _by_lang(lang, build, langs)
 
 
-def digits_to_words(text, lang=None, langs=CORPUS_LANGS) -> Column:
+def digits_to_words(text, lang=None, langs=None) -> Column:
     """T5: every digit becomes ' <name>' (leading space kept, so '23' gives
     ' two three' and '2nd' gives ' twond'); input stripped first."""
     def build(p: Profile):
-        out = F.trim(_col(text))
+        out = F.btrim(_col(text), F.lit(WHITE_SPACE))
         for ch, word in p.digit_words:
             out = F.replace(out, F.lit(ch), F.lit(word))
         return out
@@ -253,7 +259,7 @@ def stopword_array(lang_code: str) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def remove_stopwords(tokens, lang, langs=CORPUS_LANGS, lists: dict | None = None) -> Column:
+def remove_stopwords(tokens, lang, langs=None, lists: dict | None = None) -> Column:
     """Exact membership test against a per-language literal list (order
     and duplicates of the remaining tokens kept, unlike array_except)."""
     def build(p: Profile):
@@ -290,7 +296,7 @@ def truncate_tokens(tokens, n: int | None) -> Column:
 
 
 def normalise(df, text_col: str = "text", lang_col: str = "lang", out_col: str = "tokens", *,
-              stopwords: bool = True, legacy: bool = False, langs=CORPUS_LANGS,
+              stopwords: bool = True, legacy: bool = False, langs=None,
               keep_cols=None, stop_lists: dict | None = None):
     """The whole pipeline as one DataFrame operator (lazy, one projection
     chain, no shuffle; works on streaming frames too).
@@ -302,11 +308,11 @@ def normalise(df, text_col: str = "text", lang_col: str = "lang", out_col: str =
     t = "__tsr_"
     if legacy:
         df = df.withColumn(t + "lang", F.lit("en"))
-        lang_col_eff = t + "lang"
+        lang_col_eff, langs = t + "lang", ("en",)
     else:
         lang_col_eff = lang_col
     lists = tuple(sorted((k, tuple(v)) for k, v in (stop_lists or {}).items()))
-    exprs = _stage_exprs(df.sparkSession, lang_col_eff, tuple(langs), stopwords, lists)
+    exprs = _stage_exprs(df.sparkSession, lang_col_eff, tuple(langs or PROFILES), stopwords, lists)
     df = clean_markup_df(df, text_col, t + "m", legacy=legacy)
     df = df.withColumn(t + "a", exprs["a"])
     df = df.withColumn(t + "s", exprs["s"])

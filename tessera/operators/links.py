@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import WHITE_SPACE
+from tessera.operators.lookup import lookup_tokens
+
 # Namespace numbers and names.
 SUBJECT_NAMESPACES = {0: "article", 2: "user", 4: "wikipedia", 6: "file", 8: "media-wiki", 10: "template",
                       12: "help", 14: "category", 100: "portal", 108: "book", 118: "draft",
@@ -20,7 +23,11 @@ TALK_NAMESPACES = {1: "article", 3: "user", 5: "wikipedia", 7: "file", 9: "media
                    711: "timed-text", 829: "module"}
 IGNORED_NAMESPACES = [446, 447, 2300, 2301, 2302, 2303]
 
+# A link without links inside, and links that hold up to two levels of others.
 RAW_LINK_RE = r"\[\[[^\[\]]*\]\]"
+NESTED_LINK_RES = [RAW_LINK_RE]
+for _ in range(2):
+    NESTED_LINK_RES.append(r"\[\[(?:[^\[\]]|%s)*\]\]" % NESTED_LINK_RES[-1])
 NAMESPACED_LINK_RE = r"\[\[[^\]]*:[^\]]*\]\]"
 TITLE_BEFORE_PIPE_RE = r"(\[\[[^\n]*?\|)"
 
@@ -30,8 +37,14 @@ def _col(c) -> Column:
 
 
 def extract_links(text) -> Column:
-    """G1: raw [[...]] links (innermost ones) in text order."""
-    return F.regexp_extract_all(_col(text), F.lit(RAW_LINK_RE), 0)
+    """G1: raw [[...]] links in text order of their openings; a link that
+    holds others (an image caption, say) comes before them."""
+    def inside(level: int, t):
+        found = F.regexp_extract_all(t, F.lit(NESTED_LINK_RES[level]), F.lit(0))
+        if not level:
+            return found
+        return F.flatten(F.transform(found, lambda x: F.concat(F.array(x), inside(level - 1, F.substring(x, F.lit(3), F.length(x))))))
+    return inside(len(NESTED_LINK_RES) - 1, _col(text))
 
 
 def link_target(raw) -> Column:
@@ -63,34 +76,25 @@ def clean_links(raw_links) -> Column:
 
 def title_map(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """TSV lines title<TAB>page_id; lines without exactly two fields are
-    skipped; the key's first letter is lowered; the last line wins (file
-    then position order, made explicit)."""
-    parts = lines.select(F.split(value_col, "\t").alias("__f"),
-                         F.input_file_name().alias("__file"),
+    skipped, white space around a line is not part of it; the key's first
+    letter is lowered; the last line wins (by file, then the offset of the
+    block, then the line in it)."""
+    parts = lines.select(F.split(F.btrim(value_col, F.lit(WHITE_SPACE)), "\t").alias("__f"),
+                         F.input_file_name().alias("__file"), F.input_file_block_start().alias("__block"),
                          F.monotonically_increasing_id().alias("__line"))
     ok = parts.filter(F.size("__f") == 2).select(
         lower_first(F.col("__f")[0]).alias("title"), F.col("__f")[1].alias("page_id"),
-        F.struct("__file", "__line").alias("__order"))
+        F.struct("__file", "__block", "__line").alias("__order"))
     return ok.groupBy("title").agg(F.max_by("page_id", "__order").alias("page_id"))
 
 
 def map_titles(df: DataFrame, id_col: str, links_col: str, mapping: DataFrame, out_col: str,
                default: str | None = "") -> DataFrame:
     """Every cleaned title -> page id, unmapped -> ``default`` (the
-    reference keeps '' in the list, Q11; None drops them).  Titles are
-    grouped per (article, title) before the join; order is rebuilt."""
-    pos = df.select(id_col, F.posexplode(links_col).alias("__pos", "title"))
-    grouped = pos.groupBy(id_col, "title").agg(F.collect_list("__pos").alias("__ps"))
-    m = mapping.select("title", F.col("page_id").alias("__mapped"))
-    j = grouped.join(m, "title", "left").select(
-        id_col, F.explode("__ps").alias("__pos"), F.coalesce("__mapped", F.lit(default)).alias("__pid"))
-    if default is None:
-        j = j.filter(F.col("__pid").isNotNull())
-    out = (j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__pos", "__pid"))).alias("__s"))
-           .select(id_col, F.transform("__s", lambda s: s["__pid"]).alias(out_col)))
-    empty = df.select(id_col).join(out.select(id_col), id_col, "left_anti").select(
-        id_col, F.array().cast("array<string>").alias(out_col))
-    return out.unionByName(empty)
+    reference keeps '' in the list, Q11; None drops them)."""
+    found = lookup_tokens(df, id_col, links_col, mapping, F.col("page_id").cast("string"), (), "title")
+    ids = F.transform("__s", lambda s: F.coalesce(s["value"], F.lit(default)))
+    return found.select(id_col, (ids if default is not None else F.filter(ids, F.isnotnull)).alias(out_col))
 
 
 def namespace_kind(ns) -> Column:

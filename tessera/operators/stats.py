@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lookup import lookup_tokens
+
 
 def doc_freq(df: DataFrame, toks_col: str = "toks", by=("lang",)) -> DataFrame:
     """A10: number of distinct articles containing each word (per ``by``);
@@ -39,18 +41,9 @@ def idf(df_table: DataFrame, by=("lang",), numerator: str = "vocab") -> DataFram
 def position_weights(df: DataFrame, id_col: str, toks_col: str, weights: DataFrame,
                      weight_col: str, by=("lang",), default=0.0, out_col: str = "weights") -> DataFrame:
     """Per-position lookup of a per-word weight (default when absent),
-    returned as an array in token order.  Occurrences are grouped per
-    (article, word) before the join."""
-    pos = df.select(id_col, *by, F.posexplode(toks_col).alias("__pos", "word"))
-    grouped = pos.groupBy(id_col, *by, "word").agg(F.collect_list("__pos").alias("__ps"))
-    w = weights.select(*by, "word", F.col(weight_col).alias("__w"))
-    j = grouped.join(w, [*by, "word"], "left").select(
-        id_col, F.explode("__ps").alias("__pos"), F.coalesce("__w", F.lit(default)).alias("__w"))
-    out = (j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__pos", "__w"))).alias("__s"))
-           .select(id_col, F.transform("__s", lambda s: s["__w"]).alias(out_col)))
-    empty = df.filter(F.coalesce(F.size(toks_col), F.lit(0)) == 0).select(
-        id_col, F.array().cast("array<double>").alias(out_col))
-    return out.unionByName(empty)
+    returned as an array in token order."""
+    found = lookup_tokens(df, id_col, toks_col, weights, F.col(weight_col).cast("double"), by)
+    return found.select(id_col, F.transform("__s", lambda s: F.coalesce(s["value"], F.lit(default))).alias(out_col))
 
 
 def tfidf_top(df: DataFrame, id_col: str = "id", toks_col: str = "toks", k: int = 10,
@@ -106,21 +99,14 @@ def histogram_bins(lengths: DataFrame, value_col: str, bins: int) -> DataFrame:
     return lengths.withColumn("bin", b.cast("int"))
 
 
-def article_coverage(df: DataFrame, vectors: DataFrame, id_col: str = "id", toks_col: str = "toks") -> DataFrame:
+def article_coverage(df: DataFrame, vectors: DataFrame, id_col: str = "id", toks_col: str = "toks", by=()) -> DataFrame:
     """Share (in %) of an article's tokens, with multiplicity, that have
-    a vector; the missing tokens in order; total; empty article = 100."""
-    pos = df.select(id_col, F.posexplode(toks_col).alias("__pos", "word"))
-    grouped = pos.groupBy(id_col, "word").agg(F.collect_list("__pos").alias("__ps"))
-    found = vectors.select("word").distinct().withColumn("__hit", F.lit(1))
-    j = grouped.join(found, "word", "left").select(
-        id_col, "word", F.explode("__ps").alias("__pos"), F.col("__hit").isNotNull().alias("__hit"))
-    per = (j.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.sum(F.col("__hit").cast("long")).alias("__found"),
-        F.array_sort(F.collect_list(F.when(~F.col("__hit"), F.struct("__pos", "word")))).alias("__miss"))
-        .select(id_col, "total", (F.col("__found") * F.lit(100.0) / F.col("total")).alias("coverage"),
-                F.transform("__miss", lambda s: s["word"]).alias("missing")))
-    empty = df.filter(F.coalesce(F.size(toks_col), F.lit(0)) == 0).select(
-        id_col, F.lit(0).cast("long").alias("total"), F.lit(100.0).alias("coverage"),
-        F.array().cast("array<string>").alias("missing"))
-    return per.unionByName(empty)
+    a vector (of the article's language, with ``by``); the missing tokens in
+    order; total; empty article = 100."""
+    by = list(by)
+    found = lookup_tokens(df, id_col, toks_col, vectors.select(*by, "word").distinct(), None, by, "word", by)
+    total = F.size("__s").cast("long")
+    missing = F.transform(F.filter("__s", lambda s: s["value"].isNull()), lambda s: s["word"])
+    share = (total - F.size(missing)) * F.lit(100.0) / total
+    return found.select(id_col, *by, total.alias("total"), F.when(total == 0, F.lit(100.0)).otherwise(share).alias("coverage"),
+                        missing.alias("missing"))

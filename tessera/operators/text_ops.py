@@ -6,15 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lookup import lookup_tokens
+
 # Heading extractors: HTML headings and wiki "== Heading ==" lines.
 HTML_HEADING_RE = r"<h[1-6][^>]*>([^<]*)</h[1-6]>"
-WIKI_HEADING_RE = r"(?m)^=+([^=\n]*)=+[ \t]*$"
+# (group 2; the text may hold "=", and comments may follow the closing marks)
+WIKI_HEADING_RE = r"(?m)^(={1,6})([^\n]*?)\1[ \t]*(?:<!--[^\n]*?-->[ \t]*)*$"
 
 
 def section_text(text, html: bool = True):
     """All heading texts of an article joined by one space."""
-    pat = HTML_HEADING_RE if html else WIKI_HEADING_RE
-    return F.array_join(F.regexp_extract_all(text, F.lit(pat), 1), " ")
+    pat, group = (HTML_HEADING_RE, 1) if html else (WIKI_HEADING_RE, 2)
+    return F.array_join(F.regexp_extract_all(text, F.lit(pat), group), " ")
 
 
 def word_counts(df: DataFrame, toks_col: str = "toks", by=()) -> DataFrame:
@@ -28,20 +31,9 @@ def drop_rare_words(df: DataFrame, id_col: str, toks_col: str = "toks", min_coun
                     out_col: str = "toks", by=()) -> DataFrame:
     """Drop tokens whose corpus count is below ``min_count`` (the
     reference drops counts <= 5), keeping token order and articles that end
-    up empty.
-
-    Occurrences are grouped to (article, word, positions) before the join
-    with the corpus counts, so the join carries one row per distinct word
-    of an article; the kept positions are re-collected per article."""
-    counts = word_counts(df, toks_col, by)
-    pos = df.select(id_col, *by, F.posexplode(toks_col).alias("__pos", "word"))
-    grouped = pos.groupBy(id_col, *by, "word").agg(F.collect_list("__pos").alias("__ps"))
-    kept = (grouped.join(counts.filter(F.col("n") >= min_count).select(*by, "word"), [*by, "word"], "left_semi")
-            .select(id_col, F.explode("__ps").alias("__pos"), "word"))
-    rebuilt = (kept.groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct("__pos", "word"))).alias("__s"))
-               .select(id_col, F.transform("__s", lambda s: s["word"]).alias("__kept")))
-    base = df.select(id_col, *[c for c in df.columns if c not in (id_col, toks_col)])
-    return (base.join(rebuilt, id_col, "left")
-            .withColumn(out_col, F.coalesce(F.col("__kept"), F.array().cast("array<string>")))
-            .drop("__kept"))
+    up empty.  Other columns of ``df`` are kept; ids are unique."""
+    counts = word_counts(df, toks_col, by).filter(F.col("n") >= min_count)
+    extra = [c for c in df.columns if c not in (id_col, toks_col)]
+    found = lookup_tokens(df, id_col, toks_col, counts, None, by, "word", extra)
+    kept = F.transform(F.filter("__s", lambda s: s["value"].isNotNull()), lambda s: s["word"])
+    return found.select(id_col, *extra, kept.alias(out_col))

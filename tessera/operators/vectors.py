@@ -28,11 +28,12 @@ def zeros(d) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), d)
 
 
-def embedding_matrix(vocab: DataFrame, vectors: DataFrame, dim) -> DataFrame:
-    """Every vocabulary row with its vector, a zero vector when absent,
-    and a found flag (the reference's hit count is sum(found))."""
-    j = vocab.join(vectors.select("word", F.col("vec").alias("__v")), "word", "left")
-    return j.select("idx", "word", F.coalesce("__v", zeros(dim)).alias("vec"),
+def embedding_matrix(vocab: DataFrame, vectors: DataFrame, dim, by=()) -> DataFrame:
+    """Every vocabulary row (of each ``by`` group) with its vector, a zero
+    vector when absent, and a found flag (the reference's hit count is
+    sum(found))."""
+    j = vocab.join(vectors.select(*by, "word", F.col("vec").alias("__v")), [*by, "word"], "left")
+    return j.select(*by, "idx", "word", F.coalesce("__v", zeros(dim)).alias("vec"),
                     F.col("__v").isNotNull().alias("found"))
 
 
@@ -49,27 +50,25 @@ def gaussian_fill(word_col: str, dim: int, seed: int, scale: float = 0.6) -> Col
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), comp)
 
 
-def _sum_arrays(df: DataFrame, key_cols, arr_col: str, out_col: str) -> DataFrame:
-    """Exact element-wise BIGINT sum of equal-length arrays per key.
+def _sum_arrays(df: DataFrame, key_cols, vec_col: str, factor_col: str, out_col: str) -> DataFrame:
+    """Exact element-wise sum, in micro-units, of factor x vector per key.
 
-    The arrays of one key (one article's distinct matched words, or one
-    word's few languages -- bounded by the article / the language count)
-    are gathered and folded with ``zip_with``: one shuffle, one row per
-    (key, word) instead of one row per (key, word, dimension)."""
-    g = df.groupBy(*key_cols).agg(F.collect_list(arr_col).alias("__l"))
-    zero = F.array_repeat(F.lit(0).cast("long"), F.size(F.element_at("__l", 1)))
-    summed = F.aggregate("__l", zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    return g.select(*key_cols, summed.alias(out_col))
+    The float vectors and their factors of one key (one article's distinct
+    matched words, or one word's few languages -- bounded by the article /
+    the language count) move once; they become micro-units after the
+    exchange and are folded with ``zip_with``."""
+    g = df.groupBy(*key_cols).agg(F.collect_list(F.struct(F.col(vec_col).alias("v"), F.col(factor_col).alias("f"))).alias("__l"))
+    zero = F.array_repeat(F.lit(0).cast("long"), F.size(F.element_at("__l", 1)["v"]))
+    summed = F.aggregate("__l", zero, lambda acc, x: F.zip_with(acc, micro(x["v"]), lambda a, b: a + b * x["f"]))
+    return g.select(*key_cols, F.size("__l").cast("long").alias("__rows"), summed.alias(out_col))
 
 
 def summed_by_word(vectors: DataFrame, key_cols=("word",)) -> DataFrame:
     """M9: element-wise sum of the vectors sharing a key (exact), with the
     number of rows summed."""
     key_cols = list(key_cols)
-    m = vectors.select(*key_cols, micro("vec").alias("__m"))
-    sums = _sum_arrays(m, key_cols, "__m", "__s")
-    n = vectors.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(n, key_cols).select(*key_cols, "n", F.transform(
+    sums = _sum_arrays(vectors.withColumn("__f", F.lit(1).cast("long")), key_cols, "vec", "__f", "__s")
+    return sums.select(*key_cols, F.col("__rows").alias("n"), F.transform(
         "__s", lambda x: F.round(x / F.lit(MICRO), 6)).alias("vec"))
 
 
@@ -83,14 +82,13 @@ def weighted_doc_vectors(df: DataFrame, id_col: str, toks_col: str, vectors: Dat
     counts = (base.select(id_col, *by, F.explode(toks_col).alias("word"))
               .groupBy(id_col, *by, "word").agg(F.count(F.lit(1)).alias("__n")))
     keys = [c for c in by if c in vectors.columns] + ["word"]
-    vec = vectors.select(*keys, micro("vec").alias("__m"))
+    vec = vectors.select(*keys, F.col("vec").alias("__m"))
     j = counts.join(vec, keys, "inner")
     factor = F.col("__n").cast("long")
     if weights is not None:
         j = j.join(weights.select(*by, "word", F.col("weight").alias("__w")), [*by, "word"], "left")
         factor = factor * F.coalesce(F.col("__w"), F.lit(0)).cast("long")
-    scaled = j.select(id_col, F.transform("__m", lambda x: x * factor).alias("__v"))
-    sums = _sum_arrays(scaled, [id_col], "__v", "__s")
+    sums = _sum_arrays(j.select(id_col, "__m", factor.alias("__f")), [id_col], "__m", "__f", "__s")
     sized = base.select(id_col, F.size(toks_col).alias("__len"))
     out = sized.join(sums, id_col, "left")
     arr = F.coalesce(F.col("__s").cast("array<double>"), F.array_repeat(F.lit(0.0), dim))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lookup import lookup_tokens
 from tessera.session import ensure_checkpoint_dir, materialize
 
 PAD, UNK = "<pad>", "<unk>"
@@ -70,52 +71,33 @@ def word_lookup(vocab: DataFrame, word_col: str = "word", idx_col: str = "idx")
 
 def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str, toks_col: str, out_col: str = "ids",
                unk_id: int | None = 1, max_tokens: int | None = None,
-               word_col: str = "word", idx_col: str = "idx", unique_words: bool = False) -> DataFrame:
+               word_col: str = "word", idx_col: str = "idx", unique_words: bool = False, by=()) -> DataFrame:
     """J3 (+T13): replace every token by its id; unknown tokens get
     ``unk_id`` (``None``: an unknown token raises, as a plain dict lookup
-    does).  ``unique_words`` skips the last-index-wins aggregate when the
-    vocabulary is known to hold each word once.
-
-    Skew-aware plan: occurrences are first grouped to one row per
-    (article, word) carrying that word's positions (bounded by article
-    length), so a hot word costs one row per article in the vocabulary
-    join, whose remaining skew AQE splits; the list is then rebuilt in
-    position order per article."""
-    t = F.slice(toks_col, 1, max_tokens) if max_tokens is not None else F.col(toks_col)
-    src = df.select(id_col, t.alias("__t"))
-    pos = src.select(id_col, F.posexplode("__t").alias("__pos", "__w"))
-    grouped = pos.groupBy(id_col, "__w").agg(F.collect_list("__pos").alias("__ps"))
-    look = (vocab.select(word_col, idx_col) if unique_words else word_lookup(vocab, word_col, idx_col)) \
-        .withColumnRenamed(word_col, "__w")
-    mapped = grouped.join(look, "__w", "left")
-    if unk_id is None:
-        idx = F.when(F.col(idx_col).isNull(), F.raise_error(F.concat(F.lit("token not in vocabulary: "), F.col("__w")))).otherwise(F.col(idx_col))
-    else:
-        idx = F.coalesce(F.col(idx_col), F.lit(unk_id).cast("long"))
-    flat = mapped.select(id_col, F.explode("__ps").alias("__pos"), idx.cast("long").alias("__id"))
-    enc = (flat.groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__s"))
-           .select(id_col, F.transform("__s", lambda s: s["__id"]).alias(out_col)))
-    empty = src.filter(F.coalesce(F.size("__t"), F.lit(0)) == 0).select(
-        id_col, F.array().cast("array<bigint>").alias(out_col))
-    return enc.unionByName(empty)
+    does).  ``by`` names the columns (e.g. the language) that choose among
+    several vocabularies and are kept.  ``unique_words`` skips the
+    last-index-wins aggregate when each vocabulary holds a word once."""
+    by = list(by)
+    src = df if max_tokens is None else df.withColumn(toks_col, F.slice(toks_col, 1, max_tokens))
+    look = vocab if unique_words else vocab.groupBy(*by, word_col).agg(F.max(idx_col).alias(idx_col))
+    found = lookup_tokens(src, id_col, toks_col, look, F.col(idx_col).cast("long"), by, word_col, by)
+
+    def one(s):
+        missing = (F.raise_error(F.concat(F.lit("token not in vocabulary: "), s["word"])).cast("long") if unk_id is None
+                   else F.lit(unk_id).cast("long"))
+        return F.coalesce(s["value"], missing)
+    return found.select(id_col, *by, F.transform("__s", one).alias(out_col))
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str, out_col: str = "text",
-               pad_id: int = 0, word_col: str = "word", idx_col: str = "idx") -> DataFrame:
-    """Ids -> space-joined words, pad ids skipped (pre-aggregated per
-    (article, id) like ``encode_ids``)."""
-    pos = df.select(id_col, F.posexplode(ids_col).alias("__pos", "__i")).filter(F.col("__i") != pad_id)
-    grouped = pos.groupBy(id_col, "__i").agg(F.collect_list("__pos").alias("__ps"))
-    names = vocab.select(F.col(idx_col).alias("__i"), F.col(word_col).alias("__word"))
-    flat = grouped.join(names, "__i", "left").select(id_col, F.explode("__ps").alias("__pos"), "__word")
-    out = (flat.groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.struct("__pos", "__word"))).alias("__s"))
-           .select(id_col, F.array_join(F.transform("__s", lambda s: s["__word"]), " ").alias(out_col)))
-    empty = (df.select(id_col, F.filter(ids_col, lambda i: i != pad_id).alias("__k"))
-             .filter(F.coalesce(F.size("__k"), F.lit(0)) == 0)
-             .select(id_col, F.lit("").alias(out_col)))
-    return out.unionByName(empty)
+               pad_id: int = 0, word_col: str = "word", idx_col: str = "idx", by=()) -> DataFrame:
+    """Ids -> space-joined words, pad ids skipped; ``by`` as in
+    ``encode_ids`` (the vocabulary then has every reserved id in each group)."""
+    by = list(by)
+    src = df.select(id_col, *by, F.filter(ids_col, lambda i: i != pad_id).alias("__k"))
+    names = vocab.select(*by, F.col(idx_col).alias("__i"), F.col(word_col).alias("__name"))
+    found = lookup_tokens(src, id_col, "__k", names, F.col("__name"), by, "__i", by)
+    return found.select(id_col, *by, F.array_join(F.transform("__s", lambda s: s["value"]), " ").alias(out_col))
 
 
 def pad_batches(df: DataFrame, order_col: str, ids_cols, batch_size: int, pad_id: int = 0) -> DataFrame:
@@ -157,15 +139,20 @@ def vocab_per_group(df: DataFrame, group_col: str, toks_col: str = "toks", prefi
     return pre.select(group_col, "word", F.col("idx").cast("long").alias("idx")).unionByName(ranked)
 
 
-def multilingual_vocab(df: DataFrame, group_col: str, order: list, toks_col: str = "toks",
+def multilingual_vocab(df: DataFrame, group_col: str, order: list | None = None, toks_col: str = "toks",
                        prefix=(PAD, UNK)) -> DataFrame:
     """Combined vocabulary -- the prefix, then each language's sorted
-    block in the given language order with a running offset."""
-    order_map = F.create_map(*[x for i, g in enumerate(order) for x in (F.lit(g), F.lit(i))])
-    words = (df.filter(F.col(group_col).isin(order))
-             .select(group_col, F.explode(toks_col).alias("word")).distinct()
-             .withColumn("__block", F.element_at(order_map, F.col(group_col))))
-    ranked = dense_index(words, ["__block", "word"], "idx", offset=len(prefix)).drop("__block")
+    block with a running offset.  Blocks follow ``order``, in which every
+    language of the data must be listed (others raise), or without one the
+    languages' own order."""
+    words = df.select(group_col, F.explode(toks_col).alias("word")).distinct()
+    block = F.col(group_col)
+    if order is not None:
+        block = F
+        for i, g in enumerate(order):
+            block = block.when(F.col(group_col) == g, F.lit(i))
+        block = block.otherwise(F.raise_error(F.concat(F.lit("language without a place in the order: "), F.col(group_col))))
+    ranked = dense_index(words.withColumn("__block", block), ["__block", "word"], "idx", offset=len(prefix)).drop("__block")
     if not prefix:
         return ranked
     spark = df.sparkSession

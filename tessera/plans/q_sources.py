@@ -7,6 +7,8 @@ table."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
@@ -31,13 +33,22 @@ def src_articles_jsonl(spark, sf):
     (a.select(F.col("id").cast("string").alias("qid"), F.concat(F.lit("Doc "), F.col("id").cast("string")).alias("entitle"),
               F.col("text").alias("wikitext"), F.col("cats").alias("mid_level_categories"), "lang")
      .write.mode("overwrite").partitionBy("lang").json(path))
-    parts = []
-    for lang in ("en", "fr", "de", "es"):
-        parts.append(rd.read_articles(spark, f"{path}/lang={lang}", lang=lang))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    langs = sorted(r[0] for r in a.select("lang").distinct().collect())      # languages, not articles
+    return reduce(lambda x, y: x.unionByName(y), [rd.read_articles(spark, f"{path}/lang={x}", lang=x) for x in langs])
+
+
+@register("src_articles_flags")
+def src_articles_flags(spark, sf):
+    """The older format (QID key) with every flag: headings (with a
+    trailing comment) and raw outlinks next to their targets."""
+    p = V.outlinks(spark, sf).join(read_table(spark, sf, "pages").select("page_id", F.regexp_extract("html", H1_RE, 1).alias("h")), "page_id")
+    path = scratch_path(spark, "older")
+    (p.select(F.col("page_id").cast("string").alias("QID"), F.lit("t").alias("entitle"),
+              F.concat(F.lit("== "), "h", F.lit(" == <!-- x -->\n"), "raw").alias("wikitext"),
+              F.array().cast("array<string>").alias("mid_level_categories"))
+     .write.mode("overwrite").json(path))
+    return rd.read_articles(spark, path, lang="en", key_col="QID", extract_tokens=False, extract_categories=False,
+                            extract_section=True, extract_outlinks=True).select("QID", "sections_tokens", "raw_outlinks", "outlinks")
 
 
 @register("src_inlinks", """
@@ -81,8 +92,7 @@ def src_word_vectors(spark, sf):
     """Vectors written in the fastText text layout and read back."""
     wv = V.wvec(spark, sf)
     path = scratch_path(spark, "vectors")
-    rd.write_word_vectors(wv, path, n=0, d=read_table(spark, sf, "embeddings").select(
-        F.max(F.size("embedding"))).first()[0])
+    rd.write_word_vectors(wv, path)
     return rd.read_word_vectors(spark, path)
 
 
@@ -92,8 +102,7 @@ def src_word_vectors_noheader(spark, sf):
     has the wrong vector length and is filtered out."""
     wv = V.wvec(spark, sf)
     path = scratch_path(spark, "vectors")
-    rd.write_word_vectors(wv, path, n=0, d=read_table(spark, sf, "embeddings").select(
-        F.max(F.size("embedding"))).first()[0])
+    rd.write_word_vectors(wv, path)
     return rd.read_word_vectors(spark, path, has_header=False)
 
 

@@ -9,6 +9,7 @@ from tessera.operators.text_ops import word_counts
 from tessera.operators.topk import top_k_per_group
 from tessera.plans import views as V
 from tessera.plans.catalog import register
+from tessera.plans.q_vocab import _SPLIT_SQL, train_tokens
 
 
 @register("agg_token_freq", """
@@ -73,29 +74,37 @@ def agg_mean_len(spark, sf):
     return per.unionByName(total)
 
 
-@register("agg_doc_freq", """
-SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(toks)) AS word FROM tokens)
+@register("agg_doc_freq", _SPLIT_SQL + """
+SELECT lang, word, count(*) AS df FROM
+ (SELECT t.lang, unnest(list_distinct(t.toks)) AS word FROM tokens t JOIN split s USING (id) WHERE s.split = 'train')
 GROUP BY lang, word
 """, ["tokens"])
 def agg_doc_freq(spark, sf):
-    """A10: number of articles containing each word, per language."""
-    return st.doc_freq(V.tokens(spark, sf), "toks", ["lang"])
+    """A10: number of training articles containing each word, per language."""
+    return st.doc_freq(train_tokens(spark, sf), "toks", ["lang"])
 
 
-_IDF_SQL = """
-WITH d AS (SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(toks)) AS word FROM tokens)
-           GROUP BY lang, word),
+_IDF_SQL = _SPLIT_SQL + """
+, d AS (SELECT lang, word, count(*) AS df FROM
+        (SELECT t.lang, unnest(list_distinct(t.toks)) AS word FROM tokens t JOIN split s USING (id) WHERE s.split = 'train')
+        GROUP BY lang, word),
 v AS (SELECT lang, count(*) AS n FROM d GROUP BY lang),
 i AS (SELECT d.lang, d.word, d.df, ln(v.n / (1 + d.df)) AS idf FROM d JOIN v USING (lang))
 """
 
 
+def train_idf(spark, sf):
+    """IDF table of the train split, per language."""
+    return st.idf(st.doc_freq(train_tokens(spark, sf), "toks", ["lang"]), ["lang"])
+
+
 @register("agg_idf", _IDF_SQL + """
 SELECT lang, word, df, round(idf, 6) AS idf, CAST(trunc(idf) AS INTEGER) AS idf_trunc FROM i
 """, ["tokens"])
 def agg_idf(spark, sf):
-    """ln(|V| / (1 + df)) with |V| the language's vocabulary size."""
-    i = st.idf(st.doc_freq(V.tokens(spark, sf), "toks", ["lang"]), ["lang"])
+    """ln(|V| / (1 + df)) learnt on the train split, with |V| the
+    language's vocabulary size there."""
+    i = train_idf(spark, sf)
     return i.select("lang", "word", "df", F.round("idf", 6).alias("idf"), "idf_trunc")
 
 
@@ -107,10 +116,10 @@ FROM p LEFT JOIN i ON p.lang = i.lang AND p.word = i.word GROUP BY p.id
 UNION ALL SELECT id, []::DOUBLE[] AS weights FROM tokens WHERE len(toks) = 0
 """, ["tokens"])
 def agg_idf_weights(spark, sf):
-    """IDF weight of every token position (0 when unknown)."""
-    t = V.tokens(spark, sf)
-    i = st.idf(st.doc_freq(t, "toks", ["lang"]), ["lang"]).withColumn("idf", F.round("idf", 6))
-    return st.position_weights(t, "id", "toks", i, "idf", ["lang"], 0.0)
+    """The train split's IDF weight of every token position of all
+    articles (0 when unknown)."""
+    i = train_idf(spark, sf).withColumn("idf", F.round("idf", 6))
+    return st.position_weights(V.tokens(spark, sf), "id", "toks", i, "idf", ["lang"], 0.0)
 
 
 _TFIDF_SQL = """
@@ -182,66 +191,69 @@ def agg_top_terms(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Vector coverage (wvec = English words with a vector)
+# Vector coverage, per language
 # ---------------------------------------------------------------------------
 
 @register("cov_corpus", """
-WITH w AS (SELECT DISTINCT unnest(toks) AS word FROM tokens WHERE lang = 'en'),
-j AS (SELECT w.word, v.word IS NOT NULL AS hit FROM w LEFT JOIN (SELECT DISTINCT word FROM wvec) v USING (word))
-SELECT count(*) AS n_words, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS n_found,
+WITH w AS (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens),
+j AS (SELECT w.lang, w.word, v.word IS NOT NULL AS hit FROM w LEFT JOIN (SELECT DISTINCT lang, word FROM lang_vectors) v
+      ON w.lang = v.lang AND w.word = v.word)
+SELECT lang, count(*) AS n_words, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS n_found,
        CAST(sum(CAST(NOT hit AS INTEGER)) AS BIGINT) AS n_missing,
-       round(sum(CAST(hit AS INTEGER)) * 100.0 / count(*), 4) AS pct_found FROM j
-""", ["tokens", "wvec"])
+       round(sum(CAST(hit AS INTEGER)) * 100.0 / count(*), 4) AS pct_found FROM j GROUP BY lang
+""", ["tokens", "lang_vectors"])
 def cov_corpus(spark, sf):
-    """Distinct English words found / not found among the vectors."""
-    words = V.english_vocab(spark, sf).select("word")  # the shared distinct English words
-    vec = V.wvec(spark, sf).select("word").distinct().withColumn("hit", F.lit(True))
-    j = words.join(vec, "word", "left").select(F.coalesce("hit", F.lit(False)).alias("hit"))
-    return j.agg(F.count(F.lit(1)).alias("n_words"),
-                 F.sum(F.col("hit").cast("long")).alias("n_found"),
-                 F.sum((~F.col("hit")).cast("long")).alias("n_missing"),
-                 F.round(F.sum(F.col("hit").cast("long")) * F.lit(100.0) / F.count(F.lit(1)), 4).alias("pct_found"))
+    """Distinct words of each language found / not found among its vectors."""
+    vec = V.lang_vectors(spark, sf).select("lang", "word").distinct().withColumn("hit", F.lit(True))
+    j = V.lang_vocab(spark, sf).join(vec, ["lang", "word"], "left").select("lang", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n_words"),
+                                 F.sum(F.col("hit").cast("long")).alias("n_found"),
+                                 F.sum((~F.col("hit")).cast("long")).alias("n_missing"),
+                                 F.round(F.sum(F.col("hit").cast("long")) * F.lit(100.0) / F.count(F.lit(1)), 4).alias("pct_found"))
 
 
 @register("cov_missing_words", """
-SELECT DISTINCT w.word FROM (SELECT unnest(toks) AS word FROM tokens WHERE lang = 'en') w
-WHERE w.word NOT IN (SELECT word FROM wvec)
-""", ["tokens", "wvec"])
+SELECT w.lang, w.word FROM (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens) w
+LEFT JOIN lang_vectors v ON w.lang = v.lang AND w.word = v.word WHERE v.word IS NULL
+""", ["tokens", "lang_vectors"])
 def cov_missing_words(spark, sf):
-    """English words without a vector (anti join)."""
-    words = V.tokens(spark, sf).filter(F.col("lang") == "en").select(F.explode("toks").alias("word")).distinct()
-    return words.join(V.wvec(spark, sf).select("word"), "word", "left_anti")
+    """Words of each language without a vector (anti join)."""
+    words = V.lang_vocab(spark, sf).select("lang", "word")
+    return words.join(V.lang_vectors(spark, sf).select("lang", "word"), ["lang", "word"], "left_anti")
 
 
 _COV_SQL = """
-, p AS (SELECT t.id, u.word, u.pos FROM (SELECT * FROM tokens WHERE lang = 'en') t,
+, p AS (SELECT t.id, t.lang, u.word, u.pos FROM tokens t,
         LATERAL (SELECT unnest(t.toks) AS word, generate_subscripts(t.toks, 1) AS pos) u),
-h AS (SELECT p.id, p.word, p.pos, p.word IN (SELECT word FROM wvec) AS hit FROM p),
-c AS (SELECT id, count(*) AS total, sum(CAST(hit AS BIGINT)) * 100.0 / count(*) AS coverage,
-      coalesce(list(word ORDER BY pos) FILTER (WHERE NOT hit), []::VARCHAR[]) AS missing FROM h GROUP BY id
-      UNION ALL SELECT id, 0 AS total, 100.0 AS coverage, []::VARCHAR[] AS missing
-      FROM tokens WHERE lang = 'en' AND len(toks) = 0)
+h AS (SELECT p.id, p.lang, p.word, p.pos, v.word IS NOT NULL AS hit
+      FROM p LEFT JOIN (SELECT DISTINCT lang, word FROM lang_vectors) v ON p.lang = v.lang AND p.word = v.word),
+c AS (SELECT id, lang, count(*) AS total, sum(CAST(hit AS BIGINT)) * 100.0 / count(*) AS coverage,
+      coalesce(list(word ORDER BY pos) FILTER (WHERE NOT hit), []::VARCHAR[]) AS missing FROM h GROUP BY id, lang
+      UNION ALL SELECT id, lang, 0 AS total, 100.0 AS coverage, []::VARCHAR[] AS missing
+      FROM tokens WHERE len(toks) = 0)
 """
 
 
+def _coverage(spark, sf):
+    return st.article_coverage(V.tokens(spark, sf), V.lang_vectors(spark, sf), "id", "toks", ["lang"])
+
+
 @register("cov_article", "WITH _x AS (SELECT 1)" + _COV_SQL + """
-SELECT id, round(coverage, 6) AS coverage, missing, total FROM c WHERE coverage < 75
-""", ["tokens", "wvec"])
+SELECT id, lang, round(coverage, 6) AS coverage, missing, total FROM c WHERE coverage < 75
+""", ["tokens", "lang_vectors"])
 def cov_article(spark, sf):
-    """A9 + O2: English articles whose vector coverage is below 75 %, with
-    the missing tokens in order and the total (sorted by coverage, total)."""
-    t = V.tokens(spark, sf).filter(F.col("lang") == "en")
-    c = st.article_coverage(t, V.wvec(spark, sf), "id", "toks")
-    return (c.filter(F.col("coverage") < 75)
+    """A9 + O2: articles whose coverage by their language's vectors is below
+    75 %, with the missing tokens in order and the total (sorted by
+    coverage, total)."""
+    return (_coverage(spark, sf).filter(F.col("coverage") < 75)
             .orderBy("coverage", "total")
-            .select("id", F.round("coverage", 6).alias("coverage"), "missing", "total"))
+            .select("id", "lang", F.round("coverage", 6).alias("coverage"), "missing", "total"))
 
 
 @register("cov_article_mean", "WITH _x AS (SELECT 1)" + _COV_SQL + """
-SELECT round(avg(coverage), 6) AS mean_coverage, count(*) AS n_articles FROM c
-""", ["tokens", "wvec"])
+SELECT lang, round(avg(coverage), 6) AS mean_coverage, count(*) AS n_articles FROM c GROUP BY lang
+""", ["tokens", "lang_vectors"])
 def cov_article_mean(spark, sf):
-    """Corpus mean of the per-article coverage (empty article = 100)."""
-    t = V.tokens(spark, sf).filter(F.col("lang") == "en")
-    c = st.article_coverage(t, V.wvec(spark, sf), "id", "toks")
-    return c.agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.count(F.lit(1)).alias("n_articles"))
+    """Each language's mean of the per-article coverage (empty article = 100)."""
+    return _coverage(spark, sf).groupBy("lang").agg(
+        F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.count(F.lit(1)).alias("n_articles"))

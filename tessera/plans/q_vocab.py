@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import CORPUS_LANGS
 from tessera.operators import vocab as vb
 from tessera.operators.splits import split_80_10_10
 from tessera.plans import views as V
 from tessera.plans.catalog import register
+from tessera.session import materialize, read_table
 
 
 @register("voc_build", "SELECT DISTINCT lang, unnest(toks) AS word FROM tokens", ["tokens"])
@@ -28,19 +28,16 @@ def voc_index(spark, sf):
     return vb.vocab_per_group(V.tokens(spark, sf), "lang", "toks")
 
 
-_ORDER_SQL = "CASE lang " + " ".join(f"WHEN '{l}' THEN {i}" for i, l in enumerate(CORPUS_LANGS)) + " END"
-
-
-@register("voc_multilang", f"""
+@register("voc_multilang", """
 WITH w AS (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)
-SELECT lang, word, CAST(row_number() OVER (ORDER BY {_ORDER_SQL}, word) + 1 AS BIGINT) AS idx FROM w
+SELECT lang, word, CAST(row_number() OVER (ORDER BY lang, word) + 1 AS BIGINT) AS idx FROM w
 UNION ALL SELECT NULL AS lang, '<pad>' AS word, CAST(0 AS BIGINT) AS idx
 UNION ALL SELECT NULL AS lang, '<unk>' AS word, CAST(1 AS BIGINT) AS idx
 """, ["tokens"])
 def voc_multilang(spark, sf):
-    """Combined vocabulary, prefix then language blocks (en, fr, de,
-    es) with running offsets."""
-    return vb.multilingual_vocab(V.tokens(spark, sf), "lang", list(CORPUS_LANGS), "toks")
+    """Combined vocabulary, prefix then a block for each language of the
+    data with running offsets."""
+    return vb.multilingual_vocab(V.tokens(spark, sf), "lang", toks_col="toks")
 
 
 _SPLIT_SQL = """
@@ -70,30 +67,40 @@ def voc_by_split(spark, sf):
         F.bool_or(F.col("split") == "test").alias("in_test"))
 
 
-_ENC_SQL = """
-, v AS (SELECT word, idx + 2 AS idx FROM english_vocab),
-p AS (SELECT t.id, u.word, u.pos FROM tokens t,
+# Each language has the vocabulary of its training articles, so <unk> occurs.
+_ENC_SQL = _SPLIT_SQL + """
+, v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) + 1 AS idx FROM
+        (SELECT DISTINCT t.lang, unnest(t.toks) AS word FROM tokens t JOIN split s USING (id) WHERE s.split = 'train')),
+p AS (SELECT t.id, t.lang, u.word, u.pos FROM tokens t,
       LATERAL (SELECT unnest(t.toks) AS word, generate_subscripts(t.toks, 1) AS pos) u),
-enc AS (SELECT p.id, list(CAST(coalesce(v.idx, 1) AS BIGINT) ORDER BY p.pos) AS ids FROM p LEFT JOIN v USING (word)
-        GROUP BY p.id
-        UNION ALL SELECT id, []::BIGINT[] AS ids FROM tokens WHERE len(toks) = 0)
+enc AS (SELECT p.id, p.lang, list(CAST(coalesce(v.idx, 1) AS BIGINT) ORDER BY p.pos) AS ids
+        FROM p LEFT JOIN v ON p.lang = v.lang AND p.word = v.word GROUP BY p.id, p.lang
+        UNION ALL SELECT id, lang, []::BIGINT[] AS ids FROM tokens WHERE len(toks) = 0)
 """
 
 
+def train_tokens(spark, sf):
+    """Token rows of the articles in the train split."""
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    s = split_80_10_10(docs, "id", seed=1).filter(F.col("split") == "train").select("id")
+    return V.tokens(spark, sf).join(s, "id", "left_semi")
+
+
+def train_vocab(spark, sf):
+    """(lang, word, idx) of the train split, <pad>=0 and <unk>=1 in every language."""
+    return V._shared(spark, "train_vocab", sf, lambda: vb.vocab_per_group(train_tokens(spark, sf), "lang", "toks"))
+
+
 def _encoded(spark, sf):
-    t = V.tokens(spark, sf)
-    # the shared English vocabulary, shifted behind the reserved <pad>=0, <unk>=1
-    pre = spark.createDataFrame([(vb.PAD, 0), (vb.UNK, 1)], "word string, idx long")
-    vocab = pre.unionByName(V.english_vocab(spark, sf).select("word", (F.col("idx") + 2).alias("idx")))
+    t, vocab = V.tokens(spark, sf), train_vocab(spark, sf)
     # normalised tokens never equal the reserved <pad>/<unk>, so every word is unique
-    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1, unique_words=True)
+    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1, unique_words=True, by=["lang"])
 
 
-@register("enc_token_ids", "WITH _x AS (SELECT 1)" + _ENC_SQL + "SELECT id, ids FROM enc",
-          ["tokens", "english_vocab"])
+@register("enc_token_ids", _ENC_SQL + "SELECT id, lang, ids FROM enc", ["tokens"])
 def enc_token_ids(spark, sf):
-    """Every document encoded with the English vocabulary
-    (<pad>=0, <unk>=1; other languages fall mostly on <unk>)."""
+    """Every document encoded with its language's vocabulary of the
+    train split (<pad>=0, <unk>=1)."""
     return _encoded(spark, sf)[2]
 
 
@@ -104,27 +111,28 @@ def enc_truncate(spark, sf):
     return V.tokens(spark, sf).select("id", truncate_tokens("toks", 500).alias("toks"))
 
 
-@register("enc_decode", "WITH _x AS (SELECT 1)" + _ENC_SQL + """
-, ids AS (SELECT e.id, u.i, u.pos FROM enc e, LATERAL (SELECT unnest(e.ids) AS i, generate_subscripts(e.ids, 1) AS pos) u),
-names AS (SELECT '<pad>' AS word, 0 AS idx UNION ALL SELECT '<unk>', 1 UNION ALL SELECT word, idx FROM v)
-SELECT ids.id, array_to_string(list(n.word ORDER BY ids.pos), ' ') AS text
-FROM ids JOIN names n ON ids.i = n.idx WHERE ids.i <> 0 GROUP BY ids.id
-UNION ALL SELECT id, '' AS text FROM enc WHERE len(list_filter(ids, lambda i: i <> 0)) = 0
-""", ["tokens", "english_vocab"])
+@register("enc_decode", _ENC_SQL + """
+, ids AS (SELECT e.id, e.lang, u.i, u.pos FROM enc e, LATERAL (SELECT unnest(e.ids) AS i, generate_subscripts(e.ids, 1) AS pos) u),
+names AS (SELECT DISTINCT lang, '<pad>' AS word, 0 AS idx FROM v UNION ALL SELECT DISTINCT lang, '<unk>', 1 FROM v
+          UNION ALL SELECT lang, word, idx FROM v)
+SELECT ids.id, ids.lang, array_to_string(list(n.word ORDER BY ids.pos), ' ') AS text
+FROM ids JOIN names n ON ids.lang = n.lang AND ids.i = n.idx WHERE ids.i <> 0 GROUP BY ids.id, ids.lang
+UNION ALL SELECT id, lang, '' AS text FROM enc WHERE len(list_filter(ids, lambda i: i <> 0)) = 0
+""", ["tokens"])
 def enc_decode(spark, sf):
     """Ids back to text, pad id skipped."""
     _, vocab, enc = _encoded(spark, sf)
-    return vb.decode_ids(enc, vocab, "id", "ids", "text", pad_id=0)
+    return vb.decode_ids(materialize(enc, "encoded"), vocab, "id", "ids", "text", pad_id=0, by=["lang"])
 
 
-@register("enc_pad_batches", "WITH _x AS (SELECT 1)" + _ENC_SQL + """
+@register("enc_pad_batches", _ENC_SQL + """
 , b AS (SELECT id, ids, row_number() OVER (ORDER BY id) - 1 AS position FROM enc),
 bb AS (SELECT *, CAST(floor(position / 32) AS BIGINT) AS batch FROM b),
 mx AS (SELECT batch, max(len(ids)) AS m FROM bb GROUP BY batch)
 SELECT bb.id, bb.batch, bb.position,
        list_concat(bb.ids, CAST(list_transform(range(mx.m - len(bb.ids)), lambda x: 0) AS BIGINT[])) AS ids
 FROM bb JOIN mx USING (batch)
-""", ["tokens", "english_vocab"])
+""", ["tokens"])
 def enc_pad_batches(spark, sf):
     """Batches of 32 in id order, every list padded with 0 to the
     longest list of its batch."""

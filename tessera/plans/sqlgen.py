@@ -4,8 +4,8 @@ same rules."""
 
 from __future__ import annotations
 
-from tessera.functions.text import (CORPUS_LANGS, DEFAULT_LANG, LEGACY_MARKUP_PATTERNS,
-                                    MARKUP_PATTERNS, PROFILES, stopwords_for)
+from tessera.functions.text import (DEFAULT_LANG, LEGACY_MARKUP_PATTERNS, MARKUP_PATTERNS, PROFILES,
+                                    WHITE_SPACE, stopwords_for)
 
 
 def q(s: str) -> str:
@@ -16,9 +16,9 @@ def qlist(words) -> str:
     return "[" + ", ".join(q(w) for w in words) + "]::VARCHAR[]"
 
 
-def by_lang(lang: str, build, langs=CORPUS_LANGS) -> str:
+def by_lang(lang: str, build, langs=tuple(PROFILES)) -> str:
     parts = [f"WHEN {lang} = {q(c)} THEN {build(PROFILES[c])}" for c in langs]
-    return "CASE " + " ".join(parts) + f" ELSE {build(PROFILES[DEFAULT_LANG])} END"
+    return "CASE " + " ".join(parts) + " END"
 
 
 def clean_markup(expr: str, legacy: bool = False) -> str:
@@ -28,7 +28,7 @@ def clean_markup(expr: str, legacy: bool = False) -> str:
     return out
 
 
-def keep_alphabet(expr: str, lang: str, langs=CORPUS_LANGS) -> str:
+def keep_alphabet(expr: str, lang: str, langs=tuple(PROFILES)) -> str:
     def build(p):
         out = f"regexp_replace({expr}, {q(p.alphabet_pattern)}, ' ', 'g')"
         for extra in p.extra_patterns:
@@ -37,7 +37,7 @@ def keep_alphabet(expr: str, lang: str, langs=CORPUS_LANGS) -> str:
     return by_lang(lang, build, langs)
 
 
-def drop_single_letters(expr: str, lang: str, langs=CORPUS_LANGS) -> str:
+def drop_single_letters(expr: str, lang: str, langs=tuple(PROFILES)) -> str:
     toks = f"string_split_regex(trim({expr}), ' +')"
 
     def build(p):
@@ -48,9 +48,9 @@ def drop_single_letters(expr: str, lang: str, langs=CORPUS_LANGS) -> str:
     return by_lang(lang, build, langs)
 
 
-def digits_to_words(expr: str, lang: str | None, langs=CORPUS_LANGS) -> str:
+def digits_to_words(expr: str, lang: str | None, langs=tuple(PROFILES)) -> str:
     def build(p):
-        out = f"trim({expr})"
+        out = f"trim({expr}, {q(WHITE_SPACE)})"
         for ch, word in p.digit_words:
             out = f"replace({out}, {q(ch)}, {q(word)})"
         return out
@@ -63,7 +63,7 @@ def split_tokens(expr: str) -> str:
     return f"list_filter(string_split_regex({expr}, ' +'), lambda t: trim(t) <> '')"
 
 
-def remove_stopwords(expr: str, lang: str, langs=CORPUS_LANGS) -> str:
+def remove_stopwords(expr: str, lang: str, langs=tuple(PROFILES)) -> str:
     def build(p):
         words = stopwords_for(p.code)
         if not words:

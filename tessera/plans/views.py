@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
 from tessera.operators.labels import class_table
-from tessera.operators.vocab import build_vocab
+from tessera.operators.vocab import build_vocab, vocab_per_group
 from tessera.plans import sqlgen
 from tessera.session import materialize, read_table, spread
 
@@ -62,26 +62,39 @@ def tokens_fresh(spark: SparkSession, sf: str) -> DataFrame:
 _SHARED: dict = {}
 
 
-def _shared(spark: SparkSession, key: str, build):
-    """Materialise a derived table once per application and input folder
-    (written as Parquet below the shared checkpoint folder) -- the token
-    table feeds most queries, so it is normalised once, as the reference
-    pickles its token tables once."""
-    k = (spark.sparkContext.applicationId, key)
+def _identity(spark: SparkSession, sf: str, names=("documents", "labels", "embeddings")) -> tuple:
+    """Names, lengths and times of the files behind the shared tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for n in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf}/{n}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(sorted(out))
+
+
+def _shared(spark: SparkSession, name: str, sf: str, build):
+    """Materialise a derived table once per application and state of the
+    input files (written as Parquet below the shared checkpoint folder) --
+    the token table feeds most queries, so it is normalised once, as the
+    reference pickles its token tables once.  Files that change make a new
+    table."""
+    k = (spark.sparkContext.applicationId, name, sf, _identity(spark, sf))
     if k not in _SHARED:
-        _SHARED[k] = materialize(build(), key.split("|")[0])
+        _SHARED[k] = materialize(build(), name)
     return _SHARED[k]
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _shared(spark, f"tokens|{sf}", lambda: tokens_fresh(spark, sf))
+    return _shared(spark, "tokens", sf, lambda: tokens_fresh(spark, sf))
 
 
 def article_tokens(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         lab = articles(spark, sf).select("id", "cats")
         return tokens(spark, sf).join(lab, "id").select("id", "lang", "cats", "toks")
-    return _shared(spark, f"article_tokens|{sf}", build)
+    return _shared(spark, "article_tokens", sf, build)
 
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,8 +122,12 @@ def outlinks(spark: SparkSession, sf: str) -> DataFrame:
 
 def english_vocab(spark: SparkSession, sf: str) -> DataFrame:
     """Sorted English vocabulary with dense ids (shared like the tokens)."""
-    return _shared(spark, f"english_vocab|{sf}",
-                   lambda: build_vocab(tokens(spark, sf).filter(F.col("lang") == "en"), "toks"))
+    return _shared(spark, "english_vocab", sf, lambda: build_vocab(tokens(spark, sf).filter(F.col("lang") == "en"), "toks"))
+
+
+def lang_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """(lang, word, idx): each language's sorted vocabulary with dense ids."""
+    return _shared(spark, "lang_vocab", sf, lambda: vocab_per_group(tokens(spark, sf), "lang", "toks", prefix=()))
 
 
 def wvec(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,9 +140,7 @@ def lang_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(lang, word, vec): the n-th word of each language's sorted vocabulary
     <-> embeddings.vec_id = n (a second language table for stacking and
     summing vectors)."""
-    from tessera.operators.vocab import rank_within
-    words = tokens(spark, sf).select("lang", F.explode("toks").alias("word")).distinct()
-    v = rank_within(words, ["lang"], ["word"], "idx")
+    v = lang_vocab(spark, sf)
     e = _t(spark, sf, "embeddings").select("vec_id", "embedding")
     return v.join(e, v.idx == e.vec_id, "inner").select("lang", "word", F.col("embedding").alias("vec"))
 
@@ -171,14 +186,14 @@ def sql_views() -> dict[str, tuple[tuple[str, ...], str]]:
         "outlinks": ((), "outlinks AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, "
                          "'[[' || url || ']] ' || regexp_replace(html, '<a href=\"/?([^\"]*)\">([^<]*)</a>', "
                          "'[[\\1|\\2]]', 'g') AS raw FROM pages)"),
+        "lang_vocab": (("tokens",), "lang_vocab AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) - 1 AS idx "
+                                    "FROM (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens))"),
         "english_vocab": (("tokens",), "english_vocab AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx "
                                        "FROM (SELECT DISTINCT unnest(toks) AS word FROM tokens WHERE lang = 'en'))"),
         "wvec": (("english_vocab",), "wvec AS (SELECT v.word, e.embedding AS vec FROM english_vocab v "
                                      "JOIN embeddings e ON v.idx = e.vec_id)"),
-        "lang_vectors": (("tokens",), "lang_vectors AS (SELECT v.lang, v.word, e.embedding AS vec FROM "
-                                      "(SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) - 1 AS idx "
-                                      "FROM (SELECT DISTINCT lang, unnest(toks) AS word FROM tokens)) v "
-                                      "JOIN embeddings e ON v.idx = e.vec_id)"),
+        "lang_vectors": (("lang_vocab",), "lang_vectors AS (SELECT v.lang, v.word, e.embedding AS vec FROM lang_vocab v "
+                                          "JOIN embeddings e ON v.idx = e.vec_id)"),
         "classes": (("articles",), "classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS class_idx "
                                    "FROM (SELECT DISTINCT unnest(cats) AS class FROM articles))"),
         "scores": (("articles", "classes"),

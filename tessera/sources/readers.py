@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import normalise
+from tessera.functions.text import normalise, profile
 from tessera.operators.links import extract_links, link_target, title_map
-from tessera.operators.text_ops import WIKI_HEADING_RE
+from tessera.operators.text_ops import section_text
 
 ARTICLE_SCHEMA = T.StructType([
     T.StructField("qid", T.StringType()), T.StructField("entitle", T.StringType()),
@@ -30,23 +30,27 @@ INLINKS_SCHEMA = T.StructType([
 def read_articles(spark: SparkSession, path: str, *, lang: str = "en", key_col: str = "qid",
                   extract_title: bool = True, extract_tokens: bool = True, extract_categories: bool = True,
                   extract_section: bool = False, extract_outlinks: bool = False,
-                  tokens_from_sections: bool = False) -> DataFrame:
+                  tokens_from_sections: bool = False, stop_lists: dict | None = None) -> DataFrame:
     """One JSON article per line -> parsed article (QID, title,
     tokens, mid_level_categories, sections_tokens, raw_outlinks, outlinks);
     the flags only choose columns (Catalyst prunes the rest).  ``key_col``
     accepts the older 'QID' key; ``tokens_from_sections`` is the older
-    variant that tokenises the headings instead of the text."""
+    variant that tokenises the headings instead of the text; ``stop_lists``
+    replaces a language's stop words ({"hi": read_stopwords(...)}).  An
+    unknown language raises."""
+    profile(lang)
     schema = T.StructType([T.StructField(key_col, T.StringType())] +
                           [f for f in ARTICLE_SCHEMA.fields if f.name != "qid"])
     raw = (spark.read.schema(schema).option("mode", "FAILFAST").json(path)
            .withColumn("__lang", F.lit(lang)))
-    raw = raw.withColumn("__sections", F.array_join(F.regexp_extract_all("wikitext", F.lit(WIKI_HEADING_RE), 1), " "))
+    raw = raw.withColumn("__sections", section_text(F.col("wikitext"), html=False))
     cols = [F.col(key_col).alias("QID")]
     df = raw
     if extract_tokens:
-        df = normalise(df, "__sections" if tokens_from_sections else "wikitext", "__lang", "tokens")
+        df = normalise(df, "__sections" if tokens_from_sections else "wikitext", "__lang", "tokens",
+                       langs=(lang,), stop_lists=stop_lists)
     if extract_section:
-        df = normalise(df, "__sections", "__lang", "sections_tokens")
+        df = normalise(df, "__sections", "__lang", "sections_tokens", langs=(lang,), stop_lists=stop_lists)
     if extract_title:
         cols.append(F.col("entitle").alias("title"))
     if extract_tokens:
@@ -91,33 +95,35 @@ def read_stopwords(spark: SparkSession, path: str, max_words: int = 100_000) ->
 
 def read_word_vectors(spark: SparkSession, path: str, has_header: bool = True) -> DataFrame:
     """fastText text vectors -> (word, vec ARRAY<FLOAT>).  The header
-    'n d' gives d; any line whose vector length is not d (the header itself,
-    when a reader forgets to consume it) is dropped.  The last occurrence of
+    'n d' gives d, without one the most frequent length is d; any line whose
+    vector length is not d (the header itself, when a reader forgets to
+    consume it), or with a component that is no number, is dropped.  The last occurrence of
     a word wins."""
     lines = spark.read.text(path).select(
         F.split(F.rtrim("value"), " ").alias("__f"), F.input_file_name().alias("__file"),
-        F.monotonically_increasing_id().alias("__line"))
+        F.input_file_block_start().alias("__block"), F.monotonically_increasing_id().alias("__line"))
     if has_header:
-        d = lines.filter(F.size("__f") == 2).orderBy("__file", "__line").select(
+        d = lines.filter(F.size("__f") == 2).orderBy("__file", "__block", "__line").select(
             F.col("__f")[1].cast("int")).limit(1).scalar()
     else:
-        d = lines.select(F.max(F.size("__f")) - 1).scalar()
+        d = lines.select(F.mode(F.size("__f")) - 1).scalar()
     rows = lines.filter(F.size("__f") == d + 1).select(
         F.col("__f")[0].alias("word"),
-        F.transform(F.slice("__f", 2, F.size("__f") - 1), lambda x: x.cast("float")).alias("vec"),
-        F.struct("__file", "__line").alias("__order"))
+        F.transform(F.slice("__f", 2, F.size("__f") - 1), lambda x: x.try_cast("float")).alias("vec"),
+        F.struct("__file", "__block", "__line").alias("__order")).filter(~F.exists("vec", F.isnull))
     return rows.groupBy("word").agg(F.max_by("vec", "__order").alias("vec"))
 
 
-def write_word_vectors(df: DataFrame, path: str, n: int, d: int) -> None:
-    """fastText text layout: a header line 'n d' and one 'word v1 ... vd'
-    line per word.  The body is written by every task in parallel; the
-    header goes to its own small file (the reader recognises it by shape,
-    not by position)."""
+def write_word_vectors(df: DataFrame, path: str) -> None:
+    """fastText text layout, one file that any reader of the format takes: a
+    header line 'n d' with the true numbers, then one 'word v1 ... vd' line
+    per word in word order.  A single file is written by a single task; that
+    is the format's limit, and the sort before it is distributed."""
+    size = df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     spark = df.sparkSession
-    spark.createDataFrame([(f"{n} {d}",)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    body = df.select(F.concat_ws(" ", "word", F.transform("vec", lambda x: x.cast("string"))).alias("value"))
-    body.write.mode("append").text(path)
+    head = spark.createDataFrame([(0, "", f"{size[0]} {size[1] or 0}")], "part int, word string, value string")
+    body = df.select(F.lit(1).alias("part"), "word", F.concat_ws(" ", "word", F.transform("vec", lambda x: x.cast("string"))).alias("value"))
+    (head.unionByName(body).orderBy("part", "word").coalesce(1).select("value").write.mode("overwrite").text(path))
 
 
 def write_partitioned(df: DataFrame, path: str, cols=("lang", "split")) -> None:

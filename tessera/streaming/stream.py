@@ -16,9 +16,10 @@ from tessera.functions.text import normalise
 
 
 def normalise_stream(spark: SparkSession, src: str, schema: str, out: str, checkpoint: str,
-                     text_col: str = "text", lang_col: str = "lang", id_col: str = "id") -> DataFrame:
+                     text_col: str = "text", lang_col: str = "lang", id_col: str = "id",
+                     stop_lists: dict | None = None) -> DataFrame:
     stream = spark.readStream.schema(schema).json(src)
-    toks = normalise(stream, text_col, lang_col, "toks", keep_cols=[id_col, lang_col])
+    toks = normalise(stream, text_col, lang_col, "toks", keep_cols=[id_col, lang_col], stop_lists=stop_lists)
     q = (toks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
