@@ -100,12 +100,10 @@ def cooccurrence(long_df: DataFrame, id_col: str = "id", class_col: str = "class
     """For each true class t and predicted class p, the number of
     articles labelled t and predicted p.
 
-    The pairs are emitted per article only between its *true* and its
-    *predicted* classes, both bounded by the class-list size (a checked
-    bound), never all pairs of a hot group."""
-    t = long_df.filter(F.col(y_col) == 1).groupBy(id_col).agg(F.collect_set(class_col).alias("__t"))
-    p = long_df.filter(F.col(pred_col) == 1).groupBy(id_col).agg(F.collect_set(class_col).alias("__p"))
-    j = t.join(p, id_col)
-    pairs = j.select(F.explode("__t").alias("true_class"), "__p").select(
+    One grouping gathers an article's true and its predicted classes; pairs
+    are emitted only between the two, both bounded by the class list."""
+    both = long_df.groupBy(id_col).agg(F.collect_set(F.when(F.col(y_col) == 1, F.col(class_col))).alias("__t"),
+                                       F.collect_set(F.when(F.col(pred_col) == 1, F.col(class_col))).alias("__p"))
+    pairs = both.select(F.explode("__t").alias("true_class"), "__p").select(
         "true_class", F.explode("__p").alias("pred_class"))
     return pairs.groupBy("true_class", "pred_class").agg(F.count(F.lit(1)).alias("n"))

@@ -91,9 +91,23 @@ def log_loss(df: DataFrame, score_col: str = "score", y_col: str = "y", by=()) -
 
 def threshold_sweep(df: DataFrame, grid, score_col: str = "score", class_col: str = "class",
                     y_col: str = "y") -> DataFrame:
-    """M3: micro/macro metrics for every threshold of a fixed grid (the grid
-    is a parameter, so each row fans out to len(grid) rows)."""
-    g = F.array(*[F.lit(float(t)) for t in grid])
-    fan = df.select(class_col, y_col, score_col, F.explode(g).alias("threshold")).withColumn(
-        "pred", (F.col(score_col) > F.col("threshold")).cast("int"))
-    return micro_macro(confusion(fan, class_col, y_col, "pred", by=["threshold"]), by=["threshold"])
+    """M3: micro/macro metrics for every threshold of a grid, in one pass:
+    rows are counted per class and number of thresholds that their score
+    exceeds, and the confusion counts of every threshold are sums over that
+    small table (classes x (grid + 1) rows)."""
+    cuts = sorted({float(t) for t in grid})
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: F.col(score_col) > t))
+    cells = df.groupBy(class_col, above.alias("__k")).agg(F.sum(y_col).cast("long").alias("__y"), F.count(F.lit(1)).alias("__n"))
+    # a row is predicted at the j-th threshold when it exceeds more than j of them
+    table = cells.select(class_col, "__k", "__y", "__n", F.posexplode(F.array(*map(F.lit, cuts))).alias("__j", "threshold"))
+    hit, y, n = F.col("__k") > F.col("__j"), F.col("__y"), F.col("__n")
+    total = lambda cond, v: F.sum(F.when(cond, v).otherwise(F.lit(0))).cast("long")
+    conf = table.groupBy("threshold", class_col).agg(
+        F.sum(y).cast("double").alias("count"), total(~hit, n - y).alias("TN"), total(~hit, y).alias("FN"),
+        total(hit, y).alias("TP"), total(hit, n - y).alias("FP"))
+    return micro_macro(conf, by=["threshold"])
+
+
+def best_threshold(sweep: DataFrame, metric: str = "f1_micro") -> DataFrame:
+    """The sweep's first strict maximum of a metric (ties: the smaller threshold)."""
+    return sweep.orderBy(F.col(metric).desc(), "threshold").limit(1)

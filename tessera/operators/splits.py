@@ -35,25 +35,15 @@ def split_nested(keys: DataFrame, key_col: str, train_size: int, sub_size: int,
                  keep_rest: bool = True) -> DataFrame:
     """Exact-size nested split of distinct keys -- ``train_size`` keys,
     ``sub_size`` of those as a nested subset, ``val_size`` of the remaining
-    keys, the rest as test (dropped when ``keep_rest`` is False).  Returns
+    keys, the rest as test (dropped when ``keep_rest`` is False).  All cuts
+    are ranges of one seeded order, so one dense rank serves them.  Returns
     (key, split) memberships; a nested key has two rows."""
-    k = keys.select(key_col).distinct()
-    r1 = dense_index(k.withColumn("__h", seeded_key(key_col, seed, "a")), ["__h", key_col], "__r1").drop("__h")
-    train = r1.filter(F.col("__r1") < train_size).select(key_col)
-    rest = r1.filter(F.col("__r1") >= train_size).select(key_col)
-    r2 = dense_index(train.withColumn("__h", seeded_key(key_col, seed, "b")), ["__h", key_col], "__r2")
-    sub = r2.filter(F.col("__r2") < sub_size).select(key_col)
-    r3 = dense_index(rest.withColumn("__h", seeded_key(key_col, seed, "c")), ["__h", key_col], "__r3")
-    val = r3.filter(F.col("__r3") < val_size).select(key_col)
-    test = r3.filter(F.col("__r3") >= val_size).select(key_col)
-    parts = [train.withColumn("split", F.lit(names[0])), sub.withColumn("split", F.lit(names[1])),
-             val.withColumn("split", F.lit(names[2]))]
-    if keep_rest:
-        parts.append(test.withColumn("split", F.lit(names[3])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    k = keys.select(key_col).distinct().withColumn("__h", seeded_key(key_col, seed))
+    r = F.col("__r")
+    part = (F.when(r < sub_size, F.array(F.lit(names[0]), F.lit(names[1]))).when(r < train_size, F.array(F.lit(names[0])))
+            .when(r < train_size + val_size, F.array(F.lit(names[2])))
+            .otherwise(F.array(F.lit(names[3])) if keep_rest else F.array().cast("array<string>")))
+    return dense_index(k, ["__h", key_col], "__r").select(key_col, F.explode(part).alias("split"))
 
 
 def apply_split(df: DataFrame, members: DataFrame, key_col: str) -> DataFrame:

@@ -10,8 +10,9 @@ from tessera.operators.vocab import dense_index
 from tessera.plans import views as V
 from tessera.plans.catalog import register
 
-# Fixed class list for the wide (one column per class) layout.
-WIDE_CLASSES = ["Quality.high", "Quality.low", "Safety.toxic"]
+# The classes of the test corpus, for the oracle's static column list; the
+# query itself learns them from the data.
+_ALL_CLASSES = sorted(["Quality.high", "Quality.low", "Safety.toxic"] + [f"Source.src{i}" for i in range(20)])
 # Fixed rename map for the rename operator.
 RENAMES = {"Quality.high": "Quality.good", "Quality.low": "Quality.poor"}
 
@@ -47,18 +48,18 @@ def lbl_class_ids(spark, sf):
 
 
 def _wide_sql():
-    cols = ", ".join(f"CAST(list_contains(cats, '{c}') AS INTEGER) AS {c.replace('.', '_')}" for c in WIDE_CLASSES)
+    cols = ", ".join(f"CAST(list_contains(cats, '{c}') AS INTEGER) AS {c.replace('.', '_')}" for c in _ALL_CLASSES)
     return f"SELECT id, {cols} FROM articles"
 
 
 @register("lbl_wide", _wide_sql(), ["articles"])
 def lbl_wide(spark, sf):
-    """One column per class of a fixed class list, from a
-    multi-hot vector, same-row select."""
+    """One column per class of the data, from a multi-hot vector,
+    same-row select."""
     a = V.articles(spark, sf)
-    cl = lb.ClassList(WIDE_CLASSES)
+    cl = lb.class_table(a, "cats")
     m = a.select("id", cl.multihot("cats").alias("labels"))
-    return lb.wide_columns(m, "labels", [c.replace(".", "_") for c in WIDE_CLASSES])
+    return lb.wide_columns(m, "labels", [c.replace(".", "_") for c in cl.names])
 
 
 def _rename_sql():

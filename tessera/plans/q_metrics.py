@@ -101,6 +101,17 @@ def met_threshold_sweep(spark, sf):
     return mt.threshold_sweep(V.scores(spark, sf), GRID)
 
 
+@register("met_best_threshold", f"""
+WITH g AS (SELECT unnest({_GRID_SQL}) AS threshold),
+fan AS (SELECT s.class, s.y, g.threshold, CAST(s.score > g.threshold AS INTEGER) AS pred FROM scores s, g),
+""" + _CONF.format(by="threshold,", src="fan") + ", sw AS (" + _mm("threshold,") + """)
+SELECT * FROM sw ORDER BY f1_micro DESC, threshold LIMIT 1
+""", ["scores"])
+def met_best_threshold(spark, sf):
+    """M3: the threshold of the grid with the best micro F1."""
+    return mt.best_threshold(mt.threshold_sweep(V.scores(spark, sf), GRID))
+
+
 @register("res_best_epoch", f"""
 WITH g AS (SELECT unnest({_GRID_SQL}) AS threshold),
 fan AS (SELECT s.class, s.y, g.threshold, CAST(s.score > g.threshold AS INTEGER) AS pred FROM scores s, g),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tessera.operators import rows as rw
@@ -14,8 +16,6 @@ from tessera.session import read_table
 # Sizes for the nested key split at test scale (the reference used
 # 30,000 / 10,000 / 1,000 on 33,528 keys).
 NESTED = dict(train_size=90, sub_size=30, val_size=20, seed=57)
-MIXES = {"en": ["en"], "fr": ["fr"], "de": ["de"], "es": ["es"], "en_fr": ["en", "fr"],
-         "en_de": ["en", "de"], "en_es": ["en", "es"], "all": ["en", "fr", "de", "es"]}
 
 
 @register("split_80_10_10", _SPLIT_SQL + "SELECT id, split FROM split")
@@ -30,15 +30,11 @@ def _nested_sql():
     return f"""
 WITH n AS (SELECT count(DISTINCT part) AS n FROM aligned),
 k AS (SELECT key FROM aligned GROUP BY key HAVING count(DISTINCT part) = (SELECT n FROM n)),
-r1 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}a:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM k),
-tr AS (SELECT key FROM r1 WHERE r < {NESTED['train_size']}),
-rest AS (SELECT key FROM r1 WHERE r >= {NESTED['train_size']}),
-r2 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}b:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM tr),
-r3 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}c:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM rest),
-members AS (SELECT key, 'monolingual_train' AS split FROM tr
-  UNION ALL SELECT key, 'multilingual_train' FROM r2 WHERE r < {NESTED['sub_size']}
-  UNION ALL SELECT key, 'val' FROM r3 WHERE r < {NESTED['val_size']}
-  UNION ALL SELECT key, 'test' FROM r3 WHERE r >= {NESTED['val_size']})
+r1 AS (SELECT key, row_number() OVER (ORDER BY md5('{s}:' || CAST(key AS VARCHAR)), key) - 1 AS r FROM k),
+members AS (SELECT key, 'monolingual_train' AS split FROM r1 WHERE r < {NESTED['train_size']}
+  UNION ALL SELECT key, 'multilingual_train' FROM r1 WHERE r < {NESTED['sub_size']}
+  UNION ALL SELECT key, 'val' FROM r1 WHERE r >= {NESTED['train_size']} AND r < {NESTED['train_size'] + NESTED['val_size']}
+  UNION ALL SELECT key, 'test' FROM r1 WHERE r >= {NESTED['train_size'] + NESTED['val_size']})
 """
 
 
@@ -73,10 +69,23 @@ def split_leak_check(spark, sf):
     return sp.split_overlaps(_members(spark, sf)[1], "key")
 
 
+def language_mixes(langs) -> dict:
+    """Every language alone, every pair, and all together."""
+    langs = sorted(langs)
+    return ({x: [x] for x in langs} | {f"{a}_{b}": [a, b] for a, b in combinations(langs, 2)} | {"all": langs})
+
+
+# The same mixes in SQL, from the languages of the data.
+MIX_SQL = """
+ln AS (SELECT DISTINCT lang FROM documents),
+mx AS (SELECT lang AS mix, lang FROM ln UNION ALL SELECT 'all', lang FROM ln
+  UNION ALL SELECT a.lang || '_' || b.lang, unnest([a.lang, b.lang]) FROM ln a JOIN ln b ON a.lang < b.lang)
+"""
+
+
 def _mix_sql():
-    rows = " UNION ALL ".join(f"SELECT '{m}' AS mix, '{l}' AS lang" for m, ls in MIXES.items() for l in ls)
     return f"""
-WITH mx AS ({rows}),
+WITH {MIX_SQL},
 r AS (SELECT mx.mix, d.doc_id AS id, d.lang, md5('57:' || mx.mix || ':' || CAST(d.doc_id AS VARCHAR)) AS h
       FROM documents d JOIN mx ON d.lang = mx.lang)
 SELECT mix, id, lang, row_number() OVER (PARTITION BY mix ORDER BY h, id) - 1 AS position FROM r
@@ -88,7 +97,8 @@ def mix_build(spark, sf):
     """U4 + X4: single-language and mixed-language sets, each shuffled by a
     seeded hash (position = place in the shuffled mix)."""
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return sp.build_mixes(d, "lang", "id", MIXES, seed=57).select("mix", "id", "lang", "position")
+    langs = [r[0] for r in d.select("lang").distinct().collect()]        # languages, not documents
+    return sp.build_mixes(d, "lang", "id", language_mixes(langs), seed=57).select("mix", "id", "lang", "position")
 
 
 FIXED_SAMPLE = dict(train_size=600, sub_size=0, val_size=100, seed=57)
@@ -96,11 +106,9 @@ FIXED_SAMPLE = dict(train_size=600, sub_size=0, val_size=100, seed=57)
 
 @register("split_fixed_sample", f"""
 WITH k AS (SELECT doc_id AS id FROM documents),
-r1 AS (SELECT id, row_number() OVER (ORDER BY md5('57a:' || CAST(id AS VARCHAR)), id) - 1 AS r FROM k),
-rest AS (SELECT id FROM r1 WHERE r >= {FIXED_SAMPLE['train_size']}),
-r3 AS (SELECT id, row_number() OVER (ORDER BY md5('57c:' || CAST(id AS VARCHAR)), id) - 1 AS r FROM rest)
+r1 AS (SELECT id, row_number() OVER (ORDER BY md5('57:' || CAST(id AS VARCHAR)), id) - 1 AS r FROM k)
 SELECT id, 'train' AS split FROM r1 WHERE r < {FIXED_SAMPLE['train_size']}
-UNION ALL SELECT id, 'val' FROM r3 WHERE r < {FIXED_SAMPLE['val_size']}
+UNION ALL SELECT id, 'val' FROM r1 WHERE r >= {FIXED_SAMPLE['train_size']} AND r < {FIXED_SAMPLE['train_size'] + FIXED_SAMPLE['val_size']}
 """)
 def split_fixed_sample(spark, sf):
     """Fixed-size train and validation samples of the documents, the
