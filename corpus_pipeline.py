@@ -60,7 +60,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text they decode to."""
     path = tokenizer_path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, "text", "ids"), path, "ids", "decoded")
+    coded = bpe.encode_and_decode(docs.select("doc_id", "text"), path)
     return coded.select("doc_id", "ids", *digests())
 
 

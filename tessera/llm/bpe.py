@@ -92,7 +92,7 @@ class PairCache(dict):
 class Bpe:
     """A tokenizer file as merge tables, an automaton and a piece splitter."""
 
-    def __init__(self, path: str, cache: int = 120_000):
+    def __init__(self, path: str, cache: int = 50_000):
         import ahocorasick
         import regex
         with open(path, encoding="utf-8") as f:
@@ -306,40 +306,59 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _append(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
-    """``df`` plus a column computed from the column ``source`` by
-    ``make(list of values) -> Arrow array``."""
-    base = df if name.lower() == source.lower() else drop_columns(df, name)
-    schema = T.StructType([f for f in base.schema.fields if f.name.lower() != name.lower()]
-                          + [T.StructField(name, kind)])
+def _append(df: DataFrame, source: str, made: list[T.StructField], make) -> DataFrame:
+    """``df`` plus columns computed from the column ``source`` by
+    ``make(Arrow array) -> Arrow arrays``, in one pass."""
+    names = [f.name for f in made]
+    low = {n.lower() for n in names}
+    base = drop_columns(df, *[n for n in names if n.lower() != source.lower()])
+    schema = T.StructType([f for f in base.schema.fields if f.name.lower() not in low] + made)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 values = make(part.column(source))
-                keep = [i for i, n in enumerate(part.schema.names) if n.lower() != name.lower()]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [values],
-                                                 [part.schema.names[i] for i in keep] + [name])
+                keep = [i for i, n in enumerate(part.schema.names) if n.lower() not in low]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + values,
+                                                 [part.schema.names[i] for i in keep] + names)
     return base.mapInArrow(run, schema)
 
 
+def _ids_of(bpe: Bpe, texts) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and where each text's start."""
+    packed = [bpe.packed(t) for t in texts.to_pylist()]
+    return np.frombuffer(b"".join(packed), dtype=np.int32), np.cumsum([0] + [len(p) // 4 for p in packed])
+
+
+def _texts_of(bpe: Bpe, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
+
+
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` plus the token ids of its whole texts, as the tokenizers library
     gives them without added special tokens, truncation or padding (special
     strings inside a text are recognised)."""
-    def make(texts):
-        bpe = tokenizer(path)
-        packed = [bpe.packed(t) for t in texts.to_pylist()]
-        ends = np.cumsum([0] + [len(p) // 4 for p in packed])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-    return _append(df, ids_col, T.ArrayType(T.IntegerType()), text_col, make)
+    return _append(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))],
+                   lambda texts: [_lists(*_ids_of(tokenizer(path), texts))])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` plus the text of its ids, special tokens kept, as the library
     decodes them."""
-    def make(ids):
+    return _append(df, ids_col, [T.StructField(out_col, T.StringType())], lambda ids: [_texts_of(
+        tokenizer(path), ids.values.fill_null(-1).to_numpy(zero_copy_only=False), ids.offsets.to_numpy())])
+
+
+def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
+                      out_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, with one tokenizer in
+    memory and no transfer of the ids between the two."""
+    def make(texts):
         bpe = tokenizer(path)
-        flat, ends = ids.values.fill_null(-1).to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
-    return _append(df, out_col, T.StringType(), ids_col, make)
+        flat, ends = _ids_of(bpe, texts)
+        return [_lists(flat, ends), _texts_of(bpe, flat, ends)]
+    return _append(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.StringType())], make)

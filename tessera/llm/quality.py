@@ -29,13 +29,14 @@ from __future__ import annotations
 import pickle
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import drop_columns, slices
+from tessera.llm.common import drop_columns, materialize
 from tessera.llm.labelled import fit_curve, held_out_fold, training_rows
 
 OUTPUT = ("evidence", "host_rate", "path_rate", "score", "good")
@@ -105,18 +106,17 @@ def fit(docs: DataFrame, labels: DataFrame, good_docs: int = 2000, bad_docs: int
 
 
 def with_probability(df: DataFrame, model: Model, text_col: str, out: str) -> DataFrame:
-    """``df`` plus the classifier's probability of each whole text."""
+    """``df`` plus the classifier's probability of each whole text.  Only the
+    text goes to the workers and only the number comes back."""
     blob = pickle.dumps(model)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pickle.loads(blob)
-        for batch in batches:
-            for part in slices(batch):
-                x = [features(t) for t in part.column(text_col).cast(pa.binary()).to_pylist()]
-                p = own.probability(np.stack(x)) if x else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, out])
-    return df.mapInArrow(run, schema)
+        for texts in parts:
+            x = [features(t.encode("utf-8", "replace") if t is not None else None) for t in texts]
+            yield pd.Series(own.probability(np.stack(x)) if x else np.zeros(0))
+    return df.withColumn(out, probability(F.col(text_col).cast("string")))
 
 
 def _logit(p: Column) -> Column:
@@ -136,7 +136,8 @@ def _strength(spread: float, groups: float, variance: float, room: float) -> flo
 def site_rates(rows: DataFrame) -> tuple[DataFrame, dict]:
     """Rows (host, path, p) -> one row for each path with the sums of its
     host, and the global rate and the two strengths."""
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+    # one row for each path, written once: the aggregates below would each score all texts again
+    paths = materialize(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count(F.lit(1)).alias("paths"),
                                       F.sum(F.col("n") * F.col("n")).alias("nn"))
     t = hosts.agg(F.sum("hn"), F.sum("hs"), F.count(F.lit(1)), F.sum(F.col("hn") * F.col("hn"))).first()
@@ -164,15 +165,15 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", host: Column |
     path = (F.concat_ws("/", source, F.coalesce(F.col("lang").cast("string"), F.lit(""))) if path is None
             else F.coalesce(path.cast("string"), F.lit("")))
     base = drop_columns(df, *OUTPUT)
-    inner = ("__host", "__path", "__text", "__p")
-    keyed = base.select("*", host.alias(inner[0]), path.alias(inner[1]), F.col(text_col).cast("string").alias(inner[2]))
+    inner = ("__host", "__path")
+    keyed = base.select("*", host.alias(inner[0]), path.alias(inner[1]))
     narrow = with_probability(keyed.select(F.col(inner[0]).alias("host"), F.col(inner[1]).alias("path"),
-                                           F.col(inner[2]).alias("text")), model, "text", "p")
+                                           F.col(text_col).alias("text")), model, "text", "p")
     sites, g = site_rates(narrow.select("host", "path", "p"))
     sites = sites.select(F.col("host").alias(inner[0]), F.col("path").alias(inner[1]), *[F.col(c).alias(f"__{c}") for c in ("n", "s", "hn", "hs")])
     p = F.col("__p")
     host_rate = (g["host"] * g["rate"] + F.col("__hs") - p) / (g["host"] + F.col("__hn") - 1)
-    scored = with_probability(keyed, model, inner[2], "__p").join(sites, [inner[0], inner[1]])
+    scored = with_probability(keyed, model, text_col, "__p").join(sites, [inner[0], inner[1]])
     scored = scored.withColumns({"evidence": _logit(p) - float(np.log(model.base / (1 - model.base))), "host_rate": host_rate})
     scored = scored.withColumn("path_rate", (g["path"] * F.col("host_rate") + F.col("__s") - p) / (g["path"] + F.col("__n") - 1))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate"))))))

@@ -70,6 +70,8 @@ def test_operator_rows_nulls_and_clashing_columns(spark):
     lib = Tokenizer.from_file(path)
     hello = lib.encode("Hello hello", add_special_tokens=False).ids
     assert got == [(0, [], ""), (1, hello, lib.decode(hello)), (1, hello, lib.decode(hello)), (3, [], "")]
+    both = bpe.encode_and_decode(df, path)
+    assert both.columns == out.columns and sorted((r.doc_id or 0, list(r.ids), r.decoded) for r in both.collect()) == got
     assert bpe.encode(df.limit(0), path).count() == 0
     d = {r.doc_id: r for r in encoded_digests(df, path).collect()}
     assert d[1].n_tokens == len(hello) and d[1].ids_sha256 == hashlib.sha256(" ".join(map(str, hello)).encode()).hexdigest()
