@@ -28,6 +28,8 @@ give empty tables, or no findings; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,90 +53,125 @@ _ENDS = ".!?"
 _DROPPED = ",;:\"()[]{}<>«»“”„…¡¿|*#_~`^=+\\/" + END
 
 
-def raw_words(text: str | Column) -> Column:
-    """Words of a text as an array; one that ends a sentence carries a mark."""
-    ended = F.translate(F.translate(text_or_empty(text), _DROPPED, " " * len(_DROPPED)), _ENDS, END * len(_ENDS))
-    return F.filter(F.split(ended, r"\s+"), lambda w: F.translate(w, END, "") != "")
+def _ended(text: str | Column) -> Column:
+    """A text with signs blanked and sentence ends marked."""
+    return F.translate(F.translate(text_or_empty(text), _DROPPED, " " * len(_DROPPED)), _ENDS, END * len(_ENDS))
 
 
-def template(words: Column) -> Column:
-    """Template words of raw words."""
-    def one(word: Column, i: Column) -> Column:
-        bare = F.translate(word, END, "")
-        low = F.lower(bare)
-        first = F.substring(low, 1, 1)
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def with_words(rows: DataFrame, text: str | Column) -> DataFrame:
+    """``rows`` plus w, the words of a text (one that ends a sentence carries
+    a mark), and l, the same words in lower case without marks."""
+    marked = F.filter(_split(_ended(text)), lambda w: F.translate(w, END, "") != "")
+    return rows.withColumns({"w": marked, "l": _split(F.lower(F.translate(_ended(text), END, "")))})
+
+
+def template(words: Column, low: Column) -> Column:
+    """Template words.  The common case, a word already in lower case, is
+    decided by three comparisons; only the others are looked at closely."""
+    def one(x: Column, i: Column) -> Column:
+        word = F.get(words, i)
         before = F.when(i > 0, F.get(words, i - 1)).otherwise(F.lit(END))
-        number = first.between("0", "9") | low.isin(*NUMBER_WORDS)
-        after_number = F.substring(before, 1, 1).between("0", "9")
-        unit = low.isin(*[u for u in UNITS if u not in AFTER_NUMBER]) | (after_number & low.isin(*AFTER_NUMBER))
+        digit = lambda w: (w >= "0") & (w < ":")  # noqa: E731  starts with one
+        bare = F.translate(word, END, "")
         tail = F.substring(bare, 2, 1 << 30)
-        name = ((F.substring(bare, 1, 1) != first) & (tail != "") & (tail == F.substring(low, 2, 1 << 30))
+        name = ((F.substring(bare, 1, 1) != F.substring(x, 1, 1)) & (tail != "") & (tail == F.substring(x, 2, 1 << 30))
                 & ~F.contains(before, F.lit(END)))
-        return F.when(number, F.lit(NUMBER)).when(unit, F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low)
-    return F.transform(words, one)
+        return (F.when(digit(x) | x.isin(*NUMBER_WORDS), F.lit(NUMBER))
+                .when(x.isin(*UNITS) & (~x.isin(*AFTER_NUMBER) | digit(before)), F.lit(UNIT))
+                .when((word != x) & name, F.lit(NAME)).otherwise(x))
+    return F.transform(low, one)
 
 
-def is_slot(word: Column) -> Column:
-    return word.isin(NUMBER, UNIT, NAME)
+def with_template(rows: DataFrame, text: str | Column) -> DataFrame:
+    """``rows`` plus w, l and t, the template words of a text."""
+    return with_words(rows, text).withColumn("t", template(F.col("w"), F.col("l")))
 
 
-def window_at(words: Column, templ: Column, start: Column, size) -> Column:
-    """One window: place, hash of its template, values behind its placeholders."""
-    kinds = F.slice(templ, start + 1, size)
-    raw = F.slice(words, start + 1, size)
-    values = F.filter(F.transform(raw, lambda w, j: F.when(is_slot(F.get(kinds, j)), F.lower(F.translate(w, END, "")))), F.isnotnull)
-    return F.struct(start.alias("pos"), F.xxhash64(kinds).alias("h"), values.alias("slots"))
+def is_slot(word: Column) -> Column:
+    return word.isin(NUMBER, UNIT, NAME)
 
 
-def places(templ: Column, size: int) -> Column:
-    """Starts of the windows of a size; of a shorter text, none."""
-    n = F.size(templ)
-    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+def with_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` plus h<n>, the hashes of all windows of n template words, for
+    each size.  A window's hash is that of the hashes of its two parts, so
+    eight words cost three steps and no window is ever copied."""
+    done = {1}
+    rows = rows.withColumn("h1", F.transform("t", lambda x: F.xxhash64(x)))
+
+    def need(n: int) -> None:
+        nonlocal rows
+        if n in done:
+            return
+        a = 1 << ((n - 1).bit_length() - 1)
+        need(a)
+        need(n - a)
+        starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn(f"h{n}", F.transform(starts, lambda i: F.xxhash64(F.get(f"h{a}", i), F.get(f"h{n - a}", i + a))))
+        done.add(n)
+    for n in sizes:
+        need(n)
+    return rows
+
+
+def window_at(start: Column, h: Column, size) -> Column:
+    """One window of a row: place, hash, values behind its placeholders."""
+    kinds = F.slice("t", start + 1, size)
+    raw = F.slice("l", start + 1, size)
+    values = F.filter(F.transform(raw, lambda w, j: F.when(is_slot(F.get(kinds, j)), w)), F.isnotnull)
+    return F.struct(start.alias("pos"), h.alias("h"), values.alias("slots"))
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, size, pos, h, slots, windows): the items' windows with enough
     literal words, and their number."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), raw_words(text_col).alias("w"))
-    rows = rows.withColumn("t", template(F.col("w"))).filter(F.size("t") > 0)
-    rows = rows.withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
-    starts = F.sequence(F.lit(0), F.size("t") - F.col("size"))
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    rows = materialize(with_template(rows, "text").withColumn("size", F.least(F.size("t"), F.lit(WINDOW))), "item-words")
     literals = F.least(F.col("size"), F.lit(LEAST_LITERALS))
+    starts = F.sequence(F.lit(0), F.size("t") - F.col("size"))
     enough = F.filter(starts, lambda i: F.size(F.filter(F.slice("t", i + 1, F.col("size")), lambda x: ~is_slot(x))) >= literals)
-    cut = F.transform(enough, lambda i: window_at(F.col("w"), F.col("t"), i, F.col("size")))
-    return (rows.select("item_id", "size", F.size(enough).alias("windows"), F.explode(cut).alias("x"))
-            .select("item_id", "size", "windows", "x.pos", "x.h", "x.slots"))
+    out = []
+    for n in range(1, WINDOW + 1):
+        own = with_hashes(rows.filter(F.col("size") == n), [n]).withColumn("e", enough)
+        out.append(own.select("item_id", "size", F.size("e").alias("windows"), F.explode_outer(_cut(n)).alias("x")).filter("x is not null"))
+    return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "x.pos", "x.h", "x.slots")
 
 
-def _known_windows(size: int, hashes: list[int]) -> Column:
-    """Windows of a size whose hash is among a few known ones."""
-    at = F.filter(places(F.col("t"), size), lambda i: F.xxhash64(F.slice("t", i + 1, size)).isin(hashes))
-    return F.transform(at, lambda i: window_at(F.col("w"), F.col("t"), i, size))
+def _cut(size: int) -> Column:
+    """The windows of one size at the places in the column e."""
+    return F.transform("e", lambda i: window_at(i, F.get(f"h{size}", i), size))
 
 
-def _hashed_windows(size: int) -> Column:
-    """All windows of a size as places and hashes."""
-    return F.transform(places(F.col("t"), size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i + 1, size)).alias("h")))
+def _known_windows(size: int, hashes: list[int]) -> Column:
+    """Windows of a size whose hash is among a few known ones."""
+    places = F.sequence(F.lit(0), F.size(f"h{size}") - 1)
+    at = F.when(F.size(f"h{size}") > 0, F.filter(places, lambda i: F.get(f"h{size}", i).isin(hashes))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: window_at(i, F.get(f"h{size}", i), size))
 
 
 def matching_windows(docs: DataFrame, items: DataFrame, literal_limit: int) -> DataFrame:
-    """(doc_id, pos, h, slots) of the documents' windows whose hash some item has."""
+    """(doc_id, pos, h, slots) of the windows of documents (doc_id, text)
+    whose hash some item has."""
     hashes = items.select("size", "h").distinct()
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())         # at most WINDOW numbers
-    rows = docs.withColumn("t", template(F.col("w")))
+    rows = with_hashes(with_template(docs, "text"), sizes)
     if hashes.count() <= literal_limit:
-        of = {s: [r.h for r in hashes.filter(F.col("size") == s).collect()] for s in sizes}
-        found = F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
-        for s, hs in of.items():
-            found = F.concat(found, _known_windows(s, hs))
-        return rows.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.pos", "x.h", "x.slots")
+        known = hashes.collect()                                                    # at most literal_limit numbers
+        found = F.concat(*[_known_windows(n, [r.h for r in known if r["size"] == n]) for n in sizes])
+        # outer, as an inner explode would first filter by its own input and so compute all windows twice
+        found = rows.select("doc_id", F.explode_outer(found).alias("x")).filter("x is not null")
+        return found.select("doc_id", "x.pos", "x.h", "x.slots")
     out = None
-    for s in sizes:
-        hits = (rows.select("doc_id", F.explode(_hashed_windows(s)).alias("x")).select("doc_id", "x.pos", "x.h")
-                .join(hashes.filter(F.col("size") == s).select("h"), "h", "left_semi"))
+    for n in sizes:
+        hits = (rows.select("doc_id", F.posexplode_outer(f"h{n}").alias("pos", "h"))
+                .join(hashes.filter(F.col("size") == n).select("h"), "h", "left_semi"))
         # the few documents with a hit fetch the values behind their placeholders
-        hits = hits.join(rows, "doc_id").withColumn("x", window_at(F.col("w"), F.col("t"), F.col("pos"), s))
-        hits = hits.filter(F.col("x.h") == F.col("h")).select("doc_id", "x.pos", "x.h", "x.slots").distinct()
+        there = F.struct(window_at(F.col("pos"), F.col("h"), n).alias("x"), F.get(f"h{n}", F.col("pos")).alias("own"))
+        hits = hits.join(rows.drop("h"), "doc_id").select("doc_id", "h", F.explode_outer(F.array(there)).alias("y"))
+        hits = hits.filter(F.col("y.own") == F.col("h")).select("doc_id", "y.x.pos", "y.x.h", "y.x.slots").distinct()
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -145,7 +182,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     and item: consistent windows found, and windows of the item."""
     spark = docs.sparkSession
     items = materialize(item_windows(benchmark, item_col, item_text_col), "items")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw_words(text_col).alias("w")).filter("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     if items.isEmpty():
         return spark.createDataFrame([], "doc_id long, item_id long, matched long, windows int")
     theirs = items.select("h", "item_id", "windows", F.col("pos").alias("at"), F.col("slots").alias("item_slots"))
