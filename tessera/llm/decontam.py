@@ -53,20 +53,14 @@ _ENDS = ".!?"
 _DROPPED = ",;:\"()[]{}<>«»“”„…¡¿|*#_~`^=+\\/" + END
 
 
-def _ended(text: str | Column) -> Column:
-    """A text with signs blanked and sentence ends marked."""
-    return F.translate(F.translate(text_or_empty(text), _DROPPED, " " * len(_DROPPED)), _ENDS, END * len(_ENDS))
-
-
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
 def with_words(rows: DataFrame, text: str | Column) -> DataFrame:
     """``rows`` plus w, the words of a text (one that ends a sentence carries
     a mark), and l, the same words in lower case without marks."""
-    marked = F.filter(_split(_ended(text)), lambda w: F.translate(w, END, "") != "")
-    return rows.withColumns({"w": marked, "l": _split(F.lower(F.translate(_ended(text), END, "")))})
+    marked = F.translate(text_or_empty(text), _DROPPED + _ENDS, " " * len(_DROPPED) + END * len(_ENDS))
+    rows = rows.withColumn("__e", F.regexp_replace(marked, END + "+", END))
+    low = F.lower(F.replace("__e", F.lit(END), F.lit("")))
+    return rows.withColumns({"w": F.filter(F.split("__e", r"\s+"), lambda w: (w != "") & (w != END)),
+                             "l": F.filter(F.split(low, r"\s+"), lambda w: w != "")}).drop("__e")
 
 
 def template(words: Column, low: Column) -> Column:
