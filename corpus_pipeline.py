@@ -46,7 +46,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
-    return decontam.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontam.clean_documents(docs, read_table(spark, sf_dir, "benchmark"), both=True)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ recurs, or the alignment does not count.
 A document is contaminated by an item when its consistent windows cover half
 of the item's windows, or six of them (thirteen words in a row).
 
+Templates depend on case and sentence marks, so the queries (``both=True``)
+also hash every window as plain lower-case words without marks, and a finding
+of either kind counts.  Plain windows have no literals to ask for.  The
+template kind alone, ``both=False``, is what the tests hold against its rules.
+
 Everything is native expressions: window hashes are made and tested inside
 each row against the benchmark's set of hashes, so only matching windows
 leave a document and no window of the corpus is shuffled.  That set is
@@ -49,6 +54,9 @@ NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven tw
 # Single letters and short words that are units only after a number.
 AFTER_NUMBER = tuple(u for u in UNITS if len(u) <= 2)
 END = "\x01"
+# Marks that part words of the plain kind; those left out join the letters around them.
+_PARTING = ":;()[]{}<>/\\|\"“”„«»*#_~`=+…–—"
+_JOINING = ".!?,'’‘^¡¿-−&%$€£¥@" + END
 _ENDS = ".!?"
 _DROPPED = ",;:\"()[]{}<>«»“”„…¡¿|*#_~`^=+\\/" + END
 
@@ -85,16 +93,22 @@ def with_template(rows: DataFrame, text: str | Column) -> DataFrame:
     return with_words(rows, text).withColumn("t", template(F.col("w"), F.col("l")))
 
 
+def with_plain(rows: DataFrame, text: str | Column) -> DataFrame:
+    """``rows`` plus p, the lower-case words of a text without marks."""
+    low = F.translate(F.lower(text_or_empty(text)), _PARTING + _JOINING, " " * len(_PARTING))
+    return rows.withColumn("p", F.filter(F.split(low, r"\s+"), lambda w: w != ""))
+
+
 def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, UNIT, NAME)
 
 
-def with_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+def with_hashes(rows: DataFrame, sizes: list[int], words: str = "t", name: str = "h") -> DataFrame:
     """``rows`` plus h<n>, the hashes of all windows of n template words, for
     each size.  A window's hash is that of the hashes of its two parts, so
     eight words cost three steps and no window is ever copied."""
     done = {1}
-    rows = rows.withColumn("h1", F.transform("t", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn(f"{name}1", F.transform(words, lambda x: F.xxhash64(x)))
 
     def need(n: int) -> None:
         nonlocal rows
@@ -103,8 +117,8 @@ def with_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
         a = 1 << ((n - 1).bit_length() - 1)
         need(a)
         need(n - a)
-        starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
-        rows = rows.withColumn(f"h{n}", F.transform(starts, lambda i: F.xxhash64(F.get(f"h{a}", i), F.get(f"h{n - a}", i + a))))
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn(f"{name}{n}", F.transform(starts, lambda i: F.xxhash64(F.get(f"{name}{a}", i), F.get(f"{name}{n - a}", i + a))))
         done.add(n)
     for n in sizes:
         need(n)
@@ -139,6 +153,40 @@ def _cut(size: int) -> Column:
     return F.transform("e", lambda i: window_at(i, F.get(f"h{size}", i), size))
 
 
+def plain_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``item_windows``: all windows of the items' plain words."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    rows = materialize(with_plain(rows, "text").withColumn("size", F.least(F.size("p"), F.lit(WINDOW))), "item-plain")
+    out = []
+    for n in range(1, WINDOW + 1):
+        own = with_hashes(rows.filter(F.col("size") == n), [n], "p", "g")
+        out.append(own.select("item_id", "size", F.size(f"g{n}").alias("windows"), F.posexplode(f"g{n}").alias("pos", "h")))
+    none = F.array().cast("array<string>")
+    return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "pos", "h", none.alias("slots"))
+
+
+def matching_plain(docs: DataFrame, items: DataFrame, literal_limit: int) -> DataFrame:
+    """``matching_windows`` for plain words."""
+    hashes = items.select("size", "h").distinct()
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())         # at most WINDOW numbers
+    rows = with_hashes(with_plain(docs, "text"), sizes, "p", "g")
+    none = F.array().cast("array<string>")
+    known = hashes.collect() if hashes.count() <= literal_limit else None           # at most literal_limit numbers
+    out = []
+    for n in sizes:
+        if known is None:
+            hits = rows.select("doc_id", F.posexplode(f"g{n}").alias("pos", "h"))
+            out.append(hits.join(hashes.filter(F.col("size") == n).select("h"), "h", "left_semi").select("doc_id", "pos", "h"))
+            continue
+        mine = [r.h for r in known if r["size"] == n]
+        at = F.filter(F.transform(f"g{n}", lambda h, i: F.when(h.isin(mine), F.struct(i.alias("pos"), h.alias("h")))), F.isnotnull)
+        out.append(at)
+    if known is None:
+        return reduce(DataFrame.unionByName, out).withColumn("slots", none)
+    found = rows.select("doc_id", F.explode_outer(F.concat(*out)).alias("x")).filter("x is not null")
+    return found.select("doc_id", "x.pos", "x.h", none.alias("slots"))
+
+
 def _known_windows(size: int, hashes: list[int]) -> Column:
     """Windows of a size whose hash is among a few known ones."""
     places = F.sequence(F.lit(0), F.size(f"h{size}") - 1)
@@ -171,16 +219,27 @@ def matching_windows(docs: DataFrame, items: DataFrame, literal_limit: int) -> D
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-             item_text_col: str = "text", literal_limit: int = 100_000) -> DataFrame:
+             item_text_col: str = "text", literal_limit: int = 100_000, both: bool = False) -> DataFrame:
     """(doc_id, item_id, matched, windows) for every contaminated document
-    and item: consistent windows found, and windows of the item."""
+    and item: consistent windows found, and windows of the item; with
+    ``both``, by the kind of windows that covers more of it."""
     spark = docs.sparkSession
-    items = materialize(item_windows(benchmark, item_col, item_text_col), "items")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    if items.isEmpty():
+    out = []
+    for cut, matching in ((item_windows, matching_windows), (plain_windows, matching_plain))[:2 if both else 1]:
+        items = materialize(cut(benchmark, item_col, item_text_col), "items")
+        if not items.isEmpty():
+            out.append(_covered(rows, items, matching, literal_limit))
+    if not out:
         return spark.createDataFrame([], "doc_id long, item_id long, matched long, windows int")
+    most = F.max_by(F.struct("matched", "windows"), F.col("matched") / F.col("windows")).alias("x")
+    return reduce(DataFrame.unionByName, out).groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "x.*")
+
+
+def _covered(rows: DataFrame, items: DataFrame, matching, literal_limit: int) -> DataFrame:
+    """The findings by one kind of windows."""
     theirs = items.select("h", "item_id", "windows", F.col("pos").alias("at"), F.col("slots").alias("item_slots"))
-    found = materialize(matching_windows(rows, items, literal_limit).join(theirs, "h")
+    found = materialize(matching(rows, items, literal_limit).join(theirs, "h")
                         .withColumn("shift", F.col("pos") - F.col("at")), "found")
     line = ["doc_id", "item_id", "shift"]
     pairs = (found.filter(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
