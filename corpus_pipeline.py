@@ -7,7 +7,8 @@ folder and read again; all but the last return the columns of documents.
 
 A row with a null id goes through every stage like any other; of rows that
 repeat an id and a text one stays, and documents that share an id but not a
-text stay apart.  Empty tables give empty tables.
+text stay apart: where ids do not tell rows apart, near duplicates and
+decontamination decide by a key of id and text.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,27 +27,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.classify(docs, model).filter("good").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` plus __row, a number for each id and text, in the order of the
+    ids and null ids last: the id itself where it tells all rows apart, else
+    numbers written once.  Rows that repeat an id and a text share theirs."""
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if repeated.isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    digest = F.sha2(F.col("text").cast("string"), 256)
+    rows = docs.select("doc_id", digest.alias("__d")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), F.col("__d").asc_nulls_last())
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "row-keys").withColumnRenamed("doc_id", "__id")
+    own = docs.withColumn("__d", digest)
+    same = own["doc_id"].eqNullSafe(rows["__id"]) & own["__d"].eqNullSafe(rows["__d"])
+    return materialize(own.join(rows, same).select(*[own[c] for c in docs.columns], "__row"), "keyed")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest id."""
-    classes = materialize(minhash.near_duplicates(docs), "classes")
-    gone = materialize(classes.filter("not kept").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows that an id does not tell apart: copies of a text under one id, or under none
-    unsure = materialize(classes.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "unsure")
-    if unsure.isEmpty():
-        return kept
-    if not unsure.filter("doc_id is null").isEmpty():
-        named = docs.filter("doc_id is not null").select(F.sha2("text", 256).alias("d")).distinct()
-        nameless = docs.filter("doc_id is null").withColumn("d", F.sha2("text", 256)).join(named, "d", "left_anti").select(*docs.columns)
-        kept = kept.filter("doc_id is not null").unionByName(nameless)
-    apart = kept.join(unsure, kept["doc_id"].eqNullSafe(unsure["doc_id"]), "left_anti").select(*docs.columns)
-    alike = kept.join(unsure, kept["doc_id"].eqNullSafe(unsure["doc_id"]), "left_semi").select(*docs.columns)
-    return apart.unionByName(alike.dropDuplicates(["doc_id", "text"]))
+    rows = keyed(docs)
+    classes = materialize(minhash.near_duplicates(rows, "__row"), "classes")
+    gone = materialize(classes.filter("not kept").select(F.col("doc_id").alias("__row")).distinct(), "gone")
+    kept = rows.join(gone, "__row", "left_anti")
+    twice = materialize(classes.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__row")), "twice")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    alike = kept.join(twice, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.join(twice, "__row", "left_anti").unionByName(alike).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
-    return decontam.clean_documents(docs, read_table(spark, sf_dir, "benchmark"), both=True)
+    clean = decontam.clean_documents(keyed(docs), read_table(spark, sf_dir, "benchmark"), id_col="__row", both=True)
+    return clean.select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
