@@ -2,7 +2,9 @@
 
 A text becomes template words: lower-case words without punctuation, where
 numbers, measurement units and names (a capitalised word inside a sentence)
-are replaced by typed placeholders, so a question asked again with other
+are replaced by typed placeholders (signs of currencies and numbers are no
+part of them, and with ``both=True`` a capitalised word that opens a sentence
+is a name too unless ``literal_words`` has it), so a question asked again with other
 parameters has the template of the original.  Windows of eight template words
 of documents and benchmark items meet by their hash.  Where a window has
 placeholders, the values behind them are compared along the alignment: each
@@ -33,7 +35,7 @@ give empty tables, or no findings; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ END = "\x01"
 _PARTING = ":;()[]{}<>/\\|\"“”„«»*#_~`=+…–—"
 _JOINING = ".!?,'’‘^¡¿-−&%$€£¥@" + END
 _ENDS = ".!?"
-_DROPPED = ",;:\"()[]{}<>«»“”„…¡¿|*#_~`^=+\\/" + END
+_DROPPED = ",;:\"()[]{}<>«»“”„…¡¿|*#_~`^=+\\/$€£¥–—−" + END
 
 
 def with_words(rows: DataFrame, text: str | Column) -> DataFrame:
@@ -71,26 +73,53 @@ def with_words(rows: DataFrame, text: str | Column) -> DataFrame:
                              "l": F.filter(F.split(low, r"\s+"), lambda w: w != "")}).drop("__e")
 
 
-def template(words: Column, low: Column) -> Column:
+def template(words: Column, low: Column, literal: list[str] | None = None) -> Column:
     """Template words.  The common case, a word already in lower case, is
-    decided by three comparisons; only the others are looked at closely."""
+    decided by three comparisons; only the others are looked at closely.  A
+    capitalised word that opens a sentence stays literal or, with ``literal``,
+    is a name unless it is among these."""
     def one(x: Column, i: Column) -> Column:
         word = F.get(words, i)
         before = F.when(i > 0, F.get(words, i - 1)).otherwise(F.lit(END))
         digit = lambda w: (w >= "0") & (w < ":")  # noqa: E731  starts with one
         bare = F.translate(word, END, "")
         tail = F.substring(bare, 2, 1 << 30)
+        inside = ~F.contains(before, F.lit(END))
         name = ((F.substring(bare, 1, 1) != F.substring(x, 1, 1)) & (tail != "") & (tail == F.substring(x, 2, 1 << 30))
-                & ~F.contains(before, F.lit(END)))
-        return (F.when(digit(x) | x.isin(*NUMBER_WORDS), F.lit(NUMBER))
-                .when(x.isin(*UNITS) & (~x.isin(*AFTER_NUMBER) | digit(before)), F.lit(UNIT))
+                & (inside if literal is None else inside | ~x.isin(literal)))
+        # twenty-five, -3
+        joined = (F.contains(x, F.lit("-")) & (F.translate(x, "-", "") != "")
+                  & F.forall(F.split(x, "-"), lambda y: (y == "") | digit(y) | y.isin(*NUMBER_WORDS)))
+        return (F.when(digit(x) | x.isin(*NUMBER_WORDS) | joined, F.lit(NUMBER))
+                .when(x.isin(*UNITS) & (~x.isin(*AFTER_NUMBER) | digit(F.translate(before, "-", ""))), F.lit(UNIT))
                 .when((word != x) & name, F.lit(NAME)).otherwise(x))
     return F.transform(low, one)
 
 
-def with_template(rows: DataFrame, text: str | Column) -> DataFrame:
+def with_template(rows: DataFrame, text: str | Column, literal: list[str] | None = None) -> DataFrame:
     """``rows`` plus w, l and t, the template words of a text."""
-    return with_words(rows, text).withColumn("t", template(F.col("w"), F.col("l")))
+    return with_words(rows, text).withColumn("t", template(F.col("w"), F.col("l"), literal))
+
+
+def literal_words(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list[str]:
+    """The words that are no names where they open a sentence: those of the
+    benchmark seen in lower case there or in three documents, unless they are
+    seen capitalised inside its sentences more often.  A word that is in no
+    item can be a name, as no window has it otherwise; so the list is no
+    longer than the benchmark's vocabulary."""
+    rows = with_words(benchmark.select(F.col(text_col).alias("text")), "text")
+    at = F.transform("w", lambda w, i: F.struct(
+        F.get("l", i).alias("x"), (F.translate(w, END, "") == F.get("l", i)).cast("int").alias("low"),
+        ((F.translate(w, END, "") != F.get("l", i)) & (i > 0) & ~F.contains(F.get("w", i - 1), F.lit(END))).cast("int").alias("inside")))
+    seen = rows.select(F.explode(at).alias("y")).groupBy("y.x").agg(F.sum("y.low").alias("low"), F.sum("y.inside").alias("inside"))
+    seen = materialize(seen, "item-vocabulary")
+    asked = [r.x for r in seen.filter("low = 0 or inside >= low").select("x").collect()]     # at most the benchmark's vocabulary
+    if not asked:
+        return sorted(r.x for r in seen.collect())
+    there = F.array_intersect(F.lit(asked), F.split(text_or_empty("text"), " "))
+    common = docs.select(F.explode(there).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.join(common, "x", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return sorted(r.x for r in seen.filter("(low > 0 or n >= 3) and low + n >= inside").select("x").collect())
 
 
 def with_plain(rows: DataFrame, text: str | Column) -> DataFrame:
@@ -133,11 +162,11 @@ def window_at(start: Column, h: Column, size) -> Column:
     return F.struct(start.alias("pos"), h.alias("h"), values.alias("slots"))
 
 
-def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def item_windows(benchmark: DataFrame, id_col: str, text_col: str, literal: list[str] | None = None) -> DataFrame:
     """(item_id, size, pos, h, slots, windows): the items' windows with enough
     literal words, and their number."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    rows = materialize(with_template(rows, "text").withColumn("size", F.least(F.size("t"), F.lit(WINDOW))), "item-words")
+    rows = materialize(with_template(rows, "text", literal).withColumn("size", F.least(F.size("t"), F.lit(WINDOW))), "item-words")
     literals = F.least(F.col("size"), F.lit(LEAST_LITERALS))
     starts = F.sequence(F.lit(0), F.size("t") - F.col("size"))
     enough = F.filter(starts, lambda i: F.size(F.filter(F.slice("t", i + 1, F.col("size")), lambda x: ~is_slot(x))) >= literals)
@@ -194,12 +223,12 @@ def _known_windows(size: int, hashes: list[int]) -> Column:
     return F.transform(at, lambda i: window_at(i, F.get(f"h{size}", i), size))
 
 
-def matching_windows(docs: DataFrame, items: DataFrame, literal_limit: int) -> DataFrame:
+def matching_windows(docs: DataFrame, items: DataFrame, literal_limit: int, literal: list[str] | None = None) -> DataFrame:
     """(doc_id, pos, h, slots) of the windows of documents (doc_id, text)
     whose hash some item has."""
     hashes = items.select("size", "h").distinct()
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())         # at most WINDOW numbers
-    rows = with_hashes(with_template(docs, "text"), sizes)
+    rows = with_hashes(with_template(docs, "text", literal), sizes)
     if hashes.count() <= literal_limit:
         known = hashes.collect()                                                    # at most literal_limit numbers
         found = F.concat(*[_known_windows(n, [r.h for r in known if r["size"] == n]) for n in sizes])
@@ -225,8 +254,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     ``both``, by the kind of windows that covers more of it."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    literal = literal_words(rows, benchmark, item_text_col) if both else None
     out = []
-    for cut, matching in ((item_windows, matching_windows), (plain_windows, matching_plain))[:2 if both else 1]:
+    for cut, matching in ((partial(item_windows, literal=literal), partial(matching_windows, literal=literal)),
+                          (plain_windows, matching_plain))[:2 if both else 1]:
         items = materialize(cut(benchmark, item_col, item_text_col), "items")
         if not items.isEmpty():
             out.append(_covered(rows, items, matching, literal_limit))

@@ -30,3 +30,15 @@ def test_copies_in_any_case_and_without_marks(spark, limit):
             want.append([i])
     docs += ["Nothing of the kind is said in this text about any river or any border at all.", ""]
     assert found(spark, docs, PLAIN, literal_limit=limit) == want + [[], []]
+
+
+def test_other_names_and_numbers_at_any_place(spark):
+    items = [(1, "Alice has $5 and buys 3 apples at $2 each. How much does she have left?"),
+             (2, "What is twenty-five plus forty-two when both are written out as digits?"),
+             (3, "Add -3 to the number that was named before and tell me the sum of it.")]
+    docs = ["Karim has $9 and buys 4 apples at $1 each. How much does she have left?",
+            "What is ninety-one plus sixty-three when both are written out as digits?",
+            "Add -8 to the number that was named before and tell me the sum of it."]
+    # words that open sentences here are common in lower case elsewhere
+    docs += ["so how and what to add is not said"] * 3
+    assert found(spark, docs, items) == [[1], [2], [3], [], [], []]
