@@ -16,7 +16,9 @@ of the item's windows, or six of them (thirteen words in a row).
 
 Templates depend on case and sentence marks, so the queries (``both=True``)
 also hash every window as plain lower-case words without marks, and a finding
-of either kind counts.  Plain windows have no literals to ask for.  The
+of either kind counts.  Plain windows have no literals to ask for, template
+windows with one to three count beside one with four, shares are of all
+windows of the item, and only windows on near alignments add up.  The
 template kind alone, ``both=False``, is what the tests hold against its rules.
 
 Everything is native expressions: window hashes are made and tested inside
@@ -27,7 +29,7 @@ shuffled hash join instead, with equal results.
 
 Null and empty texts have no template words and match nothing; items shorter
 than a window are one window of their own length; items without four literal
-words in any window cannot be matched; items of equal text are all reported;
+words in any window are matched by plain words only; items of equal text are all reported;
 a document id that repeats is reported for each row, with the findings of all
 rows of that id; null ids are never reported as contaminated; empty tables
 give empty tables, or no findings; other columns are ignored.
@@ -37,7 +39,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, text_or_empty
@@ -162,19 +164,23 @@ def window_at(start: Column, h: Column, size) -> Column:
     return F.struct(start.alias("pos"), h.alias("h"), values.alias("slots"))
 
 
-def item_windows(benchmark: DataFrame, id_col: str, text_col: str, literal: list[str] | None = None) -> DataFrame:
-    """(item_id, size, pos, h, slots, windows): the items' windows with enough
-    literal words, and their number."""
+def item_windows(benchmark: DataFrame, id_col: str, text_col: str, literal: list[str] | None = None, least: int = LEAST_LITERALS) -> DataFrame:
+    """(item_id, size, pos, h, slots, strong, windows): the items' windows with
+    at least ``least`` literal words, whether these are enough, and their
+    number; with another ``least``, the number of all windows."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     rows = materialize(with_template(rows, "text", literal).withColumn("size", F.least(F.size("t"), F.lit(WINDOW))), "item-words")
-    literals = F.least(F.col("size"), F.lit(LEAST_LITERALS))
+    asked = lambda n: F.least(F.col("size"), F.lit(n))
+    literals = lambda i: F.size(F.filter(F.slice("t", i + 1, F.col("size")), lambda x: ~is_slot(x)))
     starts = F.sequence(F.lit(0), F.size("t") - F.col("size"))
-    enough = F.filter(starts, lambda i: F.size(F.filter(F.slice("t", i + 1, F.col("size")), lambda x: ~is_slot(x))) >= literals)
+    enough = F.filter(starts, lambda i: literals(i) >= asked(least))
+    number = F.size("e") if least == LEAST_LITERALS else F.size("t") - F.col("size") + 1
     out = []
     for n in range(1, WINDOW + 1):
         own = with_hashes(rows.filter(F.col("size") == n), [n]).withColumn("e", enough)
-        out.append(own.select("item_id", "size", F.size("e").alias("windows"), F.explode_outer(_cut(n)).alias("x")).filter("x is not null"))
-    return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "x.pos", "x.h", "x.slots")
+        own = own.select("item_id", "size", "t", number.alias("windows"), F.explode_outer(_cut(n)).alias("x")).filter("x is not null")
+        out.append(own.withColumn("strong", literals(F.col("x.pos")) >= asked(LEAST_LITERALS)))
+    return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "x.pos", "x.h", "x.slots", "strong")
 
 
 def _cut(size: int) -> Column:
@@ -191,7 +197,7 @@ def plain_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame
         own = with_hashes(rows.filter(F.col("size") == n), [n], "p", "g")
         out.append(own.select("item_id", "size", F.size(f"g{n}").alias("windows"), F.posexplode(f"g{n}").alias("pos", "h")))
     none = F.array().cast("array<string>")
-    return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "pos", "h", none.alias("slots"))
+    return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "pos", "h", none.alias("slots"), F.lit(True).alias("strong"))
 
 
 def matching_plain(docs: DataFrame, items: DataFrame, literal_limit: int) -> DataFrame:
@@ -256,30 +262,58 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     literal = literal_words(rows, benchmark, item_text_col) if both else None
     out = []
-    for cut, matching in ((partial(item_windows, literal=literal), partial(matching_windows, literal=literal)),
+    for cut, matching in ((partial(item_windows, literal=literal, least=1), partial(matching_windows, literal=literal)),
                           (plain_windows, matching_plain))[:2 if both else 1]:
         items = materialize(cut(benchmark, item_col, item_text_col), "items")
         if not items.isEmpty():
-            out.append(_covered(rows, items, matching, literal_limit))
+            out.append(_covered(rows, items, matching, literal_limit, both))
     if not out:
         return spark.createDataFrame([], "doc_id long, item_id long, matched long, windows int")
     most = F.max_by(F.struct("matched", "windows"), F.col("matched") / F.col("windows")).alias("x")
     return reduce(DataFrame.unionByName, out).groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "x.*")
 
 
-def _covered(rows: DataFrame, items: DataFrame, matching, literal_limit: int) -> DataFrame:
-    """The findings by one kind of windows."""
-    theirs = items.select("h", "item_id", "windows", F.col("pos").alias("at"), F.col("slots").alias("item_slots"))
+def _covered(rows: DataFrame, items: DataFrame, matching, literal_limit: int, runs: bool) -> DataFrame:
+    """The findings by one kind of windows; with ``runs``, of windows on one
+    alignment or on some that are a window or less apart."""
+    theirs = items.select("h", "item_id", "windows", "size", "strong", F.col("pos").alias("at"), F.col("slots").alias("item_slots"))
     found = materialize(matching(rows, items, literal_limit).join(theirs, "h")
                         .withColumn("shift", F.col("pos") - F.col("at")), "found")
     line = ["doc_id", "item_id", "shift"]
-    pairs = (found.filter(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
-             .select(*line, F.col("p.item_slots").alias("theirs"), F.col("p.slots").alias("ours")))
-    torn = (pairs.groupBy(*line, "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
-            .filter("a <> b").select(*line).distinct())
-    whole = found.join(torn, line, "left_anti")
-    matched = whole.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("matched"), F.first("windows").alias("windows"))
-    return matched.filter((2 * F.col("matched") >= F.col("windows")) | (F.col("matched") >= ENOUGH_WINDOWS))
+
+    def torn(found: DataFrame) -> DataFrame:
+        pairs = (found.filter(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
+                 .select(*line, F.col("p.item_slots").alias("theirs"), F.col("p.slots").alias("ours")))
+        return (pairs.groupBy(*line, "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
+                .filter("a <> b").select(*line).distinct())
+    whole = found.filter("strong").join(torn(found.filter("strong")), line, "left_anti")
+    if runs:
+        # windows with few literals count where others support their alignment
+        weak = found.filter("not strong")
+        if not weak.isEmpty():
+            weak = weak.join(whole.select(*line).distinct(), line, "left_semi")
+            weak = weak.join(torn(weak.unionByName(whole)), line, "left_anti")
+            whole = whole.unionByName(weak)
+        whole = _filled(whole)
+    matched = whole.groupBy("doc_id", "item_id", *(["run"] if runs else [])).agg(
+        F.countDistinct("at").alias("matched"), F.first("windows").alias("windows"))
+    return matched.filter((2 * F.col("matched") >= F.col("windows")) | (F.col("matched") >= ENOUGH_WINDOWS)).drop("run")
+
+
+def _filled(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, run, at, windows): the windows of each alignment and
+    those whose words they all cover; runs are alignments of which each is a
+    window or less from the next."""
+    lines = hits.groupBy("doc_id", "item_id", "shift").agg(
+        F.sort_array(F.collect_set("at")).alias("ats"), F.first("size").alias("size"), F.first("windows").alias("windows"))
+    place = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    apart = F.coalesce(F.col("shift") - F.lag("shift").over(place) > WINDOW, F.lit(False)).cast("int")
+    lines = lines.withColumn("apart", apart).withColumn("run", F.sum("apart").over(place))
+
+    def to_next(at: Column, i: Column) -> Column:
+        after = F.get("ats", i + 1)
+        return F.when(after - at <= F.col("size"), F.sequence(at, after - 1)).otherwise(F.array(at))
+    return lines.select("doc_id", "item_id", "run", "windows", F.explode(F.flatten(F.transform("ats", to_next))).alias("at"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

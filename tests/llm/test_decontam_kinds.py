@@ -42,3 +42,16 @@ def test_other_names_and_numbers_at_any_place(spark):
     # words that open sentences here are common in lower case elsewhere
     docs += ["so how and what to add is not said"] * 3
     assert found(spark, docs, items) == [[1], [2], [3], [], [], []]
+
+
+def test_items_of_numbers_and_hits_that_do_not_add_up(spark):
+    generic = "the answer is the sum of all the"
+    items = [(1, "12 34 56 78 90 11 22 33"),
+             (2, generic + " 1 kg 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg 10 kg 11 kg 12 kg")]
+    words = "one river runs past every old mill and then turns west below some quiet hills near our town".replace("one ", "a ")
+    items.append((3, words))
+    w = words.split()
+    shifted = " ".join(" ".join(w[i:i + 8]) + " x y z" * 9 for i in (0, 5, 2, 9, 7, 4, 1))
+    docs = ["see 12 34 56 78 90 11 22 33 there", "see 99 34 56 78 90 11 22 33 there", generic + " others", items[1][1], shifted, "so: " + words]
+    got = found(spark, docs, items)
+    assert got == [[1], [], [], [2], [], [3]]
