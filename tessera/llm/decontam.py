@@ -75,11 +75,11 @@ def with_words(rows: DataFrame, text: str | Column) -> DataFrame:
                              "l": F.filter(F.split(low, r"\s+"), lambda w: w != "")}).drop("__e")
 
 
-def template(words: Column, low: Column, literal: list[str] | None = None) -> Column:
+def template(words: Column, low: Column, literal: list[int] | None = None) -> Column:
     """Template words.  The common case, a word already in lower case, is
     decided by three comparisons; only the others are looked at closely.  A
     capitalised word that opens a sentence stays literal or, with ``literal``,
-    is a name unless it is among these."""
+    is a name unless its hash is among these."""
     def one(x: Column, i: Column) -> Column:
         word = F.get(words, i)
         before = F.when(i > 0, F.get(words, i - 1)).otherwise(F.lit(END))
@@ -88,7 +88,7 @@ def template(words: Column, low: Column, literal: list[str] | None = None) -> Co
         tail = F.substring(bare, 2, 1 << 30)
         inside = ~F.contains(before, F.lit(END))
         name = ((F.substring(bare, 1, 1) != F.substring(x, 1, 1)) & (tail != "") & (tail == F.substring(x, 2, 1 << 30))
-                & (inside if literal is None else inside | ~x.isin(literal)))
+                & (inside if literal is None else inside | ~F.xxhash64(x).isin(literal)))
         # twenty-five, -3
         joined = (F.contains(x, F.lit("-")) & (F.translate(x, "-", "") != "")
                   & F.forall(F.split(x, "-"), lambda y: (y == "") | digit(y) | y.isin(*NUMBER_WORDS)))
@@ -98,13 +98,13 @@ def template(words: Column, low: Column, literal: list[str] | None = None) -> Co
     return F.transform(low, one)
 
 
-def with_template(rows: DataFrame, text: str | Column, literal: list[str] | None = None) -> DataFrame:
+def with_template(rows: DataFrame, text: str | Column, literal: list[int] | None = None) -> DataFrame:
     """``rows`` plus w, l and t, the template words of a text."""
     return with_words(rows, text).withColumn("t", template(F.col("w"), F.col("l"), literal))
 
 
-def literal_words(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list[str]:
-    """The words that are no names where they open a sentence: those of the
+def literal_words(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list[int]:
+    """Hashes of the words that are no names where they open a sentence: those of the
     benchmark seen in lower case there or in three documents, unless they are
     seen capitalised inside its sentences more often.  A word that is in no
     item can be a name, as no window has it otherwise; so the list is no
@@ -117,11 +117,11 @@ def literal_words(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list[
     seen = materialize(seen, "item-vocabulary")
     asked = [r.x for r in seen.filter("low = 0 or inside >= low").select("x").collect()]     # at most the benchmark's vocabulary
     if not asked:
-        return sorted(r.x for r in seen.collect())
-    there = F.array_intersect(F.lit(asked), F.split(text_or_empty("text"), " "))
-    common = docs.select(F.explode(there).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        return sorted(r[0] for r in seen.select(F.xxhash64("x")).collect())
+    there = F.array_distinct(F.filter(F.split(text_or_empty("text"), " "), lambda w: w.isin(asked)))
+    common = docs.select(F.explode_outer(there).alias("x")).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     seen = seen.join(common, "x", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return sorted(r.x for r in seen.filter("(low > 0 or n >= 3) and low + n >= inside").select("x").collect())
+    return sorted(r.x for r in seen.filter("(low > 0 or n >= 3) and low + n >= inside").select(F.xxhash64("x")).collect())
 
 
 def with_plain(rows: DataFrame, text: str | Column) -> DataFrame:
@@ -164,7 +164,7 @@ def window_at(start: Column, h: Column, size) -> Column:
     return F.struct(start.alias("pos"), h.alias("h"), values.alias("slots"))
 
 
-def item_windows(benchmark: DataFrame, id_col: str, text_col: str, literal: list[str] | None = None, least: int = LEAST_LITERALS) -> DataFrame:
+def item_windows(benchmark: DataFrame, id_col: str, text_col: str, literal: list[int] | None = None, least: int = LEAST_LITERALS) -> DataFrame:
     """(item_id, size, pos, h, slots, strong, windows): the items' windows with
     at least ``least`` literal words, whether these are enough, and their
     number; with another ``least``, the number of all windows."""
@@ -229,7 +229,7 @@ def _known_windows(size: int, hashes: list[int]) -> Column:
     return F.transform(at, lambda i: window_at(i, F.get(f"h{size}", i), size))
 
 
-def matching_windows(docs: DataFrame, items: DataFrame, literal_limit: int, literal: list[str] | None = None) -> DataFrame:
+def matching_windows(docs: DataFrame, items: DataFrame, literal_limit: int, literal: list[int] | None = None) -> DataFrame:
     """(doc_id, pos, h, slots) of the windows of documents (doc_id, text)
     whose hash some item has."""
     hashes = items.select("size", "h").distinct()
