@@ -121,7 +121,7 @@ def literal_words(docs: DataFrame, benchmark: DataFrame, text_col: str) -> list[
     there = F.array_distinct(F.filter(F.split(text_or_empty("text"), " "), lambda w: w.isin(asked)))
     common = docs.select(F.explode_outer(there).alias("x")).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     seen = seen.join(common, "x", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return sorted(r.x for r in seen.filter("(low > 0 or n >= 3) and low + n >= inside").select(F.xxhash64("x")).collect())
+    return sorted(r[0] for r in seen.filter("(low > 0 or n >= 3) and low + n >= inside").select(F.xxhash64("x")).collect())
 
 
 def with_plain(rows: DataFrame, text: str | Column) -> DataFrame:
