@@ -200,6 +200,13 @@ def plain_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame
     return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "pos", "h", none.alias("slots"), F.lit(True).alias("strong"))
 
 
+def _known_plain(size: int, hashes: list[int]) -> Column:
+    """``_known_windows`` for plain words."""
+    places = F.sequence(F.lit(0), F.size(f"g{size}") - 1)
+    at = F.when(F.size(f"g{size}") > 0, F.filter(places, lambda i: F.get(f"g{size}", i).isin(hashes))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(f"g{size}", i).alias("h")))
+
+
 def matching_plain(docs: DataFrame, items: DataFrame, literal_limit: int) -> DataFrame:
     """``matching_windows`` for plain words."""
     hashes = items.select("size", "h").distinct()
@@ -214,8 +221,7 @@ def matching_plain(docs: DataFrame, items: DataFrame, literal_limit: int) -> Dat
             out.append(hits.join(hashes.filter(F.col("size") == n).select("h"), "h", "left_semi").select("doc_id", "pos", "h"))
             continue
         mine = [r.h for r in known if r["size"] == n]
-        at = F.filter(F.transform(f"g{n}", lambda h, i: F.when(h.isin(mine), F.struct(i.alias("pos"), h.alias("h")))), F.isnotnull)
-        out.append(at)
+        out.append(_known_plain(n, mine))
     if known is None:
         return reduce(DataFrame.unionByName, out).withColumn("slots", none)
     found = rows.select("doc_id", F.explode_outer(F.concat(*out)).alias("x")).filter("x is not null")
