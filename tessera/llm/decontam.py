@@ -195,7 +195,7 @@ def plain_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame
     out = []
     for n in range(1, WINDOW + 1):
         own = with_hashes(rows.filter(F.col("size") == n), [n], "p", "g")
-        out.append(own.select("item_id", "size", F.size(f"g{n}").alias("windows"), F.posexplode(f"g{n}").alias("pos", "h")))
+        out.append(own.select("item_id", "size", F.size(f"g{n}").alias("windows"), F.posexplode_outer(f"g{n}").alias("pos", "h")).filter("h is not null"))
     none = F.array().cast("array<string>")
     return reduce(DataFrame.unionByName, out).select("item_id", "size", "windows", "pos", "h", none.alias("slots"), F.lit(True).alias("strong"))
 
@@ -217,7 +217,7 @@ def matching_plain(docs: DataFrame, items: DataFrame, literal_limit: int) -> Dat
     out = []
     for n in sizes:
         if known is None:
-            hits = rows.select("doc_id", F.posexplode(f"g{n}").alias("pos", "h"))
+            hits = rows.select("doc_id", F.posexplode_outer(f"g{n}").alias("pos", "h"))
             out.append(hits.join(hashes.filter(F.col("size") == n).select("h"), "h", "left_semi").select("doc_id", "pos", "h"))
             continue
         mine = [r.h for r in known if r["size"] == n]
