@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, minhash, pii, pstable, quality, sharding, token_cache, toxicity, warc
+from tessera.llm import alignment, bpe, decontam, minhash, pii, pstable, quality, sharding, token_cache, toxicity, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,9 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every whole document, distinct texts encoded once."""
     return token_cache.count_tokens(read_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of two tokenizers aligned over every whole document, with corpus counts of linked ids."""
+    return alignment.alignment(read_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
