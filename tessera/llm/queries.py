@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, bpe, decontam, minhash, pii, pstable, quality, repeats, sharding, token_cache, toxicity, warc
+from tessera.llm import alignment, bpe, decontam, minhash, pii, prefix_trie, pstable, quality, repeats, sharding, token_cache, toxicity, warc
 from tessera.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +170,12 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_cache.count_tokens(read_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations with its subtree totals."""
+    return prefix_trie.prefix_trie(read_table(spark, sf, "conversations"))
+
+
 @query("op12_suffix_arrays")
 def op12_suffix_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole document without the 50-byte strings that smaller ids hold."""
