@@ -268,7 +268,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     literal = literal_words(rows, benchmark, item_text_col) if both else None
     out = []
-    for cut, matching in ((partial(item_windows, literal=literal, least=1), partial(matching_windows, literal=literal)),
+    for cut, matching in ((partial(item_windows, literal=literal, least=1 if both else LEAST_LITERALS), partial(matching_windows, literal=literal)),
                           (plain_windows, matching_plain))[:2 if both else 1]:
         items = materialize(cut(benchmark, item_col, item_text_col), "items")
         if not items.isEmpty():

@@ -18,8 +18,9 @@ estimated too low with probability 3e-7; links found are exact.
 
 Defined results: null and word-less texts have an empty set and link with
 nothing; a row with a null id takes the component of an equal set that has an
-id and is kept only when there is none; rows that repeat an id are one node
-each time their sets agree; empty tables give empty tables; other columns are
+id and is kept only when there is none; links are between
+ids, so rows that repeat an id with different texts are in one class, each text
+with links of its own; empty tables give empty tables; other columns are
 ignored.
 """
 
@@ -124,15 +125,18 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
-    """(g, id, text) -> (g, id, p, w): the shingle set and its size."""
+    """(g, id, set_key, text) -> (g, id, p, w): the shingle set and its size,
+    of the texts that have this set (an id may have others)."""
     def run(batches):
+        from xxhash import xxh3_128_digest
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                sets = [shingles(t).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                own = [i for i, (s, k) in enumerate(zip(sets, part.column("set_key").to_pylist())) if s and xxh3_128_digest(s) == k]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("g"), part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int64())], ["g", "id", "p", "w"])
-    return rows.select("g", "id", "text").mapInArrow(run, "g long, id long, p binary, w long")
+                    [part.column("g").take(pa.array(own, pa.int32())), part.column("id").take(pa.array(own, pa.int32())),
+                     pa.array([sets[i] for i in own], pa.binary()), pa.array([len(sets[i]) // 8 for i in own], pa.int64())], ["g", "id", "p", "w"])
+    return rows.select("g", "id", "set_key", "text").mapInArrow(run, "g long, id long, p binary, w long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -148,7 +152,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                              partial(Nibbles, most_differing=most_differing(percent / 100)), SIGNATURE_BLOCK)
     groups = materialize(connected_components(candidates), "candidates")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = _with_sets(texts.join(groups.select("id", F.col("component").alias("g")), "id"))
+    sets = _with_sets(texts.join(groups.select("id", F.col("component").alias("g")).join(known.select("id", "set_key"), "id"), "id"))
     rows = deal(materialize(sets, "sets"), SET_BLOCK, "w", SET_BLOCK_ITEMS)
     links = link_blocks(rows, partial(Sets, percent=percent), SET_BLOCK)
     found = connected_components(links)

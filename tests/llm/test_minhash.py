@@ -130,3 +130,13 @@ def test_estimate_is_corrected_for_chance():
         s = [np.frombuffer(minhash.signature(minhash.minima(x)), dtype=np.uint64) for x in (a, b)]
         equal = 1 - components.differing_lanes(s[0], s[1]) / minhash.MINIMA
         assert abs((equal - 1 / 16) / (15 / 16) - j) < 0.15
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_repeated_ids_with_other_and_empty_texts(spark, order):
+    base = [f"w{k}" for k in range(60)]
+    far = " ".join(f"z{k}" for k in range(50))
+    rows = [(1, " ".join(base)), (1, None), (2, " ".join(base[:-1] + ["x"])), (1, " "), (5, far), (5, ""), (6, far + " y"), (7, " ".join(base[2:]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows[::order], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(
+        [(1, 56, 1), (1, 0, 1), (2, 56, 1), (1, 0, 1), (5, 46, 5), (5, 0, 5), (6, 47, 5), (7, 54, 1)])
