@@ -2,8 +2,10 @@
 inlinks by namespace, in/out join (G1-G9, W4, U6, U7, J1, J4, S4, T15, T16).
 
 Inlinks are kept in long form (qid, pos, pid, ns) -- one row per link -- so
-a hub article with a huge in-degree is spread over tasks; lists are only
-rebuilt per (article, namespace) at the end.
+a hub article with a huge in-degree is spread over tasks.  The model table
+keeps them as pages, (qid, side, page, ids) of at most PAGE ids, so no row
+grows with the degree; whole lists are only put together from pages where a
+result shows them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import WHITE_SPACE
 from tessera.operators.lookup import lookup_tokens
+from tessera.operators.vocab import rank_within
+from tessera.session import materialize
 
 # Namespace numbers and names.
 SUBJECT_NAMESPACES = {0: "article", 2: "user", 4: "wikipedia", 6: "file", 8: "media-wiki", 10: "template",
@@ -23,11 +27,13 @@ TALK_NAMESPACES = {1: "article", 3: "user", 5: "wikipedia", 7: "file", 9: "media
                    711: "timed-text", 829: "module"}
 IGNORED_NAMESPACES = [446, 447, 2300, 2301, 2302, 2303]
 
-# A link without links inside, and links that hold up to two levels of others.
-RAW_LINK_RE = r"\[\[[^\[\]]*\]\]"
-NESTED_LINK_RES = [RAW_LINK_RE]
-for _ in range(2):
-    NESTED_LINK_RES.append(r"\[\[(?:[^\[\]]|%s)*\]\]" % NESTED_LINK_RES[-1])
+# Openings and closings of links.  Of a run of brackets the last two open (an
+# odd one before them is text) and the first two close.
+OPENING_RE = r"\[\[(?=(?:\[\[)*(?!\[))"
+CLOSING_RE = r"\]\]"
+CUT, NOT_CUT = "\ufdd0", "\ufdd1"         # characters that no text should hold; of equal length
+FOLD_BLOCK = 256
+PAGE = 4096                              # links of an article in one row
 NAMESPACED_LINK_RE = r"\[\[[^\]]*:[^\]]*\]\]"
 TITLE_BEFORE_PIPE_RE = r"(\[\[[^\n]*?\|)"
 
@@ -36,15 +42,45 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value, body) -> Column:
+    """``body(value)`` with the value computed once, wherever it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract_links(text) -> Column:
-    """G1: raw [[...]] links in text order of their openings; a link that
-    holds others (an image caption, say) comes before them."""
-    def inside(level: int, t):
-        found = F.regexp_extract_all(t, F.lit(NESTED_LINK_RES[level]), F.lit(0))
-        if not level:
-            return found
-        return F.flatten(F.transform(found, lambda x: F.concat(F.array(x), inside(level - 1, F.substring(x, F.lit(3), F.length(x))))))
-    return inside(len(NESTED_LINK_RES) - 1, _col(text))
+    """G1: raw [[...]] links in text order of their openings, of any depth; a
+    link that holds others (an image caption, say) comes before them.
+
+    The text is cut at its openings and closings, and one fold over the pieces
+    keeps the places of the links that are open: a closing takes the last.  A
+    closing with none open, and an opening that is never closed, are text; null
+    text gives null.  The fold goes by blocks, whose links are appended
+    together, as appending one by one copies the list each time."""
+    t = _col(text)
+    marked = F.regexp_replace(F.translate(t, CUT, NOT_CUT), CLOSING_RE, "]]" + CUT)
+    pieces = F.split(F.regexp_replace(marked, OPENING_RE, CUT + "[["), CUT)
+
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def piece(acc, x):
+        def closed(opened):
+            end = acc["at"] + F.length(x)
+            closes = F.endswith(x, F.lit("]]")) & (F.size(opened) > 0)
+            last = F.struct(F.get(opened, F.size(opened) - 1).alias("s"), end.alias("e"))
+            return F.struct(end.alias("at"), F.when(closes, F.slice(opened, 1, F.size(opened) - 1)).otherwise(opened).alias("open"),
+                            F.when(closes, F.concat(acc["links"], F.array(last))).otherwise(acc["links"]).alias("links"))
+        return _let(F.when(F.startswith(x, F.lit("[[")), F.concat(acc["open"], F.array(acc["at"]))).otherwise(acc["open"]), closed)
+
+    def all_of(parts):
+        def block(acc, i):
+            done = F.aggregate(F.slice(parts, i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)),
+                               F.struct(acc["at"].alias("at"), acc["open"].alias("open"), none.alias("links")), piece)
+            return _let(done, lambda d: F.struct(d["at"].alias("at"), d["open"].alias("open"), F.concat(acc["links"], d["links"]).alias("links")))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / FOLD_BLOCK).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"), none.alias("links"))
+        return F.sort_array(F.aggregate(blocks, start, block, lambda acc: acc["links"]))
+
+    return F.when(t.isNotNull(), F.transform(_let(pieces, all_of), lambda x: F.substring(t, x["s"] + 1, x["e"] - x["s"])))
 
 
 def link_target(raw) -> Column:
@@ -113,7 +149,7 @@ def first_seen_namespaces(inl: DataFrame, qid: str = "qid", pos: str = "pos", ns
     ignored namespaces removed."""
     first = (inl.filter(~F.col(ns).isin(IGNORED_NAMESPACES))
              .groupBy(qid, ns).agg(F.min(pos).alias("__first")))
-    return (first.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("__first", ns))).alias("__s"))
+    return (first.groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("__first", ns))).alias("__s"))
             .select(qid, F.transform("__s", lambda s: s[ns]).alias("namespaces")))
 
 
@@ -126,5 +162,51 @@ def links_by_namespace(inl: DataFrame, qid: str = "qid", pos: str = "pos", pid:
     k = inl.filter(~F.col(ns).isin(IGNORED_NAMESPACES)).withColumn("column", namespace_kind(ns))
     if not as_lists:
         return k.select(qid, "column", pos, pid)
-    return (k.groupBy(qid, "column").agg(F.array_sort(F.collect_list(F.struct(pos, pid))).alias("__s"))
+    return (k.groupBy(qid, "column").agg(F.sort_array(F.collect_list(F.struct(pos, pid))).alias("__s"))
             .select(qid, "column", F.transform("__s", lambda s: s[pid]).alias("pids")))
+
+
+def link_pages(rows: DataFrame, side: str, key: str = "qid", pos: str = "pos", pid: str = "pid", page: int = PAGE) -> DataFrame:
+    """One side's links (key, pos, pid) as pages (key, side, page, ids),
+    ids as strings in the order of place and id, ``page`` of them at most.
+    Only links of articles with more than one page are ranked, all together
+    over range-sorted partitions, so a hub is no single task's work either."""
+    rows = rows.select(key, F.col(pos).alias("pos"), F.col(pid).alias("pid"))
+    hubs = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page).select(key), "hubs")
+    paged = rows.join(hubs, key, "left_anti").withColumn("page", F.lit(0).cast("long"))
+    if not hubs.isEmpty():
+        many = rank_within(rows.join(hubs, key, "left_semi"), [key], ["pos", "pid"], "rank")
+        paged = paged.unionByName(many.withColumn("page", F.floor(F.col("rank") / page)).drop("rank"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "pid"))), lambda x: x["pid"].cast("string"))
+    return paged.groupBy(key, "page").agg(ids.alias("ids")).select(key, F.lit(side).alias("side"), "page", "ids")
+
+
+def list_pages(lists: DataFrame, side: str, ids_col: str, key: str = "qid", page: int = PAGE) -> DataFrame:
+    """Lists that stand in one row each, as an article's own outlinks do,
+    as pages like those of ``link_pages``; cut in their row, without a shuffle."""
+    some = lists.filter(F.size(ids_col) > 0)
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size(ids_col) - 1) / page))).alias("page")
+    ids = F.slice(F.col(ids_col).cast("array<string>"), (F.col("page") * page + 1).cast("int"), F.lit(page))
+    return some.select(key, ids_col, number).select(key, F.lit(side).alias("side"), "page", ids.alias("ids"))
+
+
+def with_both_sides(pages: DataFrame, key: str = "qid") -> DataFrame:
+    """The pages of articles that have links on both sides."""
+    both = pages.groupBy(key).agg(F.bool_or(F.col("side") == "in").alias("i"), F.bool_or(F.col("side") == "out").alias("o")).filter("i and o")
+    return pages.join(both.select(key), key, "left_semi")
+
+
+def encode_pages(pages: DataFrame, vocab: DataFrame, unk_id: int = 1, key: str = "qid") -> DataFrame:
+    """The ids of every page as numbers of ``vocab`` (word, idx), page by
+    page and both sides in one pass."""
+    found = lookup_tokens(pages, key, "ids", vocab, F.col("idx").cast("long"), extra=("side", "page"), words=False)
+    return found.select(key, "side", "page", F.transform("__s", lambda s: F.coalesce(s["value"], F.lit(unk_id).cast("long"))).alias("ids"))
+
+
+def whole_lists(pages: DataFrame, key: str = "qid", in_col: str = "in_ids", out_col: str = "out_ids") -> DataFrame:
+    """(key, in_col, out_col): each article's lists put together from its
+    pages; an empty list for a side without."""
+    def side(name):
+        own = F.collect_list(F.when(F.col("side") == name, F.struct("page", "ids")))
+        return F.flatten(F.transform(F.sort_array(own), lambda x: x["ids"]))
+    return pages.groupBy(key).agg(side("in").alias(in_col), side("out").alias(out_col))

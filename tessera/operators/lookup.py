@@ -1,11 +1,13 @@
 """Looking up every token of an article in a word table (J3, J4, J7, T11,
-T17, A9): one explode, one join, one rebuild.
+T17, A9): one explode, one join, one rebuild, frequent words apart.
 
-Two exchanges carry the corpus: occurrences go to their word, and values come
-back to their article.  A hot word's occurrences are spread by AQE's skew
-split of the join; the lists that are rebuilt are bounded by the article.
-Articles without tokens stay in the same pass (outer explode), so nothing is
-scanned twice.
+A third of all occurrences may be of one word.  Words that make up at least
+one in FREQUENT of all occurrences (so there are FREQUENT at most, and they
+are short) are counted first; their values are broadcast, and their
+occurrences never leave their task.  Only the other occurrences go to their
+word.  Each task folds an article's values into one list before these go back
+to the article, so the second exchange carries a list per article and task,
+not a row per token.  The lists that are rebuilt are bounded by the article.
 """
 
 from __future__ import annotations
@@ -13,16 +15,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FREQUENT = 100_000
+LONGEST = 64           # characters of a frequent word
+
+
+def word_occurrences(df: DataFrame, toks_col: str, by=(), share: int = FREQUENT) -> DataFrame:
+    """(by.., word, n): the words (or ids) with at least one in ``share`` of
+    all occurrences; no more than ``share`` rows, whatever the data."""
+    counts = df.select(*by, F.explode(toks_col).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.select(F.sum("n")).scalar()
+    return counts.filter((F.col("n") * F.lit(share) >= total) & (F.length(F.col("word").cast("string")) <= LONGEST))
+
+
+def with_values(rows: DataFrame, table: DataFrame, value: Column | None, by=(), row_word: str = "word",
+                word_col: str = "word", *, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` plus __v, the value of each row's word, in two parts: rows of
+    frequent words or none, which stay in their tasks, and the rest, joined by
+    word.  ``frequent`` (by.., word) has few enough rows to be broadcast."""
+    by = list(by)
+    right = table.select(*by, F.col(word_col).alias("__k"), (F.lit(True) if value is None else value).alias("__v"))
+    few = frequent.select(*by, F.col("word").alias("__k")).join(right, [*by, "__k"], "left").withColumn("__few", F.lit(True))
+    left = rows.withColumn("__k", F.col(row_word))
+    near = left.join(F.broadcast(few), [*by, "__k"], "left").filter("__few or __k is null").drop("__few", "__k")
+    rest = left.filter("__k is not null").join(F.broadcast(frequent.select(*by, F.col("word").alias("__k"))), [*by, "__k"], "left_anti")
+    return near, rest.join(right, [*by, "__k"], "left").drop("__k")
+
 
 def lookup_tokens(df: DataFrame, id_col: str, toks_col: str, table: DataFrame, value: Column | None,
-                  by=(), word_col: str = "word", extra=()) -> DataFrame:
+                  by=(), word_col: str = "word", extra=(), frequent: DataFrame | None = None, words: bool = True) -> DataFrame:
     """(id, *extra, __s): per article an array of (pos, word, value) in token
-    order.  ``table`` has one row for each (by.., word) and ``value`` is an
-    expression over its columns, null for a word that is not there."""
+    order, without the word unless ``words``.  ``table`` has one row for each
+    (by.., word) and ``value`` is an expression over its columns, null for a
+    word that is not there.  ``frequent`` is the result of
+    ``word_occurrences`` where it is at hand; it is counted here otherwise."""
     by, extra = list(by), [c for c in extra if c != id_col]
-    pos = df.select(id_col, *dict.fromkeys([*by, *extra]), F.posexplode_outer(toks_col).alias("__pos", "__w"))
-    right = table.select(*by, F.col(word_col).alias("__w"), (F.lit(True) if value is None else value).alias("__v"))
-    joined = pos.join(right, [*by, "__w"], "left")
-    kept = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.col("__w").alias("word"), F.col("__v").alias("value")))
+    if frequent is None:
+        frequent = word_occurrences(df, toks_col, by)
     keys = list(dict.fromkeys([id_col, *extra]))
-    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(kept)).alias("__s"))
+    pos = df.select(id_col, *dict.fromkeys([*by, *extra]), F.posexplode_outer(toks_col).alias("__pos", "__w"))
+    fields = ["__pos", *([F.col("__w").alias("word")] if words else []), F.col("__v").alias("value")]
+    kept = F.when(F.col("__pos").isNotNull(), F.struct(*fields)).alias("__s")
+    near, far = with_values(pos, table, value, by, "__w", word_col, frequent=frequent)
+    found = near.select(*keys, kept).unionByName(far.select(*keys, kept))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list("__s")).alias("__s"))

@@ -2,32 +2,89 @@
 language mixes (X1-X6, U4).
 
 Order is a keyed hash, md5("<seed>:<id>") -- identical in every engine and
-independent of partitioning -- and cut points come from a distributed dense
-rank, so exact sizes never need one task to see all rows.
+independent of partitioning.  Split points are found by selection: a grouped
+count of the leading hash digits tells in which bucket the k-th hash is, and
+only that bucket is refined, until it is exact.  So a split is a comparison of
+each row's hash with a few literals: nothing is sorted, shuffled or written,
+and exact sizes never need one task to see all rows.  Rows that repeat an id
+have one hash and fall on one side, so no id leaks into two parts; sizes then
+are as near as whole ids allow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.vocab import dense_index, rank_within
+from tessera.operators.vocab import rank_within
+
+DIGITS = 4              # hash digits by which a bucket is refined: 65,536 counts reach the driver
+FEW = 4096              # hashes of a bucket that are looked at one by one
+HASH_DIGITS = 32
 
 
 def seeded_key(id_col: str, seed, salt: str = "") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}{salt}:"), F.col(id_col).cast("string")))
 
 
+def cut_points(df: DataFrame, key: Column, places: Callable[[int], list[int]]) -> list[str | None]:
+    """For each of ``places(number of rows)`` the key of the row at that place
+    (counted from 1) in the order of ``key``, a string of HASH_DIGITS hex
+    digits; None for places before the first row.  Places after the last get
+    the last.  The driver sees DIGITS digits' counts per pass and FEW keys."""
+    rows = df.select(key.alias("h")).filter("h is not null")
+
+    def counted(prefixes: set[str]) -> dict[str, int]:
+        size = len(next(iter(prefixes)))
+        some = rows.filter(F.substring("h", 1, size).isin(*prefixes)) if size else rows
+        groups = some.groupBy(F.substring("h", 1, size + DIGITS).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        return {r["p"]: r["n"] for r in groups.collect()}                    # 16 ** DIGITS for each prefix, at most
+
+    counts = counted({""})
+    total = sum(counts.values())
+    wanted = [min(k, total) for k in places(total)]
+    at = {k: ("", k) for k in wanted if k > 0}                               # place -> bucket, place inside it
+    while True:
+        for k, (prefix, inside) in at.items():
+            for p in sorted(q for q in counts if q.startswith(prefix)):
+                if inside <= counts[p]:
+                    at[k] = p, inside
+                    break
+                inside -= counts[p]
+        open_ = {p for p, _ in at.values() if counts[p] > FEW and len(p) < HASH_DIGITS}
+        few = {p for p, _ in at.values()} - open_
+        if not open_:
+            break
+        done = {k: v for k, v in at.items() if v[0] in few}
+        more = {k: v for k, v in at.items() if v[0] in open_}
+        counts = counted(open_) | {p: counts[p] for p, _ in done.values()}
+    keys: dict[str, list[str]] = {}
+    short = {p for p in few if len(p) < HASH_DIGITS}
+    if short:
+        sizes = {len(p) for p in short}
+        hit = None
+        for n in sizes:
+            test = F.substring("h", 1, n).isin(*[p for p in short if len(p) == n])
+            hit = test if hit is None else hit | test
+        for r in rows.filter(hit).collect():                                 # FEW for each place, at most
+            for n in sizes:
+                keys.setdefault(r["h"][:n], []).append(r["h"])
+    return [None if k <= 0 else at[k][0] if len(at[k][0]) >= HASH_DIGITS else sorted(keys[at[k][0]])[at[k][1] - 1] for k in wanted]
+
+
+def up_to(key: Column, cut: str | None) -> Column:
+    """Whether a row stands at or before a cut point."""
+    return F.lit(False) if cut is None else key <= cut
+
+
 def split_80_10_10(df: DataFrame, id_col: str, seed=1, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Permutation by seeded hash; train = first int(train*m), val = next
-    int(val*m), test = rest."""
-    m = df.select(F.count(F.lit(1))).scalar()
-    ranked = dense_index(df.withColumn("__h", seeded_key(id_col, seed)), ["__h", id_col], "__pos")
-    train_end = F.floor(m * F.lit(train))
-    val_end = train_end + F.floor(m * F.lit(val))
-    split = (F.when(F.col("__pos") < train_end, F.lit("train"))
-             .when(F.col("__pos") < val_end, F.lit("val")).otherwise(F.lit("test")))
-    return ranked.withColumn("split", split).drop("__h", "__pos")
+    int(val*m), test = rest.  A null id has no hash and is in test."""
+    key = seeded_key(id_col, seed)
+    first, second = cut_points(df, key, lambda m: [int(train * m), int(train * m) + int(val * m)])
+    return df.withColumn("split", F.when(up_to(key, first), F.lit("train")).when(up_to(key, second), F.lit("val")).otherwise(F.lit("test")))
 
 
 def split_nested(keys: DataFrame, key_col: str, train_size: int, sub_size: int, val_size: int,
@@ -36,14 +93,15 @@ def split_nested(keys: DataFrame, key_col: str, train_size: int, sub_size: int,
     """Exact-size nested split of distinct keys -- ``train_size`` keys,
     ``sub_size`` of those as a nested subset, ``val_size`` of the remaining
     keys, the rest as test (dropped when ``keep_rest`` is False).  All cuts
-    are ranges of one seeded order, so one dense rank serves them.  Returns
-    (key, split) memberships; a nested key has two rows."""
-    k = keys.select(key_col).distinct().withColumn("__h", seeded_key(key_col, seed))
-    r = F.col("__r")
-    part = (F.when(r < sub_size, F.array(F.lit(names[0]), F.lit(names[1]))).when(r < train_size, F.array(F.lit(names[0])))
-            .when(r < train_size + val_size, F.array(F.lit(names[2])))
+    are ranges of one seeded order.  Returns (key, split) memberships; a
+    nested key has two rows."""
+    k = keys.select(key_col).distinct()
+    key = seeded_key(key_col, seed)
+    sub, train, val = (up_to(key, c) for c in cut_points(k, key, lambda m: [sub_size, train_size, train_size + val_size]))
+    part = (F.when(sub, F.array(F.lit(names[0]), F.lit(names[1]))).when(train, F.array(F.lit(names[0])))
+            .when(val, F.array(F.lit(names[2])))
             .otherwise(F.array(F.lit(names[3])) if keep_rest else F.array().cast("array<string>")))
-    return dense_index(k, ["__h", key_col], "__r").select(key_col, F.explode(part).alias("split"))
+    return k.select(key_col, F.explode(part).alias("split"))
 
 
 def apply_split(df: DataFrame, members: DataFrame, key_col: str) -> DataFrame:

@@ -39,10 +39,11 @@ def idf(df_table: DataFrame, by=("lang",), numerator: str = "vocab") -> DataFram
 
 
 def position_weights(df: DataFrame, id_col: str, toks_col: str, weights: DataFrame,
-                     weight_col: str, by=("lang",), default=0.0, out_col: str = "weights") -> DataFrame:
+                     weight_col: str, by=("lang",), default=0.0, out_col: str = "weights",
+                     frequent: DataFrame | None = None) -> DataFrame:
     """Per-position lookup of a per-word weight (default when absent),
     returned as an array in token order."""
-    found = lookup_tokens(df, id_col, toks_col, weights, F.col(weight_col).cast("double"), by)
+    found = lookup_tokens(df, id_col, toks_col, weights, F.col(weight_col).cast("double"), by, frequent=frequent, words=False)
     return found.select(id_col, F.transform("__s", lambda s: F.coalesce(s["value"], F.lit(default))).alias(out_col))
 
 
@@ -99,12 +100,13 @@ def histogram_bins(lengths: DataFrame, value_col: str, bins: int) -> DataFrame:
     return lengths.withColumn("bin", b.cast("int"))
 
 
-def article_coverage(df: DataFrame, vectors: DataFrame, id_col: str = "id", toks_col: str = "toks", by=()) -> DataFrame:
+def article_coverage(df: DataFrame, vectors: DataFrame, id_col: str = "id", toks_col: str = "toks", by=(),
+                     frequent: DataFrame | None = None) -> DataFrame:
     """Share (in %) of an article's tokens, with multiplicity, that have
     a vector (of the article's language, with ``by``); the missing tokens in
     order; total; empty article = 100."""
     by = list(by)
-    found = lookup_tokens(df, id_col, toks_col, vectors.select(*by, "word").distinct(), None, by, "word", by)
+    found = lookup_tokens(df, id_col, toks_col, vectors.select(*by, "word").distinct(), None, by, "word", by, frequent)
     total = F.size("__s").cast("long")
     missing = F.transform(F.filter("__s", lambda s: s["value"].isNull()), lambda s: s["word"])
     share = (total - F.size(missing)) * F.lit(100.0) / total

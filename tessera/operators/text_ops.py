@@ -28,12 +28,12 @@ def word_counts(df: DataFrame, toks_col: str = "toks", by=()) -> DataFrame:
 
 
 def drop_rare_words(df: DataFrame, id_col: str, toks_col: str = "toks", min_count: int = 6,
-                    out_col: str = "toks", by=()) -> DataFrame:
+                    out_col: str = "toks", by=(), frequent: DataFrame | None = None) -> DataFrame:
     """Drop tokens whose corpus count is below ``min_count`` (the
     reference drops counts <= 5), keeping token order and articles that end
     up empty.  Other columns of ``df`` are kept; ids are unique."""
     counts = word_counts(df, toks_col, by).filter(F.col("n") >= min_count)
     extra = [c for c in df.columns if c not in (id_col, toks_col)]
-    found = lookup_tokens(df, id_col, toks_col, counts, None, by, "word", extra)
+    found = lookup_tokens(df, id_col, toks_col, counts, None, by, "word", extra, frequent)
     kept = F.transform(F.filter("__s", lambda s: s["value"].isNotNull()), lambda s: s["word"])
     return found.select(id_col, *extra, kept.alias(out_col))

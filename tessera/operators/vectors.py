@@ -73,11 +73,12 @@ def summed_by_word(vectors: DataFrame, key_cols=("word",)) -> DataFrame:
 
 
 def weighted_doc_vectors(df: DataFrame, id_col: str, toks_col: str, vectors: DataFrame, dim,
-                         weights: DataFrame | None = None, by=(), mean: bool = True) -> DataFrame:
+                         weights: DataFrame | None = None, by=(), mean: bool = True, paged: bool = False) -> DataFrame:
     """A18 (mean=True): article vector = sum of token vectors / token count,
     OOV tokens are zero but counted (Q5).  A19 (weights given, mean=False):
     sum of weight(word) x vector over positions, weights per (by, word).
-    Empty articles are left out (Q16)."""
+    Empty articles are left out (Q16).  With ``paged`` an article's tokens
+    may stand in several rows."""
     base = df.select(id_col, *by, toks_col).filter(F.coalesce(F.size(toks_col), F.lit(0)) > 0)
     counts = (base.select(id_col, *by, F.explode(toks_col).alias("word"))
               .groupBy(id_col, *by, "word").agg(F.count(F.lit(1)).alias("__n")))
@@ -90,6 +91,8 @@ def weighted_doc_vectors(df: DataFrame, id_col: str, toks_col: str, vectors: Dat
         factor = factor * F.coalesce(F.col("__w"), F.lit(0)).cast("long")
     sums = _sum_arrays(j.select(id_col, "__m", factor.alias("__f")), [id_col], "__m", "__f", "__s")
     sized = base.select(id_col, F.size(toks_col).alias("__len"))
+    if paged:
+        sized = sized.groupBy(id_col).agg(F.sum("__len").alias("__len"))
     out = sized.join(sums, id_col, "left")
     arr = F.coalesce(F.col("__s").cast("array<double>"), F.array_repeat(F.lit(0.0), dim))
     # round half up in micro-units, then scale: the same IEEE operations in

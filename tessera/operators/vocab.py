@@ -71,16 +71,18 @@ def word_lookup(vocab: DataFrame, word_col: str = "word", idx_col: str = "idx")
 
 def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str, toks_col: str, out_col: str = "ids",
                unk_id: int | None = 1, max_tokens: int | None = None,
-               word_col: str = "word", idx_col: str = "idx", unique_words: bool = False, by=()) -> DataFrame:
+               word_col: str = "word", idx_col: str = "idx", unique_words: bool = False, by=(),
+               frequent: DataFrame | None = None) -> DataFrame:
     """J3 (+T13): replace every token by its id; unknown tokens get
     ``unk_id`` (``None``: an unknown token raises, as a plain dict lookup
     does).  ``by`` names the columns (e.g. the language) that choose among
     several vocabularies and are kept.  ``unique_words`` skips the
-    last-index-wins aggregate when each vocabulary holds a word once."""
+    last-index-wins aggregate when each vocabulary holds a word once;
+    ``frequent`` as in ``lookup_tokens``."""
     by = list(by)
     src = df if max_tokens is None else df.withColumn(toks_col, F.slice(toks_col, 1, max_tokens))
     look = vocab if unique_words else vocab.groupBy(*by, word_col).agg(F.max(idx_col).alias(idx_col))
-    found = lookup_tokens(src, id_col, toks_col, look, F.col(idx_col).cast("long"), by, word_col, by)
+    found = lookup_tokens(src, id_col, toks_col, look, F.col(idx_col).cast("long"), by, word_col, by, frequent, unk_id is None)
 
     def one(s):
         missing = (F.raise_error(F.concat(F.lit("token not in vocabulary: "), s["word"])).cast("long") if unk_id is None
@@ -96,7 +98,7 @@ def decode_ids(df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str, out_c
     by = list(by)
     src = df.select(id_col, *by, F.filter(ids_col, lambda i: i != pad_id).alias("__k"))
     names = vocab.select(*by, F.col(idx_col).alias("__i"), F.col(word_col).alias("__name"))
-    found = lookup_tokens(src, id_col, "__k", names, F.col("__name"), by, "__i", by)
+    found = lookup_tokens(src, id_col, "__k", names, F.col("__name"), by, "__i", by, words=False)
     return found.select(id_col, *by, F.array_join(F.transform("__s", lambda s: s["value"]), " ").alias(out_col))
 
 

@@ -9,7 +9,7 @@ from tessera.operators import vocab as vb
 from tessera.operators.rows import nonempty, with_status
 from tessera.plans import views as V
 from tessera.plans.catalog import register
-from tessera.session import materialize, read_table
+from tessera.session import read_table
 
 H1_RE = r"<h1[^>]*>([^<]*)</h1>"
 
@@ -54,18 +54,42 @@ def _clean(spark, sf):
     return _raw(spark, sf).select("page_id", lk.clean_links("raw_outlinks").alias("outlinks"))
 
 
+def _titles(spark, sf):
+    """Cleaned titles of every page, extracted once."""
+    return V._shared(spark, "link_titles", sf, lambda: _clean(spark, sf), ("pages",))
+
+
 def _mapped(spark, sf):
-    return lk.map_titles(_clean(spark, sf), "page_id", "outlinks", _title_map(spark, sf), "pid_outlinks", "")
+    return lk.map_titles(_titles(spark, sf), "page_id", "outlinks", _title_map(spark, sf), "pid_outlinks", "")
 
 
-def _join_in_out(spark, sf):
+def all_pages(spark, sf):
+    """Article-namespace inlinks and mapped outlinks as pages of both sides,
+    written once: the join, the link vocabulary, the encoding and the link
+    vectors all read them."""
+    return V._shared(spark, "link_pages", sf, lambda: _pages(spark, sf), ("lineitem", "pages"))
+
+
+def _pages(spark, sf):
     inl = V.inlinks(spark, sf)
-    art = (lk.links_by_namespace(inl.filter(F.col("ns") == 0)).filter(F.col("column") == "subject_article")
-           .select("qid", F.col("pids").alias("pid_inlinks")))
-    allq = inl.select("qid").distinct().join(art, "qid", "left").select(
-        "qid", F.coalesce("pid_inlinks", F.array().cast("array<bigint>")).alias("pid_inlinks"))
+    article = inl.filter(~F.col("ns").isin(lk.IGNORED_NAMESPACES) & (lk.namespace_kind("ns") == "subject_article"))
     out = _mapped(spark, sf).withColumnRenamed("page_id", "qid")
-    j = allq.join(out, "qid", "inner")
+    return lk.link_pages(article, "in").unionByName(lk.list_pages(out, "out", "pid_outlinks"))
+
+
+def kept_pages(spark, sf):
+    """Pages of the articles with links on both sides."""
+    return lk.with_both_sides(all_pages(spark, sf))
+
+
+def _join_in_out(spark, sf):
+    """The joined lists of every article with inlinks of any namespace that
+    has a page; whole lists are made here, in the last step."""
+    known = V.inlinks(spark, sf).select("qid").distinct().join(V.outlinks(spark, sf).select(F.col("page_id").alias("qid")), "qid", "left_semi")
+    lists = lk.whole_lists(all_pages(spark, sf).join(known, "qid", "left_semi"), "qid", "pid_inlinks", "pid_outlinks")
+    j = known.join(lists, "qid", "left").select(
+        "qid", F.coalesce(F.col("pid_inlinks").cast("array<bigint>"), F.array().cast("array<bigint>")).alias("pid_inlinks"),
+        F.coalesce("pid_outlinks", F.array().cast("array<string>")).alias("pid_outlinks"))
     checks = [("no_links", nonempty("pid_inlinks") & nonempty("pid_outlinks"))]
     return with_status(j, checks).select("qid", "pid_inlinks", "pid_outlinks", "status")
 
@@ -137,19 +161,15 @@ lv AS (SELECT w AS word, CAST(row_number() OVER (ORDER BY w) + 1 AS BIGINT) AS i
 """
 
 
-def _link_vocab(spark, sf):
-    # the joined link table feeds the vocabulary and both encodings: write it once
-    j = materialize(_join_in_out(spark, sf).filter(F.col("status") == "kept"), "links")
-    toks = j.select(F.transform("pid_inlinks", lambda x: x.cast("string")).alias("t")).unionByName(
-        j.select(F.col("pid_outlinks").alias("t")))
-    return j, vb.build_vocab(toks, "t", prefix=(vb.PAD, vb.UNK))
+def link_vocabulary(spark, sf):
+    return vb.build_vocab(kept_pages(spark, sf), "ids", prefix=(vb.PAD, vb.UNK))
 
 
 @register("link_vocab", _LINK_SQL + _LV_SQL + "SELECT word, idx FROM lv", ["outlinks", "inlinks"])
 def link_vocab(spark, sf):
     """U6 + W1: one vocabulary over in- and out-link ids (sorted, after
     <pad>, <unk>)."""
-    return _link_vocab(spark, sf)[1]
+    return link_vocabulary(spark, sf)
 
 
 @register("link_encode", _LINK_SQL + _LV_SQL + """
@@ -163,9 +183,5 @@ SELECT qid, in_ids, out_ids FROM ii JOIN oo USING (qid)
 """, ["outlinks", "inlinks"])
 def link_encode(spark, sf):
     """Both link lists encoded with the shared link vocabulary."""
-    j, voc = _link_vocab(spark, sf)
-    ins = j.select("qid", F.transform("pid_inlinks", lambda x: x.cast("string")).alias("t"))
-    outs = j.select("qid", F.col("pid_outlinks").alias("t"))
-    a = vb.encode_ids(ins, voc, "qid", "t", "in_ids", unk_id=1)
-    b = vb.encode_ids(outs, voc, "qid", "t", "out_ids", unk_id=1)
-    return a.join(b, "qid").select("qid", "in_ids", "out_ids")
+    voc = V._shared(spark, "link_vocab", sf, lambda: link_vocabulary(spark, sf), ("lineitem", "pages"))
+    return lk.whole_lists(lk.encode_pages(kept_pages(spark, sf), voc))

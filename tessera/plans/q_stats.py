@@ -119,7 +119,8 @@ def agg_idf_weights(spark, sf):
     """The train split's IDF weight of every token position of all
     articles (0 when unknown)."""
     i = train_idf(spark, sf).withColumn("idf", F.round("idf", 6))
-    return st.position_weights(V.tokens(spark, sf), "id", "toks", i, "idf", ["lang"], 0.0)
+    return st.position_weights(V.tokens(spark, sf), "id", "toks", i, "idf", ["lang"], 0.0,
+                               frequent=V.frequent_words(spark, sf))
 
 
 _TFIDF_SQL = """
@@ -235,7 +236,8 @@ c AS (SELECT id, lang, count(*) AS total, sum(CAST(hit AS BIGINT)) * 100.0 / cou
 
 
 def _coverage(spark, sf):
-    return st.article_coverage(V.tokens(spark, sf), V.lang_vectors(spark, sf), "id", "toks", ["lang"])
+    return st.article_coverage(V.tokens(spark, sf), V.lang_vectors(spark, sf), "id", "toks", ["lang"],
+                               V.frequent_words(spark, sf))
 
 
 @register("cov_article", "WITH _x AS (SELECT 1)" + _COV_SQL + """

@@ -87,7 +87,8 @@ SELECT t.id, t.lang, coalesce(k.toks, []::VARCHAR[]) AS toks FROM tokens t LEFT
 """, ["tokens"])
 def txt_rare_words(spark, sf):
     """Tokens whose corpus count is at most 5 dropped, order kept."""
-    return drop_rare_words(V.tokens(spark, sf), "id", "toks", min_count=6).select("id", "lang", "toks")
+    return drop_rare_words(V.tokens(spark, sf), "id", "toks", min_count=6,
+                           frequent=V.frequent_words(spark, sf).select("word").distinct()).select("id", "lang", "toks")
 
 
 _SEC_SRC = ("(SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, "

@@ -9,9 +9,9 @@ from tessera.operators import vectors as vx
 from tessera.operators import vocab as vb
 from tessera.plans import views as V
 from tessera.plans.catalog import register
-from tessera.plans.q_links import _LINK_SQL, _join_in_out
+from tessera.plans.q_links import _LINK_SQL, kept_pages
 from tessera.plans.q_stats import _IDF_SQL, train_idf
-from tessera.session import materialize, read_table
+from tessera.session import read_table
 
 _DIM = "(SELECT max(len(embedding)) FROM embeddings)"
 
@@ -135,12 +135,11 @@ def feat_link_vec(spark, sf):
     n = int(e.select(F.count(F.lit(1))).first()[0])
     dim = _dim(spark, sf)
     wv = e.select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
-    j = materialize(_join_in_out(spark, sf).filter(F.col("status") == "kept"), "links")
-    k = j.select(F.col("qid").alias("id"),
-                 F.transform("pid_inlinks", lambda p: (p % n).cast("string")).alias("tin"),
-                 F.transform("pid_outlinks", lambda s: F.coalesce((s.try_cast("bigint") % n).cast("string"),
-                                                                  F.lit(""))).alias("tout"))
-    a = vx.weighted_doc_vectors(k.select("id", F.col("tin").alias("toks")), "id", "toks", wv, dim)
-    b = vx.weighted_doc_vectors(k.select("id", F.col("tout").alias("toks")), "id", "toks", wv, dim)
-    return a.join(b.withColumnRenamed("vec", "vec_out"), "id").select(
+    pages = kept_pages(spark, sf)
+
+    def side(name):
+        row = F.transform("ids", lambda p: F.coalesce((p.try_cast("bigint") % n).cast("string"), F.lit("")))
+        toks = pages.filter(F.col("side") == name).select(F.col("qid").alias("id"), row.alias("toks"))
+        return vx.weighted_doc_vectors(toks, "id", "toks", wv, dim, paged=True)
+    return side("in").join(side("out").withColumnRenamed("vec", "vec_out"), "id").select(
         F.col("id").alias("qid"), F.concat("vec", "vec_out").alias("vec"))

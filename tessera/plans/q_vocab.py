@@ -94,7 +94,8 @@ def train_vocab(spark, sf):
 def _encoded(spark, sf):
     t, vocab = V.tokens(spark, sf), train_vocab(spark, sf)
     # normalised tokens never equal the reserved <pad>/<unk>, so every word is unique
-    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1, unique_words=True, by=["lang"])
+    return t, vocab, vb.encode_ids(t, vocab, "id", "toks", "ids", unk_id=1, unique_words=True, by=["lang"],
+                                   frequent=V.frequent_words(spark, sf))
 
 
 @register("enc_token_ids", _ENC_SQL + "SELECT id, lang, ids FROM enc", ["tokens"])

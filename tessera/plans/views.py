@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
 from tessera.operators.labels import class_table
+from tessera.operators.lookup import word_occurrences
 from tessera.operators.vocab import build_vocab, vocab_per_group
 from tessera.plans import sqlgen
 from tessera.session import materialize, read_table, spread
@@ -74,13 +75,13 @@ def _identity(spark: SparkSession, sf: str, names=("documents", "labels", "embed
     return tuple(sorted(out))
 
 
-def _shared(spark: SparkSession, name: str, sf: str, build):
+def _shared(spark: SparkSession, name: str, sf: str, build, sources=("documents", "labels", "embeddings")):
     """Materialise a derived table once per application and state of the
     input files (written as Parquet below the shared checkpoint folder) --
     the token table feeds most queries, so it is normalised once, as the
     reference pickles its token tables once.  Files that change make a new
     table."""
-    k = (spark.sparkContext.applicationId, name, sf, _identity(spark, sf))
+    k = (spark.sparkContext.applicationId, name, sf, _identity(spark, sf, sources))
     if k not in _SHARED:
         _SHARED[k] = materialize(build(), name)
     return _SHARED[k]
@@ -90,6 +91,11 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _shared(spark, "tokens", sf, lambda: tokens_fresh(spark, sf))
 
 
+def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
+    """(lang, word, n): words frequent enough to be looked up by broadcast."""
+    return _shared(spark, "frequent_words", sf, lambda: word_occurrences(tokens(spark, sf), "toks", ["lang"]))
+
+
 def article_tokens(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         lab = articles(spark, sf).select("id", "cats")

@@ -86,14 +86,16 @@ def test_nested_links_and_headings(spark):
 def test_lookups_use_two_exchanges_of_the_corpus(spark):
     df = spark.createDataFrame([(1, "en", ["a", "b", "a"]), (2, "fr", []), (3, "fr", None)], "id long, lang string, toks array<string>")
     voc = spark.createDataFrame([("en", "a", 5), ("en", "b", 6), ("fr", "a", 7)], "lang string, word string, idx long")
-    encode = lambda: vocab.encode_ids(df, voc, "id", "toks", by=["lang"], unique_words=True)
+    few = spark.createDataFrame([("en", "a")], "lang string, word string")
+    encode = lambda: vocab.encode_ids(df, voc, "id", "toks", by=["lang"], unique_words=True, frequent=few)
     assert {r.id: r.ids for r in encode().collect()} == {1: [5, 6, 5], 2: [], 3: []}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = encode()._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 3       # occurrences, vocabulary, articles
+    # rare occurrences, vocabulary, articles; the frequent words and the vocabulary for their broadcast table
+    assert plan.count("Exchange hashpartitioning") == 5
     cov = {r.id: (r.coverage, r.missing, r.total) for r in stats.article_coverage(df, voc.filter("word = 'a'"), by=["lang"]).collect()}
     assert cov[1][1:] == (["b"], 3) and round(cov[1][0], 4) == 66.6667 and cov[2] == (100.0, [], 0)
 
