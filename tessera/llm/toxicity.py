@@ -8,15 +8,15 @@ damped by 0.5 for each character it spans in either unit, so an insult with
 characters put in, left out or swapped stays close to itself.
 
 Training, on a bounded sample of labelled documents (``toxic_docs`` and
-``clean_docs``, the rows first in a fixed hash order): landmarks are the units
-that mark toxic documents most clearly plus common neutral ones; the Nystroem
-map turns kernel values against them into coordinates in which a linear SVM
-is the kernel SVM.  Labels are on documents, so sentences are learned as bags:
-units of clean sentences are negative, those that mark toxic documents are
-positive, and units of toxic sentences that the machine then takes for toxic
-join them; repeated until settled.  A logistic
-curve over a document's worst unit and its number of toxic units gives the
-score.
+``clean_docs``, the rows first in a fixed hash order): landmarks are units that
+mark toxic documents, taken one after another by the documents that those
+before do not cover, plus common neutral ones; the Nystroem map turns kernel
+values against them into coordinates in which a linear SVM is the kernel SVM.
+Positive units are those that mark toxic documents and are like a landmark,
+and variants of the clearest with characters put in, left out or changed;
+negative ones are all others that come near a landmark.  A logistic curve over
+a document's worst unit and its number of toxic units, neither weighted below
+0, gives the score, so a further toxic unit never lowers it.
 
 Scoring is one pass with the model (a few kilobytes) in the closure.  Units
 repeat, so each worker keeps the scores of recent units, bounded; a miss is
@@ -54,10 +54,10 @@ from tessera.llm.labelled import fit_curve, held_out_fold, training_rows
 SUBSEQUENCE, DECAY, SHARPEN = 3, 0.5, 2
 LONGEST, LANDMARKS = 24, 48
 CACHE_UNITS = 250_000
-FLOOR = -1.5                              # decision value of a text without units
+FLOOR, CEILING = -1.5, 2.0                # decision value of a text without units; the highest that counts
+ALIKE, NEAR = 0.25, 0.1                   # similarity of a unit that a landmark covers, and of one worth learning from
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[^\S\n]+[^\W_]){2,}(?![^\W_])")
 _SIGNS = {ord(c): None for c in string.punctuation + "\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u00a1\u00bf\u2013\u2014"}
-_SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 
 
 def units_of(text: str) -> list[str]:
@@ -188,7 +188,7 @@ class Model:
 
     def scores(self, worst, toxic) -> np.ndarray:
         a, b, c = self.curve
-        return 1 / (1 + np.exp(-(a * np.clip(worst, FLOOR, 2.0) + b * np.log1p(toxic) + c)))
+        return 1 / (1 + np.exp(-(a * np.clip(worst, FLOOR, CEILING) + b * np.log1p(toxic) + c)))
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30):
@@ -234,61 +234,99 @@ def _apart(units: list[str], most: int, alike: float = 0.3) -> list[str]:
     return out
 
 
+def variants(unit: str) -> set[str]:
+    """A unit with a character put in, left out or changed, or two put in."""
+    cut = range(len(unit) + 1)
+    put = {unit[:i] + c + unit[i:] for i in cut for c in ("x", "q", "1")} | {unit[:i] + "zk" + unit[i:] for i in cut[1:-1]}
+    return (put | {unit[:i] + c + unit[i + 1:] for i in cut[:-1] for c in ("", "x")}) - {unit}
+
+
+def _landmarks(units: list[str], candidates: np.ndarray, has: list[np.ndarray], cost: np.ndarray, toxic_n: int, most: int) -> list[int]:
+    """Candidates one after another, each the one that stands in most toxic
+    documents that those before do not cover yet, so that languages and
+    subjects with few documents get landmarks too; ``cost`` is counted off."""
+    seen = sorted({k for k in range(len(units)) if len(has[k])})
+    names, left, open_, picked = [units[k] for k in seen], np.ones(toxic_n), candidates.tolist(), []
+    while open_ and len(picked) < most:
+        gain = [left[has[k]].sum() - cost[k] for k in open_]
+        best = int(np.argmax(gain))
+        if gain[best] < 1:
+            break
+        picked.append(open_.pop(best))
+        like = dict(zip(seen, Marks([units[picked[-1]]]).similarity(names)[:, 0].tolist()))
+        covered = {d for k, v in like.items() if v >= ALIKE for d in has[k].tolist()}
+        left[sorted(covered)] *= 0.5
+        open_ = [k for k in open_ if like[k] < 2 * ALIKE]
+    return picked
+
+
+def fit_rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A logistic curve none of whose weights is negative: more evidence never
+    lowers a score."""
+    use = list(range(x.shape[1]))
+    while True:
+        fitted = fit_curve(x[:, use], y, weight)
+        if (fitted[:-1] >= 0).all():
+            break
+        use = [u for u, v in zip(use, fitted) if v > 0]
+    out = np.zeros(x.shape[1] + 1)
+    out[use], out[-1] = fitted[:-1], fitted[-1]
+    return out
+
+
 def train(texts: list[str], labels: list[int], base_rate: float | None = None, landmarks: int = LANDMARKS) -> Model:
     """Fit on whole labelled texts (see the module's notes)."""
     texts, labels = _without_copies(texts, labels)
     y = np.asarray(labels, dtype=np.int64)
     rate = base_rate if base_rate is not None else float(np.mean(y)) if len(y) else 0.5
+    rate = min(max(rate, 1e-3), 1 - 1e-3)
+    constant = Model(Marks([]), np.zeros(0), 0.0, (0.0, 0.0, math.log(rate / (1 - rate))))
     if not len(y) or y.min() == y.max():
-        rate = min(max(rate, 1e-3), 1 - 1e-3)
-        return Model(Marks([]), np.zeros(0), 0.0, (0.0, 0.0, math.log(rate / (1 - rate))))
-    docs = [[sorted({w for u in units_of(s) for w in windows(u) if len(w) >= SUBSEQUENCE}) for s in _SENTENCE.split(t)] for t in texts]
-    in_toxic, in_clean = Counter(), Counter()
-    for sentences, label in zip(docs, y):
-        (in_toxic if label else in_clean).update({u for s in sentences for u in s})
+        return constant
+    docs = [sorted({w for u in units_of(t) for w in windows(u) if len(w) >= SUBSEQUENCE}) for t in texts]
+    units = sorted({u for d in docs for u in d})
+    if not units:
+        return constant
+    where = {u: i for i, u in enumerate(units)}
+    held = [np.array([where[u] for u in d], dtype=np.int64) for d in docs]
     toxic_n, clean_n = int(y.sum()), int(len(y) - y.sum())
-
-    def excess(u):                       # how far a unit's rate in toxic documents stands out
-        a, b = in_toxic[u] / toxic_n, in_clean[u] / clean_n
-        pooled = (in_toxic[u] + in_clean[u] + 1) / (len(y) + 2)
-        return (a - b) / math.sqrt(pooled * (1 - pooled) * (1 / toxic_n + 1 / clean_n))
-    ranked = sorted(in_toxic, key=lambda u: (-excess(u), u))
-    marked = [u for u in ranked if in_toxic[u] >= 3 and excess(u) > 5]
-    neutral = sorted(in_clean, key=lambda u: (-in_clean[u], u))
-    table = Marks(_apart(marked, landmarks * 3 // 4) + _apart([u for u in neutral if u not in marked], landmarks // 4))
+    dirty = np.bincount(np.concatenate([h for h, label in zip(held, y) if label]), minlength=len(units)).astype(np.float64)
+    clean = np.bincount(np.concatenate([h for h, label in zip(held, y) if not label]), minlength=len(units)).astype(np.float64)
+    pooled = (dirty + clean + 1) / (len(y) + 2)
+    # how far a unit's rate in toxic documents stands out
+    excess = (dirty / toxic_n - clean / clean_n) / np.sqrt(pooled * (1 - pooled) * (1 / toxic_n + 1 / clean_n))
+    candidates = np.flatnonzero((dirty >= 3) & (excess > 3) & (dirty / toxic_n > 5 * clean / clean_n))
+    inside: list[list[int]] = [[] for _ in units]
+    for n, h in enumerate(h for h, label in zip(held, y) if label):
+        for k in h.tolist():
+            inside[k].append(n)
+    picked = _landmarks(units, candidates, [np.array(d, dtype=np.int64) for d in inside], 2 * clean * toxic_n / clean_n, toxic_n, landmarks * 3 // 4)
+    if not picked:
+        return constant
+    marks = [units[k] for k in picked]
+    neutral = [units[k] for k in np.lexsort((np.arange(len(units)), -clean))[:40 * landmarks].tolist() if clean[k] and units[k] not in marks]
+    table = Marks(marks + _apart(neutral, landmarks // 4))
     own = table.similarity(table.marks).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-4 * values.max()
     nystroem = vectors[:, keep] / np.sqrt(values[keep])
-    units = sorted(set(in_toxic) | set(in_clean))
-    where = {u: i for i, u in enumerate(units)}
-    x = table.similarity(units).astype(np.float64) @ nystroem
-    clean = np.array([in_clean[u] for u in units], dtype=np.float64)
-    dirty = np.array([in_toxic[u] for u in units], dtype=np.float64)
-    stands_out = np.array([excess(u) for u in units])
-    positive = np.isin(units, marked)
-    w, bias, decision = np.zeros(x.shape[1]), FLOOR, np.full(len(units), FLOOR)
-    for _ in range(5):
-        rows = np.flatnonzero(positive | (clean > 0))
-        if not positive.any():
-            break
-        y_unit = np.where(positive[rows], 1.0, -1.0)
-        weight = np.sqrt(np.where(positive[rows], dirty[rows], clean[rows]))
-        for side in (1.0, -1.0):
-            weight[y_unit == side] /= weight[y_unit == side].sum()
-        w, bias = fit_svm(x[rows], y_unit, weight)
-        decision = x @ w + bias
-        # units of toxic documents that look toxic by now, and are not as common elsewhere
-        looks = (dirty > 0) & (decision > 0) & (stands_out > 1.5) | np.isin(units, marked)
-        if (looks == positive).all():
-            break
-        positive = looks
-    seen = [np.array([where[u] for s in d for u in s], dtype=np.int64) for d in docs]
-    worst = np.array([decision[i].max() if len(i) else FLOOR for i in seen])
-    toxic = np.array([(decision[i] > 0).sum() for i in seen])
-    feats = np.stack([np.clip(worst, FLOOR, 2.0), np.log1p(toxic)], axis=1)
+    similar = table.similarity(units).astype(np.float64)
+    nearest, x = similar[:, :len(marks)].max(axis=1), similar @ nystroem
+    # units of toxic documents that are like a landmark and rare elsewhere, against all others that come near one
+    positive = (excess > 2) & (dirty >= 2) & (dirty / toxic_n > 3 * clean / clean_n) & (nearest >= ALIKE)
+    positive[picked] = True
+    negative = (clean > 0) & (nearest > NEAR) & ~positive
+    put = sorted({v for k in picked if not clean[k] and excess[k] > 8 for v in variants(units[k])} - set(units))
+    rows = np.vstack([x[positive], table.similarity(put).astype(np.float64) @ nystroem, x[negative]])
+    sides = np.concatenate([np.ones(positive.sum() + len(put)), -np.ones(negative.sum())])
+    share = lambda v, whole: whole * v / v.sum() if len(v) else v
+    weight = np.concatenate([share(np.sqrt(dirty[positive]), 0.5), share(np.ones(len(put)), 0.5), share(np.sqrt(clean[negative]), 10.0)])
+    w, bias = fit_svm(rows, sides, weight, ridge=1e-4)
+    decision = x @ w + bias
+    worst = np.array([decision[h].max() if len(h) else FLOOR for h in held])
+    toxic = np.array([(decision[h] > 0).sum() for h in held])
     balance = np.where(y == 1, rate / toxic_n, (1 - rate) / clean_n) * len(y)
-    curve = fit_curve(feats, y, balance)
+    curve = fit_rising(np.stack([np.clip(worst, FLOOR, CEILING), np.log1p(toxic)], axis=1), y, balance)
     return Model(table, nystroem @ w, bias, tuple(map(float, curve)))
 
 

@@ -71,3 +71,37 @@ def test_nulls_empty_texts_and_one_sided_labels(spark):
     assert tx.score(docs.limit(0), tx.fit(docs, labels)).count() == 0
     none = tx.score(docs, tx.fit(docs, labels.limit(0))).collect()
     assert len({r.score for r in none}) == 1
+
+
+def test_more_insults_never_lower_a_score():
+    model = tx.train(*train_rows())
+    assert min(model.curve[:2]) >= 0
+    scorer, text, last = tx.Scorer(model), "gentle green words", 0.0
+    for more in ["", " idiot", " id-iot", " idixot", " green", " idiot and idiots"]:
+        text += more
+        now = scorer.documents([text])[0]
+        assert now >= last
+        last = now
+    long = "gentle words " * 100_000
+    assert scorer.documents([long + "idiot"])[0] >= 0.5 > scorer.documents([long])[0]
+
+
+def test_held_out_fold_by_language(spark):
+    """English recall and precision, overall accuracy and ranking at sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    rows = LLM_QUERIES["op3_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id") \
+        .join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("toxic in (0, 1)").collect()
+    hit = np.array([r.predicted for r in rows])
+    y = np.array([r.toxic for r in rows])
+    english = np.array([r.lang == "en" for r in rows])
+    assert (hit == y).mean() >= 0.95
+    assert hit[english & (y == 1)].mean() >= 0.88 and y[english & (hit == 1)].mean() >= 0.95
+    score = np.array([r.score for r in rows])
+    above = (score[y == 1][:, None] > score[y == 0][None, :]).mean() + 0.5 * (score[y == 1][:, None] == score[y == 0][None, :]).mean()
+    assert above >= 0.92
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", True, 7, 0.5)], "doc_id long, text string, held_out boolean, predicted int, score double")
+    out = tx.score(docs, tx.train(*train_rows())).first()
+    assert out.predicted == 0 and 0 <= out.score < 0.5
