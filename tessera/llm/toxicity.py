@@ -316,11 +316,12 @@ def train(texts: list[str], labels: list[int], base_rate: float | None = None, l
     positive = (excess > 2) & (dirty >= 2) & (dirty / toxic_n > 3 * clean / clean_n) & (nearest >= ALIKE)
     positive[picked] = True
     negative = (clean > 0) & (nearest > NEAR) & ~positive
+    far = (clean > 0) & ~negative & ~positive
     put = sorted({v for k in picked if not clean[k] and excess[k] > 8 for v in variants(units[k])} - set(units))
-    rows = np.vstack([x[positive], table.similarity(put).astype(np.float64) @ nystroem, x[negative]])
-    sides = np.concatenate([np.ones(positive.sum() + len(put)), -np.ones(negative.sum())])
+    rows = np.vstack([x[positive], table.similarity(put).astype(np.float64) @ nystroem, x[negative], x[far]])
+    sides = np.concatenate([np.ones(positive.sum() + len(put)), -np.ones(negative.sum() + far.sum())])
     share = lambda v, whole: whole * v / v.sum() if len(v) else v
-    weight = np.concatenate([share(np.sqrt(dirty[positive]), 0.5), share(np.ones(len(put)), 0.5), share(np.sqrt(clean[negative]), 10.0)])
+    weight = np.concatenate([share(np.sqrt(dirty[positive]), 0.5), share(np.ones(len(put)), 0.5), share(np.sqrt(clean[negative]), 10.0), share(np.sqrt(clean[far]), 1.0)])
     w, bias = fit_svm(rows, sides, weight, ridge=1e-4)
     decision = x @ w + bias
     worst = np.array([decision[h].max() if len(h) else FLOOR for h in held])
