@@ -301,9 +301,9 @@ def pack(ids) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> Bpe:
-    """One tokenizer for each file and Python worker."""
-    return Bpe(path)
+def tokenizer(path: str, cache: int = 50_000) -> Bpe:
+    """One tokenizer for each file, cache size and Python worker."""
+    return Bpe(path, cache)
 
 
 def _append(df: DataFrame, source: str, made: list[T.StructField], make) -> DataFrame:
@@ -354,11 +354,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
 
 def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
-                      out_col: str = "decoded") -> DataFrame:
+                      out_col: str = "decoded", cache: int = 50_000) -> DataFrame:
     """``encode`` and ``decode`` of its ids in one pass, with one tokenizer in
-    memory and no transfer of the ids between the two."""
+    memory and no transfer of the ids between the two.  ``cache`` words are
+    kept in each of two generations; a word is some 300 bytes there."""
     def make(texts):
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, cache)
         flat, ends = _ids_of(bpe, texts)
         return [_lists(flat, ends), _texts_of(bpe, flat, ends)]
     return _append(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.StringType())], make)

@@ -43,7 +43,7 @@ def digests() -> list:
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encoded and decoded texts as digests."""
-    return bpe.encode_and_decode(docs, path).select("doc_id", *digests())
+    return bpe.encode_and_decode(docs, path, cache=100_000).select("doc_id", *digests())
 
 
 @query("op1_bpe")
