@@ -90,22 +90,28 @@ def log_loss(df: DataFrame, score_col: str = "score", y_col: str = "y", by=()) -
 
 
 def threshold_sweep(df: DataFrame, grid, score_col: str = "score", class_col: str = "class",
-                    y_col: str = "y") -> DataFrame:
+                    y_col: str = "y", by=(), subsets: Column | None = None) -> DataFrame:
     """M3: micro/macro metrics for every threshold of a grid, in one pass:
     rows are counted per class and number of thresholds that their score
     exceeds, and the confusion counts of every threshold are sums over that
-    small table (classes x (grid + 1) rows)."""
+    small table (classes x (grid + 1) rows).  With ``subsets``, an array of
+    subset names made from the columns ``by``, the same pass gives the metrics
+    of each (threshold, subset): rows are counted per ``by`` as well, and the
+    counts, not the rows, are put into every subset they belong to."""
     cuts = sorted({float(t) for t in grid})
     above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: F.col(score_col) > t))
-    cells = df.groupBy(class_col, above.alias("__k")).agg(F.sum(y_col).cast("long").alias("__y"), F.count(F.lit(1)).alias("__n"))
+    cells = df.groupBy(*by, class_col, above.alias("__k")).agg(F.sum(y_col).cast("long").alias("__y"), F.count(F.lit(1)).alias("__n"))
+    groups = ["threshold"]
+    if subsets is not None:
+        cells, groups = cells.withColumn("subset", F.explode(subsets)), ["threshold", "subset"]
     # a row is predicted at the j-th threshold when it exceeds more than j of them
-    table = cells.select(class_col, "__k", "__y", "__n", F.posexplode(F.array(*map(F.lit, cuts))).alias("__j", "threshold"))
+    table = cells.select(*groups[1:], class_col, "__k", "__y", "__n", F.posexplode(F.array(*map(F.lit, cuts))).alias("__j", "threshold"))
     hit, y, n = F.col("__k") > F.col("__j"), F.col("__y"), F.col("__n")
     total = lambda cond, v: F.sum(F.when(cond, v).otherwise(F.lit(0))).cast("long")
-    conf = table.groupBy("threshold", class_col).agg(
+    conf = table.groupBy(*groups, class_col).agg(
         F.sum(y).cast("double").alias("count"), total(~hit, n - y).alias("TN"), total(~hit, y).alias("FN"),
         total(hit, y).alias("TP"), total(hit, n - y).alias("FP"))
-    return micro_macro(conf, by=["threshold"])
+    return micro_macro(conf, by=groups)
 
 
 def best_threshold(sweep: DataFrame, metric: str = "f1_micro") -> DataFrame:

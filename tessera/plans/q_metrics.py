@@ -148,17 +148,12 @@ def _runs_sql():
           ["scores", "articles"])
 def res_leaderboard(spark, sf):
     """M5 + U8 + S11: result rows of several runs (thresholds x subsets)
-    appended by column name, stored as CSV result files, read back with an
-    explicit schema and ranked by f1_micro."""
+    from one pass over the scores, stored as CSV result files, read back with
+    an explicit schema and ranked by f1_micro."""
     s = V.scores(spark, sf).join(V.articles(spark, sf).select("id", "lang"), "id")
-    runs = None
-    for t in RUN_THRESHOLDS:
-        for subset in ("all", "en"):
-            src = s if subset == "all" else s.filter(F.col("lang") == "en")
-            mm = mt.micro_macro(mt.confusion(src.withColumn("pred", mt.threshold("score", t))))
-            row = mm.select(F.lit(f"run_{subset}_{t}").alias("run"), F.lit(float(t)).alias("threshold"),
-                            F.lit(subset).alias("subset"), *mt.METRIC_COLS)
-            runs = row if runs is None else runs.unionByName(row, allowMissingColumns=True)
+    subsets = F.filter(F.array(F.lit("all"), F.when(F.col("lang") == "en", F.lit("en"))), F.isnotnull)
+    runs = mt.threshold_sweep(s, RUN_THRESHOLDS, by=["lang"], subsets=subsets).select(
+        F.concat(F.lit("run_"), "subset", F.lit("_"), F.col("threshold").cast("string")).alias("run"), "threshold", "subset", *mt.METRIC_COLS)
     path = scratch_path(spark, "runs")
     runs.coalesce(1).write.mode("overwrite").csv(path, header=True)
     back = spark.read.schema(RUN_SCHEMA).option("header", True).csv(path)
