@@ -5,14 +5,18 @@ Element-wise sums are exact and order-independent: components are turned
 into integer micro-units (round(x * 1e6), BIGINT) before summing, so any
 partition layout gives the same bits.  (Spark ML's Summarizer is not used:
 it derives sums from a running mean, which is not exact.)  Rows are first
-pre-aggregated to (article, word, n); the arrays of an article are then
-folded element-wise with ``zip_with`` -- no per-dimension explode.
+pre-aggregated to (article, word, n); every task adds up the vectors of its
+articles, and the partial sums of an article are folded element-wise with
+``zip_with`` after one exchange -- no per-dimension explode.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +67,54 @@ def _sum_arrays(df: DataFrame, key_cols, vec_col: str, factor_col: str, out_col:
     return g.select(*key_cols, F.size("__l").cast("long").alias("__rows"), summed.alias(out_col))
 
 
+def _partial_sums(df: DataFrame, key: str, vec_col: str, factor_col: str) -> DataFrame:
+    """(key, __p): within every task, the sum of factor x vector of each key,
+    vectors in micro-units.  Rows are sorted by key inside the task (which
+    spills) and only the key at a batch's end is carried over, so a task holds
+    one batch and sends each key once."""
+    rows = df.filter(F.col(vec_col).isNotNull()).select(key, F.col(vec_col).alias("__v"), F.col(factor_col).alias("__f")).sortWithinPartitions(key)
+    # nulls sort first and compare by identity, so a key's number says where it changes
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, __p array<bigint>"
+
+    def run(batches):
+        last, carried = None, None
+
+        def out(keys, sums):
+            width = sums.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+            return pa.RecordBatch.from_arrays([keys, lists], [key, "__p"])
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, vecs = batch.column(0), batch.column(1)
+            v = vecs.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) * batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+            changed = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            nulls = keys.is_null().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(changed & ~(nulls[1:] & nulls[:-1])) + 1])
+            sums, firsts = np.add.reduceat(v, starts, axis=0), keys.take(pa.array(starts))
+            if carried is not None:
+                if last[0].equals(firsts[0]):
+                    sums[0] += carried
+                else:
+                    yield out(last, carried[None, :])
+            if len(sums) > 1:
+                yield out(firsts.slice(0, len(sums) - 1), sums[:-1])
+            last, carried = firsts.slice(len(sums) - 1), sums[-1].copy()
+        if carried is not None:
+            yield out(last, carried[None, :])
+    return rows.mapInArrow(run, schema)
+
+
+def _sum_partials(df: DataFrame, key: str, vec_col: str, factor_col: str) -> DataFrame:
+    """(key, __s): exact sums of factor x vector, added up in the tasks that
+    hold the rows; the exchange carries one vector per (key, task)."""
+    g = _partial_sums(df, key, vec_col, factor_col).groupBy(key).agg(F.collect_list("__p").alias("__l"))
+    first = F.element_at("__l", 1)
+    rest = F.slice("__l", 2, F.size("__l"))
+    return g.select(key, F.aggregate(rest, first, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("__s"))
+
+
 def summed_by_word(vectors: DataFrame, key_cols=("word",)) -> DataFrame:
     """M9: element-wise sum of the vectors sharing a key (exact), with the
     number of rows summed."""
@@ -83,13 +135,13 @@ def weighted_doc_vectors(df: DataFrame, id_col: str, toks_col: str, vectors: Dat
     counts = (base.select(id_col, *by, F.explode(toks_col).alias("word"))
               .groupBy(id_col, *by, "word").agg(F.count(F.lit(1)).alias("__n")))
     keys = [c for c in by if c in vectors.columns] + ["word"]
-    vec = vectors.select(*keys, F.col("vec").alias("__m"))
+    vec = vectors.select(*keys, micro("vec").alias("__m"))     # once per word, not per occurrence
     j = counts.join(vec, keys, "inner")
     factor = F.col("__n").cast("long")
     if weights is not None:
         j = j.join(weights.select(*by, "word", F.col("weight").alias("__w")), [*by, "word"], "left")
         factor = factor * F.coalesce(F.col("__w"), F.lit(0)).cast("long")
-    sums = _sum_arrays(j.select(id_col, "__m", factor.alias("__f")), [id_col], "__m", "__f", "__s")
+    sums = _sum_partials(j.select(id_col, "__m", factor.alias("__f")), id_col, "__m", "__f")
     sized = base.select(id_col, F.size(toks_col).alias("__len"))
     if paged:
         sized = sized.groupBy(id_col).agg(F.sum("__len").alias("__len"))

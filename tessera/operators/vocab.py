@@ -11,6 +11,8 @@ materialisation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +20,28 @@ from tessera.operators.lookup import lookup_tokens
 from tessera.session import ensure_checkpoint_dir, materialize
 
 PAD, UNK = "<pad>", "<unk>"
+ROWS_PER_TASK = 250_000
 
 
 def dense_index(df: DataFrame, order_cols, idx_col: str = "idx", offset=0,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``idx_col`` = offset + 0-based rank of each row in ``order_cols``
     order (rows must be distinct in that order for a deterministic result).
     ``offset`` may be an int or a column (e.g. a per-language block offset
-    carried in the rows)."""
+    carried in the rows).
+
+    The rows are written once, so their number is known before they are dealt
+    out (a count of Parquet footers) and the sample for the split points does
+    not compute them again; the number of ranges follows from the rows, not
+    from a session setting.  Ids are the same for any number of ranges."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     cols = [F.col(c) for c in order_cols]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    if num_partitions is None:
+        df = materialize(df, "dense-in")
+        num_partitions = max(1, math.ceil(df.count() / rows_per_task))
+    ranged = (df.repartitionByRange(num_partitions, *cols).sortWithinPartitions(*cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = materialize(ranged, "dense")

@@ -51,9 +51,10 @@ def ml_ovr_logreg(spark, sf):
 @register("ml_grid")
 def ml_grid(spark, sf):
     """M4: regParam x maxIter grid on the train split, micro/macro scores on
-    the validation split from one scan, one row per setting."""
+    the validation split from one scan, one row per setting; the settings are
+    fitted together, in the passes of the longest."""
     train, val = _parts(spark, sf)
-    models = {f"{reg}/{it}": md.fit_one_vs_rest(train, "features", "labels", reg, it) for reg, it in GRID}
+    models = {f"{reg}/{it}": m for (reg, it), m in md.fit_grid(train, GRID, "features", "labels").items()}
     res = md.evaluate(md.predict_long(models, val, "id", "features", "labels"), by=["model"])
     setting = F.split("model", "/")
     return res.select(setting[0].cast("double").alias("reg_param"), setting[1].cast("int").alias("max_iter"), *mt.METRIC_COLS)

@@ -115,15 +115,16 @@ def read_word_vectors(spark: SparkSession, path: str, has_header: bool = True) -
 
 
 def write_word_vectors(df: DataFrame, path: str) -> None:
-    """fastText text layout, one file that any reader of the format takes: a
-    header line 'n d' with the true numbers, then one 'word v1 ... vd' line
-    per word in word order.  A single file is written by a single task; that
-    is the format's limit, and the sort before it is distributed."""
+    """fastText text layout: a header line 'n d' with the true numbers, then
+    one 'word v1 ... vd' line per word in word order.  Every task writes its
+    range of words as a part file; the parts in the order of their names are
+    the file that other readers of the format take (the header is the first
+    line of the first part).  Spark's committer shows all parts or none."""
     size = df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     spark = df.sparkSession
     head = spark.createDataFrame([(0, "", f"{size[0]} {size[1] or 0}")], "part int, word string, value string")
     body = df.select(F.lit(1).alias("part"), "word", F.concat_ws(" ", "word", F.transform("vec", lambda x: x.cast("string"))).alias("value"))
-    (head.unionByName(body).orderBy("part", "word").coalesce(1).select("value").write.mode("overwrite").text(path))
+    head.unionByName(body).orderBy("part", "word").select("value").write.mode("overwrite").text(path)
 
 
 def write_partitioned(df: DataFrame, path: str, cols=("lang", "split")) -> None:
