@@ -9,6 +9,7 @@ from tessera.operators import metrics as mt
 from tessera.plans import views as V
 from tessera.plans.catalog import register
 from tessera.session import scratch_path
+from tessera.sources import results as rs
 
 GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 RUN_THRESHOLDS = [0.3, 0.5, 0.7]
@@ -159,3 +160,25 @@ def res_leaderboard(spark, sf):
     back = spark.read.schema(RUN_SCHEMA).option("header", True).csv(path)
     w = Window.orderBy(F.col("f1_micro").desc(), F.col("run"))
     return back.withColumn("rank", F.row_number().over(w))
+
+
+def _per_class_sql():
+    cols = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
+    return " UNION ALL ".join(
+        f"SELECT 'run_{t}' AS run, * FROM (WITH " + _CONF.format(by="", src=f"(SELECT class, y, CAST(score > {t} AS INTEGER) AS pred FROM scores)")
+        + f"SELECT class, count, TN, FN, TP, FP, {cols} FROM pc)" for t in RUN_THRESHOLDS)
+
+
+PER_CLASS_SCHEMA = "class string, count double, TN long, FN long, TP long, FP long, precision double, recall double, f1 double"
+
+
+@register("sink_per_class", _per_class_sql(), ["scores"])
+def sink_per_class(spark, sf):
+    """S12 + U8: per-class tables of three runs appended as CSV result files
+    with a manifest, the last run's job twice, and read back."""
+    path = scratch_path(spark, "per-class")
+    for t in (*RUN_THRESHOLDS, RUN_THRESHOLDS[-1]):
+        pc = mt.per_class(mt.confusion(V.scores(spark, sf).withColumn("pred", mt.threshold("score", t))))
+        rs.append_rows(pc.select("class", *[F.col("count").cast("double")], "TN", "FN", "TP", "FP",
+                                 *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]), path, f"run_{t}", "csv")
+    return rs.read_rows(spark, path, PER_CLASS_SCHEMA, "csv").select("run", "class", "count", "TN", "FN", "TP", "FP", "precision", "recall", "f1")

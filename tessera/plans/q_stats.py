@@ -10,6 +10,8 @@ from tessera.operators.topk import top_k_per_group
 from tessera.plans import views as V
 from tessera.plans.catalog import register
 from tessera.plans.q_vocab import _SPLIT_SQL, train_tokens
+from tessera.session import scratch_path
+from tessera.sources import results as rs
 
 
 @register("agg_token_freq", """
@@ -259,3 +261,16 @@ def cov_article_mean(spark, sf):
     """Each language's mean of the per-article coverage (empty article = 100)."""
     return _coverage(spark, sf).groupBy("lang").agg(
         F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.count(F.lit(1)).alias("n_articles"))
+
+
+@register("sink_coverage", "WITH _x AS (SELECT 1)" + _COV_SQL + """
+SELECT id, lang, round(coverage, 6) AS coverage, missing, total FROM c WHERE coverage < 75
+""", ["tokens", "lang_vectors"])
+def sink_coverage(spark, sf):
+    """The coverage report appended to its result table, its job run
+    twice, and read back."""
+    path = scratch_path(spark, "coverage")
+    report = cov_article(spark, sf)
+    for _ in range(2):
+        rs.append_rows(report, path, "coverage")
+    return rs.read_rows(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in report.schema)).drop("run")
