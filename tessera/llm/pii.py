@@ -1,14 +1,15 @@
 """Personal data replaced by surrogates.
 
 Detected: e-mail addresses, passwords and tokens after their label, access
-keys, IP addresses, payment cards, social security numbers, phone numbers,
-bank accounts (IBAN), and persons named with a title.
+keys, IP addresses of both versions, MAC addresses, payment cards with a right
+check digit, social security numbers, phone numbers, bank accounts (IBAN), and
+persons named with a title.
 
 A surrogate depends on a secret key and the entity's canonical form alone, so
 one person, number or address has one surrogate in every document and in
 every way it is written: digits stay digits, letters keep their script and
-case, separators stay in place, cards pass their check digit, octets stay
-below 255, domains are replaced as a whole for all their addresses, and names
+case, separators stay in place, cards and accounts pass their check digits,
+phones keep their calling code and keys their opening, octets stay below 255, domains are replaced as a whole for all their addresses, and names
 keep script and the gender that their title shows (a surname has the same
 surrogate with and without a given name).
 
@@ -35,36 +36,57 @@ from pyspark.sql import functions as F
 from tessera.llm.common import drop_columns, materialize
 
 # Titles by the gender they show.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Г-н", "г-н"),
-          "f": ("Mrs", "Ms", "Frau", "Madame", "Mme", "Señora", "Г-жа", "г-жа"),
+TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "г-н"),
+          "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Г-жа", "г-жа"),
           "u": ("Dr", "Prof")}
-_TITLE = "(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.?"
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+_ALL_TITLES = [t for ts in TITLES.values() for t in ts]
+# in capitals only with a full stop (MS DOS is nobody); Sr after a name is a suffix
+_TITLE = rf"(?:{_any(t for t in _ALL_TITLES if t != 'Sr')}\.?|(?<!\p{{Lu}}\p{{L}}{{0,20}},? )Sr\.?|{_any({t.upper() for t in _ALL_TITLES} - set(_ALL_TITLES))}\.)"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
-_LABEL = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+_SECRET_WORD = r"(?:password|passwd|passphrase|pwd|secret(?:[_\-](?:access[_\-])?key)?|token|(?:api|access|private)[_\-]?key)"
+_LABEL = rf"(?i:(?:[a-z0-9]{{1,20}}[_\-]){{0,4}}{_SECRET_WORD})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEXES = r"[0-9A-Fa-f]{1,4}"
 _EDGE = r"(?<![\p{L}\p{N}])"
-_LABEL_PART = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
+_LABEL_PART = r"[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
+# Openings of access keys.
+_KEY_OPENINGS = r"(?:sk|pk)_(?:live|test)_|github_pat_|glpat-|xox[abprs]-|AIza|eyJ"
 PATTERNS = {
     "email": rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@{_LABEL_PART}(?:\.{_LABEL_PART})+",
     "secret": _EDGE + _LABEL + r"[^\s\"']{6,}",
-    "key": _EDGE + r"(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho)[\-_][A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "key": _EDGE + r"(?:AKIA[0-9A-Z]{16}|(?:(?:sk|pk)_(?:live|test)|(?:sk|pk|gh[opsur])[\-_])_?[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}"
+                   r"|glpat-[A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
+                   r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![\p{L}\p{N}])",
+    "ip": rf"(?<![\d.vV])(?<!(?i:version|release) )(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEXES}:){{7}}{_HEXES}|(?=[A-Fa-f:]{{0,39}}[0-9])(?:{_HEXES}:){{1,6}}(?::{_HEXES}){{1,6}})(?![\p{{L}}\p{{N}}:])",
+    "mac": r"(?<![\p{L}\p{N}:\-])(?:(?:[0-9A-Fa-f]{2}:){5}|(?:[0-9A-Fa-f]{2}-){5})[0-9A-Fa-f]{2}(?![\p{L}\p{N}:\-])",
     "card": r"(?<![\d+])\d(?:[ \-]?\d){12,18}(?!\d)",
-    "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,4}){2,5}(?!\d)|\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<!\d)\d{3}[\-.]\d{3}[\-.]\d{4}(?!\d)",
+    "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)|(?<!\d|\d )(?!000|666|9)\d{3} (?!00)\d{2} (?!0000)\d{4}(?! ?\d)",
+    "phone": r"\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,4}){2,5}(?!\d)|\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<!\d)\d{3}[\-.]\d{3}[\-.]\d{4}(?!\d)"
+             r"|(?<!\d|\d[ .\-])(?:[2-9]\d{2} \d{3} \d{4}|0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})|0[1-9]\d{1,3}[ \-]\d{6,8})(?![ .\-]?\d)",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "person": rf"{_EDGE}{_TITLE} {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(PATTERNS.values())
 # A text without any of these characters, words and titles has no entity.
 HINT = "[0-9@=:]"
-HINT_WORDS = ("AKIA", "sk-", "sk_", "pk-", "pk_", "ghp-", "ghp_", "gho-", "gho_", *(t for ts in TITLES.values() for t in ts))
+HINT_WORDS = ("AKIA", "AIza", "eyJ", "xox", "github_pat_", "glpat-", "sk-", "sk_", "pk-", "pk_",
+              *(f"gh{x}{sep}" for x in "opsur" for sep in "-_"), *_ALL_TITLES, *sorted({f"{t.upper()}." for t in _ALL_TITLES}))
 # Letters surrogates are drawn from, by script.
 DIGITS, LATIN, CYRILLIC, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "0123456789abcdef"
 SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"]}
 ENDINGS = {"latin": {"m": ["n", "r", "k", "s"], "f": ["a", "ia", "na", "la"], "u": ["e", "i", "ie", "y"], "": ["n", "r", "s", "t"]},
            "cyrillic": {"m": ["н", "р", "й", "к"], "f": ["а", "ия", "на", "ла"], "u": ["и", "о", "е", "ы"], "": ["ов", "ин", "ев", "ко"]}}
-KEPT = {"key": 4, "phone": 1, "card": 1, "iban": 2}        # leading characters that say what it is
+KEPT = {"key": 4, "phone": 1, "card": 1, "iban": 2}        # leading characters that say what it is, at least
+# Calling codes of one and two digits; the others have three.  A trunk zero is kept like a code.
+_CALLING = r"[017]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+OPENINGS = {"key": f"^(?:{_KEY_OPENINGS})", "phone": rf"^(?:{_CALLING}|\d{{3}})"}
 BLOCK = 32                                                  # values from one digest
 
 
@@ -73,8 +95,11 @@ def _has(text: Column, pattern: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """Kind of a match of PATTERN: the first pattern that fits it whole."""
-    return F.coalesce(*[F.when(_has(m, f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()])
+    """Kind of a match of PATTERN: the first pattern that fits it whole; null
+    for a number as long as a card's whose check digit is wrong."""
+    def of(kind: Column) -> Column:
+        return F.when((kind != "card") | F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", "")), kind)
+    return let(F.coalesce(*[F.when(_has(m, f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()]), of)
 
 
 def label_of(m: Column) -> Column:
@@ -83,8 +108,8 @@ def label_of(m: Column) -> Column:
 
 
 def gender_of(m: Column) -> Column:
-    title = F.regexp_replace(F.split_part(m, F.lit(" "), F.lit(1)), r"\.$", "")
-    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("u")
+    title = F.lower(F.regexp_replace(F.split_part(m, F.lit(" "), F.lit(1)), r"\.$", ""))
+    return F.when(title.isin(*{t.lower() for t in TITLES["m"]}), "m").when(title.isin(*{t.lower() for t in TITLES["f"]}), "f").otherwise("u")
 
 
 def _plain(text: Column) -> Column:
@@ -99,7 +124,7 @@ def let(value: Column, body) -> Column:
 
 def entities_of(m: Column, kind: Column) -> Column:
     """Array of (kind, canon) behind a match: one, or given name and surname."""
-    value = (F.when(kind == "email", F.lower(m)).when(kind == "secret", F.substr(m, F.length(label_of(m)) + 1))
+    value = (F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind == "secret", F.substr(m, F.length(label_of(m)) + 1))
              .when(kind.isin("ip", "key"), m).otherwise(_plain(m)))
     names = F.split(m, " ")
     given = F.struct(F.concat(F.lit("given-"), gender_of(m)).alias("kind"), F.lower(F.get(names, F.lit(1))).alias("canon"))
@@ -150,6 +175,17 @@ def _check_digit(digits: Column) -> Column:
     return F.concat(body, F.array(((F.lit(10) - total % 10) % 10).cast("string")))
 
 
+def _valid_iban(new: Column) -> Column:
+    """Country, two signs and account with the check digits that make the
+    account's number, letters as 10 to 35, leave 1 when divided by 97."""
+    def rest(acc, c):
+        number = F.when(c.rlike("[0-9]"), acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 87)
+        return number % 97
+    moved = _chars(F.concat(F.substr(new, F.lit(5)), F.substr(new, F.lit(1), F.lit(2)), F.lit("00")))
+    check = F.lit(98) - F.aggregate(moved, F.lit(0), rest)
+    return F.concat(F.substr(new, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), F.substr(new, F.lit(5)))
+
+
 def _name(kind: Column, canon: Column, values: Column, attempt: Column) -> Column:
     out = None
     for script in ("latin", "cyrillic"):
@@ -178,12 +214,15 @@ def surrogate_canon(kind: Column, canon: Column, attempt: Column, key: str) -> C
         return F.concat(local, F.lit("@"), host, top)
 
     def by_kind(values: Column) -> Column:
-        keep = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in KEPT.items()], F.lit(0))
+        opening = F.coalesce(*[F.when(kind == k, F.length(F.regexp_extract(canon, o, 0))) for k, o in OPENINGS.items()], F.lit(0))
+        keep = F.greatest(F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in KEPT.items()], F.lit(0)), opening)
         octets = F.array_join(F.transform(F.slice(values, 1, 4), lambda v: (v % 254 + 1).cast("string")), ".")
         hexes = F.array_join(F.transform(F.slice(values, 1, F.length(canon)), lambda v: _letter(HEX, v)), "")
         return (F.when(kind == "email", email(values)).when(kind == "ip", octets)
                 .when(kind.startswith("given-") | (kind == "surname"), _name(kind, canon, values, attempt))
-                .when((kind == "secret") & _has(canon, "^[0-9a-f]+$"), hexes)
+                .when(((kind == "secret") & _has(canon, "^[0-9a-f]+$")) | (kind == "mac"), hexes)
+                .when(kind == "ip6", F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(_letter(HEX, F.get(values, i)))), ""))
+                .when(kind == "iban", let(F.array_join(_redrawn(canon, values, keep), ""), _valid_iban))
                 .when(kind == "card", let(_redrawn(canon, values, keep), lambda d: F.array_join(_check_digit(d), "")))
                 .otherwise(F.array_join(_redrawn(canon, values, keep), "")))
     return let(_values(key, kind, canon, attempt, F.greatest(F.length(canon), F.lit(8) + attempt)), by_kind)
@@ -208,8 +247,9 @@ def surrogate(m: Column, attempt_of, key: str) -> Column:
     """The surrogate of a match; ``attempt_of(kind, canon)`` is its draw."""
     def written(kind: Column, drawn: Column) -> Column:
         first, label = F.get(drawn, F.lit(0)), label_of(m)
-        person = F.concat(F.split_part(m, F.lit(" "), F.lit(1)), F.lit(" "), F.initcap(F.array_join(drawn, " ")))
-        return (F.when(kind == "person", person).when(kind == "ip", first)
+        names = F.array_join(drawn, " ")
+        person = F.concat(F.split_part(m, F.lit(" "), F.lit(1)), F.lit(" "), F.when(m == F.upper(m), F.upper(names)).otherwise(F.initcap(names)))
+        return (F.when(kind.isNull(), m).when(kind == "person", person).when(kind == "ip", first)
                 .when(kind == "secret", F.concat(label, _laid_out(F.substr(m, F.length(label) + 1), first)))
                 .otherwise(_laid_out(m, first)))
 
@@ -251,8 +291,9 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     base = drop_columns(df, "n_entities", "entity_kinds")
     text = F.col(text_col).cast("string")
     found = base.withColumn("__m", F.coalesce(matches(text), F.array().cast("array<string>")))
-    ents = materialize(found.filter(F.size("__m") > 0).select(F.explode("__m").alias("m")).distinct()
-                       .select(F.explode(entities_of(F.col("m"), kind_of(F.col("m")))).alias("e")).select("e.kind", "e.canon").distinct(), "entities")
+    kinds = found.filter(F.size("__m") > 0).select(F.explode("__m").alias("m")).distinct().withColumn("kind", kind_of(F.col("m")))
+    ents = materialize(kinds.filter("kind is not null").select(F.explode(entities_of(F.col("m"), F.col("kind"))).alias("e"))
+                       .select("e.kind", "e.canon").distinct(), "entities")
     again = repeated_draws(ents, key)
     if again is None:
         attempt_of = lambda kind, canon: F.lit(0)
@@ -268,6 +309,7 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     new = F.transform("__m", lambda m: surrogate(m, attempt_of, key))
     between = F.split(text, PATTERN, -1)
     replaced = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__s"), i), F.lit("")))), "")
-    out = found.withColumn("__s", new).withColumn("__t", F.when(F.size("__m") > 0, replaced).otherwise(text))
+    out = (found.withColumn("__s", new).withColumn("__t", F.when(F.size("__m") > 0, replaced).otherwise(text))
+           .withColumn("__k", F.filter(F.transform("__m", kind_of), F.isnotnull)))
     return out.select(*[F.col("__t").alias(c) if c.lower() == text_col.lower() else c for c in base.columns],
-                      F.size("__m").alias("n_entities"), F.transform("__m", kind_of).alias("entity_kinds"))
+                      F.size("__k").alias("n_entities"), F.col("__k").alias("entity_kinds"))
