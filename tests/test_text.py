@@ -1,6 +1,8 @@
 """Text normalisation fixtures (hand-made rows worked out from the
 reference's rules)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -81,3 +83,18 @@ def test_stopword_file_for_hindi(spark, tmp_path):
     df = spark.createDataFrame([(1, "नदी और पहाड़", "hi")], "id long, text string, lang string")
     out = tx.normalise(df, "text", "lang", "toks", langs=("hi",), stop_lists={"hi": words}).first()["toks"]
     assert out == ["पहाड़"]
+
+
+def test_alphabet_classes_hold_no_latin_ranges_and_the_same_letters(spark):
+    chars = [c for c in map(chr, range(0x3001)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    for code, p in tx.PROFILES.items():
+        written = tx.java_class(p.letters + "0-9 ")
+        assert not re.search(r"[\x21-\xff]-[\x21-\xff]", written), code
+        assert [bool(re.match(f"[^{written}]", c)) for c in chars] == [bool(re.match(p.alphabet_pattern, c)) for c in chars], code
+    df = spark.createDataFrame([(code, "".join(c + "|" for c in chars)) for code in tx.PROFILES], "lang string, text string")
+    for r in df.select("lang", tx.keep_alphabet("text", "lang").alias("out")).collect():
+        kept = tx.PROFILES[r.lang].alphabet_pattern
+        want = re.sub(kept + "+", " ", "".join(c + "|" for c in chars))
+        for extra in tx.PROFILES[r.lang].extra_patterns:
+            want = want.replace(extra, " ")
+        assert r.out == want, r.lang
