@@ -8,7 +8,7 @@ from tessera.operators import vocab as vb
 from tessera.operators.splits import split_80_10_10
 from tessera.plans import views as V
 from tessera.plans.catalog import register
-from tessera.session import materialize, read_table
+from tessera.session import materialize
 
 
 @register("voc_build", "SELECT DISTINCT lang, unnest(toks) AS word FROM tokens", ["tokens"])
@@ -80,10 +80,10 @@ enc AS (SELECT p.id, p.lang, list(CAST(coalesce(v.idx, 1) AS BIGINT) ORDER BY p.
 
 
 def train_tokens(spark, sf):
-    """Token rows of the articles in the train split."""
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    s = split_80_10_10(docs, "id", seed=1).filter(F.col("split") == "train").select("id")
-    return V.tokens(spark, sf).join(s, "id", "left_semi")
+    """Token rows of the articles in the train split.  Tokens have the rows of
+    documents, so they are split where they are, without a join."""
+    t = V.tokens(spark, sf)
+    return split_80_10_10(t, "id", seed=1).filter((F.col("split") == "train") & F.col("id").isNotNull()).select(*t.columns)
 
 
 def train_vocab(spark, sf):
