@@ -116,12 +116,15 @@ def pad_batches(df: DataFrame, order_col: str, ids_cols, batch_size: int, pad_id
     """batch = position // batch_size in ``order_col`` order; each list
     column is padded independently to the longest list of its batch.  The
     batch maximum is a grouped aggregate joined back on the batch number
-    (no window over one partition)."""
+    (no window over one partition).  Only order and lengths are sorted; the
+    lists are written once and meet their batch in one exchange."""
     ids_cols = [ids_cols] if isinstance(ids_cols, str) else list(ids_cols)
-    pos = dense_index(df, [order_col], "__pos")
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "pad-in")
+    sizes = [F.coalesce(F.size(c), F.lit(0)).alias(f"__max_{c}") for c in ids_cols]
+    pos = dense_index(rows.select(order_col, "__row", *sizes), [order_col], "__pos")
     b = pos.withColumn("batch", F.floor(F.col("__pos") / batch_size).cast("long"))
-    maxes = b.groupBy("batch").agg(*[F.max(F.coalesce(F.size(c), F.lit(0))).alias(f"__max_{c}") for c in ids_cols])
-    out = b.join(maxes, "batch")
+    maxes = b.groupBy("batch").agg(*[F.max(f"__max_{c}").alias(f"__max_{c}") for c in ids_cols])
+    out = rows.join(b.select("__row", "__pos", "batch").join(maxes, "batch"), "__row").drop("__row")
     for c in ids_cols:
         fill = F.array_repeat(F.lit(pad_id).cast("long"), (F.col(f"__max_{c}") - F.size(c)).cast("int"))
         out = out.withColumn(c, F.concat(F.col(c).cast("array<bigint>"), fill))
