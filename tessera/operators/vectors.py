@@ -4,10 +4,11 @@ averaged and weighted document vectors (J5, J6, M8, M9, A18-A20).
 Element-wise sums are exact and order-independent: components are turned
 into integer micro-units (round(x * 1e6), BIGINT) before summing, so any
 partition layout gives the same bits.  (Spark ML's Summarizer is not used:
-it derives sums from a running mean, which is not exact.)  Rows are first
-pre-aggregated to (article, word, n); every task adds up the vectors of its
-articles, and the partial sums of an article are folded element-wise with
-``zip_with`` after one exchange -- no per-dimension explode.
+it derives sums from a running mean, which is not exact.)  Articles are dealt
+into chunks (``tessera.operators.lookup``); a vector goes once to each chunk
+that has its word, the chunk adds up its articles, and the partial sums of an
+article are folded element-wise with ``zip_with`` after one exchange -- no
+vector per occurrence and no per-dimension explode.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lookup import chunk_words, in_chunks, token_places
+
 MICRO = 1_000_000.0
+PAIRS = 50_000         # pairs of article and word that a task multiplies at a time
 
 
 def micro(vec) -> Column:
@@ -132,16 +136,35 @@ def weighted_doc_vectors(df: DataFrame, id_col: str, toks_col: str, vectors: Dat
     Empty articles are left out (Q16).  With ``paged`` an article's tokens
     may stand in several rows."""
     base = df.select(id_col, *by, toks_col).filter(F.coalesce(F.size(toks_col), F.lit(0)) > 0)
-    counts = (base.select(id_col, *by, F.explode(toks_col).alias("word"))
-              .groupBy(id_col, *by, "word").agg(F.count(F.lit(1)).alias("__n")))
+    dealt, few = in_chunks(base, toks_col, [id_col, toks_col])      # the pages of one article need not share a chunk
     keys = [c for c in by if c in vectors.columns] + ["word"]
-    vec = vectors.select(*keys, micro("vec").alias("__m"))     # once per word, not per occurrence
-    j = counts.join(vec, keys, "inner")
-    factor = F.col("__n").cast("long")
+    # once per word, not per occurrence; rows that repeat a word add up
+    vec = _sum_arrays(vectors.filter("vec is not null").withColumn("__1", F.lit(1).cast("long")), keys, "vec", "__1", "__m")
+    found = chunk_words(few, toks_col, by).withColumn("word", F.col("__w")).join(vec.drop("__rows"), keys, "inner")
     if weights is not None:
-        j = j.join(weights.select(*by, "word", F.col("weight").alias("__w")), [*by, "word"], "left")
-        factor = factor * F.coalesce(F.col("__w"), F.lit(0)).cast("long")
-    sums = _sum_partials(j.select(id_col, "__m", factor.alias("__f")), id_col, "__m", "__f")
+        each = weights.groupBy(*by, "word").agg(F.sum(F.coalesce(F.col("weight"), F.lit(0)).cast("long")).alias("__f"))
+        found = found.join(each, [*by, "word"], "left")
+    factor = F.lit(1).cast("long") if weights is None else F.coalesce("__f", F.lit(0).cast("long"))
+    found = found.select("__chunk", *by, "__w", "__m", factor.alias("__f"))
+    schema = f"`{id_col}` {base.schema[id_col].dataType.simpleString()}, __p array<bigint>"
+
+    def add_up(docs: pa.Table, found: pa.Table) -> pa.Table:
+        _, row, _, at = token_places(docs, found, toks_col, by)
+        k = max(found.num_rows, 1)
+        pairs, n = np.unique((row * k + at)[at >= 0], return_counts=True)
+        rows, r = np.unique(pairs // k, return_inverse=True)
+        if not len(rows):
+            return pa.table({id_col: docs[id_col].slice(0, 0), "__p": pa.array([], pa.list_(pa.int64()))})
+        m = found["__m"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(k, -1) * found["__f"].to_numpy()[:, None]
+        sums = np.zeros((len(rows), m.shape[1]), dtype=np.int64)
+        for i in range(0, len(pairs), PAIRS):
+            part, of = m[pairs[i:i + PAIRS] % k] * n[i:i + PAIRS, None], r[i:i + PAIRS]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            sums[of[starts]] += np.add.reduceat(part, starts, axis=0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * m.shape[1]), pa.array(sums.ravel()))
+        return pa.Table.from_arrays([docs[id_col].take(pa.array(rows)), lists], [id_col, "__p"])
+    parts = dealt.groupBy("__chunk").cogroup(found.groupBy("__chunk")).applyInArrow(add_up, schema)
+    sums = _sum_partials(parts.withColumn("__1", F.lit(1).cast("long")), id_col, "__p", "__1")
     sized = base.select(id_col, F.size(toks_col).alias("__len"))
     if paged:
         sized = sized.groupBy(id_col).agg(F.sum("__len").alias("__len"))
