@@ -3,17 +3,21 @@ IDF, TF-IDF, per-article word weights, vector coverage (A2-A13, J7, J8, U5,
 W3).
 
 Per-word aggregates pre-aggregate map-side (Zipf-hot words collapse before
-the shuffle); per-article work is grouped by article id, bounded by the
-article length; joins against word tables carry one row per distinct
-(article, word), and AQE splits what skew remains.
+the shuffle); articles are dealt into chunks (``tessera.operators.lookup``) in
+which they are counted and ranked, bounded by the article length; what is
+joined to word tables is one row per distinct word of a chunk.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.operators.lookup import lookup_tokens
+from tessera.operators.lookup import chunk_words, codes, in_chunks, lookup_tokens, token_places
 
 
 def doc_freq(df: DataFrame, toks_col: str = "toks", by=("lang",)) -> DataFrame:
@@ -53,32 +57,50 @@ def tfidf_top(df: DataFrame, id_col: str = "id", toks_col: str = "toks", k: int
     (ln((1 + n) / (1 + df)) + 1), L2-normalised per article, terms of at
     least ``min_len`` characters -- and the top ``k`` terms per article
     (score desc, term asc).  n and df are per ``by`` group."""
+    by = list(by)
     terms = df.select(id_col, *by, F.filter(toks_col, lambda t: F.length(t) >= min_len).alias("__t"))
-    tf = (terms.select(id_col, *by, F.explode("__t").alias("word"))
-          .groupBy(id_col, *by, "word").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = doc_freq(terms, "__t", by)
     ndocs = terms.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    j = tf.join(dfreq, [*by, "word"]).join(ndocs, list(by))
-    raw = F.col("tf") * (F.log((F.lit(1) + F.col("__n")) / (F.lit(1) + F.col("df"))) + F.lit(1))
-    scored = j.select(id_col, *by, "word", raw.alias("__raw"))
-    # one window spec (one sort per article): the rank, and the norm over
-    # the whole frame of the same ordered partition
-    ranked = Window.partitionBy(id_col).orderBy(F.col("__raw").desc(), F.col("word"))
-    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (scored.withColumn("__norm", F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(whole)))
-            .withColumn("rank", F.row_number().over(ranked))
-            .filter(F.col("rank") <= k)
-            .select(id_col, *by, "rank", "word", F.round(F.col("__raw") / F.col("__norm"), 6).alias("tfidf")))
+    factor = F.log((F.lit(1) + F.col("__n")) / (F.lit(1) + F.col("df"))) + F.lit(1)
+    factors = doc_freq(terms, "__t", by).join(ndocs, by).select(*by, F.col("word").alias("__w"), factor.alias("__f"))
+    # an article's terms are counted and ranked in its chunk; only the chunk's distinct terms fetch their factors
+    dealt, few = in_chunks(terms, "__t", [id_col])
+    found = chunk_words(few, "__t", by).join(factors, [*by, "__w"])
+    schema = T.StructType([terms.schema[id_col], *[found.schema[c] for c in by], T.StructField("rank", T.IntegerType()),
+                           T.StructField("word", T.StringType()), T.StructField("tfidf", T.DoubleType())])
+
+    def ranked(docs: pa.Table, found: pa.Table) -> pa.Table:
+        _, row, _, at = token_places(docs, found, "__t", by)
+        article, number = codes(docs, [id_col])
+        first = np.unique(article, return_index=True)[1]
+        size = max(found.num_rows, 1)
+        pairs, tf = np.unique((article[row] * size + at)[at >= 0], return_counts=True)
+        of, term = pairs // size, pairs % size
+        raw = tf * found["__f"].to_numpy()[term] if len(pairs) else np.zeros(0)
+        place = pc.rank(found["__w"].combine_chunks(), tiebreaker="dense").to_numpy()
+        order = np.lexsort((place[term], -raw, of)) if len(pairs) else np.zeros(0, dtype=np.int64)
+        of, term, raw = of[order], term[order], raw[order]
+        norm = np.sqrt(np.bincount(of, weights=raw * raw, minlength=len(number)))
+        ends = np.cumsum(np.bincount(of, minlength=len(number)))
+        rank = np.arange(len(of)) - np.concatenate([[0], ends])[of] + 1
+        top = rank <= k
+        of, term = of[top], pa.array(term[top])
+        columns = [docs[id_col].take(pa.array(first[of])), *[found[c].take(term) for c in by], pa.array(rank[top].astype(np.int32)),
+                   found["__w"].take(term), pa.array(raw[top] / norm[of])]
+        return pa.Table.from_arrays(columns, schema.names)
+    top = dealt.groupBy("__chunk").cogroup(found.groupBy("__chunk")).applyInArrow(ranked, schema)
+    return top.withColumn("tfidf", F.round("tfidf", 6))
 
 
 def word_weight_top(df: DataFrame, id_col: str, weights_col: str, toks_col: str, k: int = 10) -> DataFrame:
     """A13 (+W3): mean weight per distinct word inside an article, ranked
     descending (word ascending on ties)."""
     zipped = F.transform(toks_col, lambda t, i: F.struct(t.alias("w"), F.col(weights_col)[i].alias("x")))
-    pairs = df.select(id_col, F.explode(zipped).alias("__z"))
-    agg = (pairs.select(id_col, F.col("__z.w").alias("word"), F.col("__z.x").alias("x"))
-           .groupBy(id_col, "word").agg(F.avg("x").alias("weight")))
-    w = Window.partitionBy(id_col).orderBy(F.col("weight").desc(), F.col("word"))
+    # dealt out by article once, all that follows is done where the article is
+    dealt, _ = in_chunks(df.select(id_col, toks_col, weights_col), toks_col, [id_col])
+    pairs = dealt.select("__chunk", id_col, F.explode(zipped).alias("__z"))
+    agg = (pairs.select("__chunk", id_col, F.col("__z.w").alias("word"), F.col("__z.x").alias("x"))
+           .groupBy("__chunk", id_col, "word").agg(F.avg("x").alias("weight")))
+    w = Window.partitionBy("__chunk", id_col).orderBy(F.col("weight").desc(), F.col("word"))
     return (agg.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(id_col, "rank", "word", F.round("weight", 6).alias("weight")))
 
